@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from curatrix.llm import line_dedup, mixing, sharding
+from curatrix.llm import decontaminate, language_id, line_dedup, mixing, mtree, near_dedup, quality, sharding, token_store
 
 QUERIES = {
+    "op1_mtree_top_k": mtree.query,
     "op2_line_dedup": line_dedup.query,
+    "op3_language_id": language_id.query,
+    "op4_decontaminate": decontaminate.query,
     "op5_mixing": mixing.query,
     "op6_sharding": sharding.query,
+    "op7_near_dedup": near_dedup.query,
+    "op8_token_store": token_store.query,
+    "op10_quality": quality.query,
 }
 
 ORACLES = {
+    "op1_mtree_top_k": mtree.ORACLE,
     "op2_line_dedup": line_dedup.ORACLE,
     "op5_mixing": mixing.ORACLE,
 }
