@@ -119,7 +119,8 @@ def template_windows(rows: DataFrame, key: str, window: int, min_literals: int,
                 if len(keys) > 100_000:
                     yield pd.DataFrame({key: keys, "h": hashes, "slots": slots})
                     keys, hashes, slots = [], [], []
-            yield pd.DataFrame({key: keys, "h": hashes, "slots": slots})
+            if keys:
+                yield pd.DataFrame({key: keys, "h": hashes, "slots": slots})
 
     return rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), "text").mapInPandas(make, f"{key} long, h long, slots string")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from curatrix.llm import decontaminate, language_id, line_dedup, mixing, mtree, near_dedup, quality, sharding, token_store
+from curatrix.llm import decontaminate, language_id, line_dedup, mixing, mtree, near_dedup, quality, sharding, suffix_dedup, token_store
 
 QUERIES = {
     "op1_mtree_top_k": mtree.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_sharding": sharding.query,
     "op7_near_dedup": near_dedup.query,
     "op8_token_store": token_store.query,
+    "op9_suffix_dedup": suffix_dedup.query,
     "op10_quality": quality.query,
 }
 
