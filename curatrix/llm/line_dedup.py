@@ -10,6 +10,8 @@ from curatrix.llm.common import digest128
 
 #: The ASCII white space stripped from both ends of a line.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
+#: A line of very many documents meets its key in so many places.
+SALTS = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -56,16 +58,17 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_key_chars: int = 1) ->
     an empty table. Other columns pass through untouched.
     """
     r1, r2 = digest128(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))
+    salted = frequent_keys(docs, min_docs, min_key_chars).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     src = docs.select(*[F.col(f"`{c}`") for c in docs.columns], r1.alias("__r1"), r2.alias("__r2"))
     h1, h2 = digest128(F.col("k"))
     lines = (
         src.select("__r1", "__r2", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
         .select("__r1", "__r2", "pos", line_key(F.col("line")).alias("k"))
         .where(F.char_length("k") >= min_key_chars)
-        .select("__r1", "__r2", "pos", h1.alias("h1"), h2.alias("h2"))
+        .select("__r1", "__r2", "pos", h1.alias("h1"), h2.alias("h2"), F.pmod("__r1", F.lit(SALTS)).cast("int").alias("salt"))
     )
     dropped = (
-        lines.join(frequent_keys(docs, min_docs, min_key_chars), ["h1", "h2"])
+        lines.join(salted, ["h1", "h2", "salt"])
         .groupBy("__r1", "__r2")
         .agg(F.array_sort(F.collect_set("pos")).alias("__at"))
     )
