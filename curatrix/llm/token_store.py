@@ -29,7 +29,7 @@ from curatrix.llm.common import scratch_path
 END_ID = 1
 MAGIC = b"WVM1"
 SHARD_TOKENS = 1 << 20
-CACHE_CHUNKS = 200_000
+CACHE_PIECES = 1_200_000
 _BLOCK = 512
 
 
@@ -43,7 +43,7 @@ class WaveletMatrix:
 
     @staticmethod
     def build(ids: np.ndarray, bits: int) -> WaveletMatrix:
-        planes, a = [], ids
+        planes, a = [], ids.astype(np.uint16) if bits <= 16 else ids
         for k in reversed(range(bits)):
             b = (a >> k & 1).astype(bool)
             planes.append(np.packbits(b))
@@ -52,14 +52,15 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids: from the lowest plane up, each parting is undone."""
-        out = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        out = np.zeros(self.n, kind)
         for level, plane in enumerate(reversed(self.planes)):
             b = np.unpackbits(plane, count=self.n).view(bool)
             back = np.empty_like(out)
             zeros = self.n - int(np.count_nonzero(b))
             back[~b] = out[:zeros]
             back[b] = out[zeros:]
-            back |= b.astype(np.uint32) << np.uint32(level)
+            back |= b.astype(kind) << kind(level)
             out = back
         return out
 
@@ -146,28 +147,79 @@ class Encoder:
     """Token ids of whole texts by the ``tokenizers`` library.
 
     The tokenizer drops white space and no token spans it, so a text's ids are the
-    ids of its pieces between blanks, in order; pieces seen before come from a
-    bounded cache. The cut is at ASCII blanks only; other white space stays inside
-    a piece and is left to the library.
+    ids of its pieces between blanks, in order. Letters and a tail of plain
+    punctuation are never in one token either, and ASCII letters are lower-cased
+    first, so a piece is cut there before the library sees it. Pieces seen before come
+    from a bounded cache, which a worker process keeps from task to task. Other
+    white space, apostrophes and special tokens stay inside a piece and are left to
+    the library.
     """
 
-    def __init__(self, path: str, cache: int = CACHE_CHUNKS) -> None:
+    TAIL = ".,;:!?"
+
+    def __init__(self, path: str, cache: int = CACHE_PIECES) -> None:
+        import os
+        import sys
+        import types
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache, self.size = Tokenizer.from_file(path), {}, cache
+        shared = sys.modules.setdefault("_piece_cache", types.SimpleNamespace(held={}))
+        if path not in shared.held:
+            tokenizer = Tokenizer.from_file(path)
+            shared.held[path] = (tokenizer, _word_ends(tokenizer), {})
+        self.tokenizer, self.ends, self.cache = shared.held[path]
+        self.size = cache
+
+    def _encode(self, words: list[str]) -> None:
+        """Words of letters only are one token run each, and its last token says so, so many
+        are encoded as one text and told apart by these; the others one by one."""
+        letters = [w for w in words if w.isalpha()] if self.ends is not None else []
+        for k in range(0, len(letters), 500):
+            some = letters[k : k + 500]
+            ids = np.asarray(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(some):
+                raw, at = ids.tobytes(), (4 * last).tolist()
+                self.cache.update(zip(some, map(raw.__getitem__, map(slice, [0, *at[:-1]], at)), strict=True))
+        rest = [w for w in words if w not in self.cache]
+        for k in range(0, len(rest), 10_000):
+            some = rest[k : k + 10_000]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.cache[w] = np.asarray(e.ids, "<u4").tobytes()
 
     def __call__(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         pieces = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.cache) > self.size:
-            self.cache = {}
-        new = [p for p in {p for ps in pieces for p in ps} if p not in self.cache]
-        for k in range(0, len(new), 10_000):
-            for p, e in zip(new[k : k + 10_000], self.tokenizer.encode_batch(new[k : k + 10_000], add_special_tokens=False), strict=True):
-                self.cache[p] = np.asarray(e.ids, "<u4").tobytes()
-        get = self.cache.__getitem__
+        cache, all_ = self.cache, set().union(*pieces)
+        if len(cache) > self.size:
+            kept = {p: cache[p] for p in all_ if p in cache}
+            cache.clear()
+            cache.update(kept)
+        cut = {}
+        for p in all_.difference(cache):
+            head = p.rstrip(self.TAIL)
+            plain = head and (head[-1].isalpha() or head[-1].isdigit())
+            cut[p] = (head.lower() if head.isascii() and head.isalpha() else head, p[len(head) :]) if plain else (p, "")
+        self._encode([w for w in {w for hs in cut.values() for w in hs} if w not in cache])
+        for p, (head, tail) in cut.items():
+            cache[p] = cache[head] + cache[tail]
+        get = cache.__getitem__
         return [np.frombuffer(b"".join(map(get, ps)), "<u4") for ps in pieces]
 
 
+def _word_ends(tokenizer) -> np.ndarray | None:
+    """Which ids end a word, if the vocabulary marks them."""
+    suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+    if not suffix:
+        return None
+    out = np.zeros(tokenizer.get_vocab_size() + 1, bool)
+    for token, i in tokenizer.get_vocab().items():
+        if i < len(out):
+            out[i] = token.endswith(suffix)
+    return out
+
+
 def write_store(docs: DataFrame, tokenizer_path: str, path: str, shard_tokens: int = SHARD_TOKENS, end_id: int = END_ID) -> None:
     """Encode every text of ``docs`` (doc_id, text), append ``end_id``, and write shards in
     ascending doc_id order as rows (part, seq, n_tokens, data) of a table at ``path``.
