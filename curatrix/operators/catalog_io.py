@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatrix.functions.geo import format_latlon, parse_latlon
@@ -30,6 +30,10 @@ def export_catalog(entities: DataFrame, aliases: DataFrame, latlons: DataFrame)
     return nested.select("entity_type", "entity_id", F.to_json(F.struct(*members)).alias("document"))
 
 
+def _stated(column: str, status: str) -> Column:
+    return F.transform(split_values(F.col(column)), lambda a: F.struct(a.alias("alias"), F.lit(status).alias("status")))
+
+
 def import_catalog(sheet: DataFrame, entities: DataFrame, aliases: DataFrame) -> dict[str, DataFrame]:
     """What an edited sheet changes. ``sheet``: entity_type, entity_id, canonical, the alias columns, latlon.
 
@@ -47,7 +51,7 @@ def import_catalog(sheet: DataFrame, entities: DataFrame, aliases: DataFrame) ->
     point, typed = parse_latlon(F.col("latlon")), strip(blank_if_null(F.col("latlon")))
     stated = joined.select(
         "entity_type", "id", "canonical",
-        F.explode(F.flatten(F.array(*[F.transform(split_values(F.col(c)), lambda a, s=s: F.struct(a.alias("alias"), F.lit(s).alias("status"))) for c, s in ALIAS_COLUMNS]))).alias("a"),
+        F.explode(F.flatten(F.array(*[_stated(c, s) for c, s in ALIAS_COLUMNS]))).alias("a"),
     ).select("entity_type", F.col("id").alias("entity_id"), "a.alias", "a.status")
     rank = F.when(F.col("status") == "REJECTED", 0).when(F.col("status") == "CONFIRMED", 1).otherwise(2)
     first = Window.partitionBy("entity_type", "entity_id", "alias").orderBy(rank)

@@ -167,5 +167,7 @@ def compose_description(place: Column, date: Column, people: Column, prose: Colu
     head = F.concat_ws(". ", some(date), some(place), some(people))
     room = F.greatest(F.lit(0), F.lit(budget) - F.length(head) - F.when(head != "", 2).otherwise(0))
     whole = F.trim(blank_if_null(prose))
-    cut = F.regexp_replace(F.substring(whole, F.lit(1), room), r"(?U)\s*\S*$", "")
+    part = F.substring(whole, F.lit(1), room)
+    ends = F.substring(whole, room + 1, F.lit(1)).rlike(r"(?U)^\s")
+    cut = F.when(ends, F.rtrim(part)).otherwise(F.regexp_replace(part, r"(?U)\s*\S*$", ""))
     return F.concat_ws(". ", F.nullif(head, F.lit("")), F.nullif(F.when(F.length(whole) <= room, whole).otherwise(cut), F.lit("")))

@@ -174,7 +174,7 @@ def entries(spark, ps, names):
 
 
 def test_entries_carry_text_forward_and_keep_sections(spark):
-    got = entries(spark, ["Вступление", "018 - Первый", "продолжение - нет фото", "Далее Аня", "lost", "019.jpg: Второй", " ", "1979 год", "- нет фото"], ["018.jpg", "019.jpg"])
+    got = entries(spark, ["Вступление", "018 - Первый", "продолжение - нет фото", "Далее Аня", "lost", "019.jpg - Второй", " ", "1979 год", "- нет фото"], ["018.jpg", "019.jpg"])
     assert got == [("018", "Первый продолжение", None, ["нет фото"]), ("019.jpg", "Второй 1979 год", "Далее Аня", ["нет фото"])]
 
 
