@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatrix.llm.common import materialize
@@ -27,6 +27,8 @@ SIMILARITY = 0.8
 COORDINATES, BAND_ROWS = 64, 4
 #: Buckets of so many different texts at most are compared in full.
 FULL_BUCKET = 8
+#: A shingle that more texts hold is joined over one more salt for each so many.
+SALT_ROWS = 2_000
 #: Rank cells: [0, 2^BASE), doublings up to 1, then cells of width 1.
 BASE = -10
 _CACHE_WORDS = 200_000
@@ -180,7 +182,7 @@ def _shingle_sets(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The elements of the documents in ``ids`` (doc_id), written once for all turns. The ids grow
+    """The elements of the documents in ``ids`` (doc_id), written once for all rounds. The ids grow
     with the input; they are never broadcast, so every size has the same plan."""
     texts = docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi")
     return materialize(_shingle_sets(texts).dropDuplicates(["doc_id"]), "shingles")
@@ -212,6 +214,48 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def rare_prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(rep, e, i, n, df): the elements that begin each set when all sets are ordered by rarity.
+    A pair at ``similarity`` shares at least ``similarity * n`` elements with either set, so
+    the first one they share is among the first n - ceil(similarity * n) + 1 of both.
+    Elements that only one set holds join nothing and are left out."""
+    flat = sets.select(F.col("doc_id").alias("rep"), F.size("elements").alias("n"), F.explode("elements").alias("e"))
+    often = flat.groupBy("e").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("rep").orderBy("df", "e")) - 1
+    return flat.join(often.hint("merge"), "e").withColumn("i", rank).where((F.col("i") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-6)) & (F.col("df") > 1))
+
+
+def _labelled(prefixes: DataFrame, labels: DataFrame) -> DataFrame:
+    """``prefixes`` with each text's component, less the elements that one component holds alone."""
+    rows = prefixes.join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    mixed = rows.groupBy("e").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("held"), F.min(F.struct("rep", "comp", "i", "n")).alias("lead")).where("c0 < c1")
+    return rows.join(mixed.select("e", "held", "lead"), "e")
+
+
+def _may_be_near(ni, i, nj, j, similarity: float):
+    """False where a pair whose first shared element is at ``i`` and ``j`` has too little left to share."""
+    return F.least(ni - i, nj - j) >= (similarity * (ni + nj) - 1e-6) / (1 + similarity)
+
+
+def led_by_element(prefixes: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """(x, y): each text with the least one that shares a prefix element, if of another component.
+    Linear; links big families, so that the full join need not pair them."""
+    c = F.col
+    rows = _labelled(prefixes, labels).where(c("comp") != c("lead.comp"))
+    return rows.where(_may_be_near(c("n"), c("i"), c("lead.n"), c("lead.i"), similarity)).select(c("rep").alias("x"), c("lead.rep").alias("y"))
+
+
+def across_components(prefixes: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """(x, y): all pairs of different components that share a prefix element and may be near.
+    Elements that many texts hold are joined over salts."""
+    c = F.col
+    rows = _labelled(prefixes, labels).withColumn("salts", (1 + F.floor(c("held") / SALT_ROWS)).cast("int"))
+    left = rows.select("e", F.pmod(F.xxhash64("rep"), c("salts")).cast("int").alias("salt"), c("rep").alias("x"), c("comp").alias("cx"), c("i").alias("ix"), c("n").alias("nx"))
+    right = rows.select("e", F.explode(F.sequence(F.lit(0), c("salts") - 1)).alias("salt"), c("rep").alias("y"), c("comp").alias("cy"), c("i").alias("iy"), c("n").alias("ny"))
+    met = (left["e"] == right["e"]) & (left["salt"] == right["salt"]) & (c("x") < c("y")) & (c("cx") != c("cy"))
+    return left.join(right.hint("merge"), met & _may_be_near(c("nx"), c("ix"), c("ny"), c("iy"), similarity)).select("x", "y")
+
+
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, coordinates: int = COORDINATES, band_rows: int = BAND_ROWS) -> DataFrame:
     """(doc_id, class_id, n_shingles) of every row: class_id is the least doc_id of its
     near-duplicate class, the connected component of verified pairs.
@@ -219,9 +263,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, coordinates: i
     Rows with equal shingle multisets collapse to the least doc_id first, so groups of
     copies are never paired. Buckets of up to ``FULL_BUCKET`` different texts are
     compared in full. In larger ones every text is compared with two leaders (least
-    and greatest doc_id), and then, turn by turn, with leaders drawn anew from other
-    components in its bucket, until a turn links nothing. Work per turn is linear in
-    the bucket.
+    and greatest doc_id). The texts of buckets that then still hold several components
+    are joined on their rarest shingles (``rare_prefixes``): first each with one leader
+    per shingle, then all pairs of different components, so every near pair is met.
 
     Defined cases: null and empty texts, and texts without words, are alone in their
     class; a text of 1 to 4 words is one shingle; rows with one doc_id are one
@@ -250,22 +294,21 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, coordinates: i
     tried = materialize(candidates(full.union(led)), "pairs")
     sets = shingle_sets(docs, shared.select(F.col("rep").alias("doc_id")).distinct())
     edges = materialize(verified(tried, sets, similarity), "links")
-    turn = 0
-    while True:
-        labels = components(edges)
-        big = large.select("band", "key", "rep").join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        drawn = F.struct(F.xxhash64(F.lit(turn), "comp").alias("h"), F.xxhash64(F.lit(turn), "rep").alias("g"), "comp", "rep")
-        heads = big.groupBy("band", "key").agg(F.min(drawn).alias("p"), F.max(drawn).alias("q")).where("p.comp <> q.comp")
-        met = big.join(heads, ["band", "key"]).select(
-            F.col("rep").alias("x"), F.when(F.col("comp") != F.col("p.comp"), F.col("p.rep")).otherwise(F.col("q.rep")).alias("y")
-        )
-        fresh = materialize(candidates(met).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty():
-            break
-        found = materialize(verified(fresh, sets, similarity), "links")
-        if found.isEmpty():
-            break
-        edges, tried, turn = edges.union(found), tried.union(fresh), turn + 1
+    labels = components(edges)
+    # the exact rest: members of large buckets that still hold several components
+    big = large.join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    mixed = big.groupBy("band", "key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("band", "key")
+    open_reps = materialize(big.join(mixed, ["band", "key"], "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "open")
+    if not open_reps.isEmpty():
+        prefixes = materialize(rare_prefixes(sets.join(open_reps.hint("merge"), "doc_id", "left_semi"), similarity), "prefixes")
+        for pairs in (led_by_element, across_components):
+            fresh = candidates(pairs(prefixes, labels, similarity)).join(tried, ["a", "b"], "left_anti")
+            fresh = materialize(fresh, "pairs")
+            found = materialize(verified(fresh, sets, similarity), "links")
+            if not found.isEmpty():
+                edges = edges.union(found)
+                labels = components(edges)
+            tried = tried.union(fresh)
     member = copies.select("k1", "k2", "rep").join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("k1", "k2", F.coalesce("comp", "rep").alias("class_id"))
     classed = sketches.join(member, ["k1", "k2"], "left").select("doc_id", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.col("n").alias("n_shingles"))
     return classed.union(docs.where(F.col("doc_id").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(None).cast("int")))

@@ -344,6 +344,31 @@ def test_near_dedup_large_family_and_chain(spark):
     assert got == brute_classes(rows)
 
 
+def test_near_dedup_families_under_one_passage(spark):
+    rng = random.Random(11)
+    words = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    passage, rows = words(240), []
+    for k in range(1000):  # pairs just above 0.8, strangers near 0.7
+        own, tail = words(22), words(56)
+        rows += [(2 * k, " ".join(passage + own + tail[:28])), (2 * k + 1, " ".join(passage + own + tail[28:]))]
+    bags = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, t in rows for w in [t.split()]}
+    everywhere, where, both = set.intersection(*bags.values()), defaultdict(list), Counter()
+    for d, b in bags.items():
+        for s in b - everywhere:
+            where[s].append(d)
+    for ds in where.values():
+        both.update((x, y) for i, x in enumerate(ds) for y in ds[i + 1 :])
+    near = lambda x, y, n: n / (len(bags[x]) + len(bags[y]) - n) >= 0.8
+    assert not near(0, 2, len(everywhere))  # so only pairs that share more can be near
+    want = {d: d for d in bags}
+    for (x, y), n in sorted(both.items()):
+        if near(x, y, n + len(everywhere)):
+            want[y] = x
+    assert sum(d != c for d, c in want.items()) == 1000
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert got == want
+
+
 def test_near_dedup_odd_rows(odd):
     got = sorted(((r.doc_id, r.class_id) for r in near_dedup.near_classes(odd).collect()), key=repr)
     assert got == sorted([(None, None), (1, 1), (2, 2), (3, 3), (4, 4), (4, 4), (5, 4), (6, 6), (7, 7), *[(100 + i, 100 + i) for i in range(12)]], key=repr)
