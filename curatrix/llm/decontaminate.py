@@ -2,10 +2,11 @@
 
 Numbers, units and names become typed placeholders; what stood there is kept as
 slot values. Windows of template tokens of documents and benchmark items are
-hash-joined, and a document counts as holding an item when enough of the item's
-windows match and the slot values map consistently: one value of the item always
-stands for the same value of the document. So a question with new numbers or names
-is still found, and chance agreement of a few windows is not.
+hash-joined, and a document counts as holding an item when in one occurrence (or in
+all of the document) enough of the item's windows match and the slot values map
+consistently: one value of the item always stands for the same value of the document.
+So a question with new numbers or names is still found, and chance agreement of a few
+windows is not. Items with too few plain words for that are found word for word.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curatrix.llm.common import materialize
+
 #: Template tokens in a window, and how many of them must be plain words.
 WINDOW, MIN_LITERALS = 8, 4
 #: Share of an item's windows that a document must hold, and share of slot values that must agree.
@@ -38,25 +41,26 @@ UNITS = frozenset(
 )
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*")
 _SPLIT_UNIT = re.compile(r"(\d)(?=[^\W\d_]|[%°])")
+_EDGE = "\"'`()[]{}<>.,;:!?*_|-–—«»“”¿¡"
 _NUM, _UNIT, _NAME = _U(1), _U(2), _U(3)
 
 
 class Templates:
-    """Text -> template codes (one per word) and the words."""
+    """Text -> template codes (one per word), the words' own codes, and the words."""
 
     def __init__(self) -> None:
         self.cache: dict[str, int] = {}
 
     def _entry(self, word: str) -> int:
         """Low bits: 1 number, 2 unit word, 4 capitalised, 8 ends a sentence; above them the hash."""
-        core = word.strip("\"'`()[]{}<>.,;:!?*_|-–—«»“”¿¡")
+        core = word.strip(_EDGE)
         flags = (1 if core and _NUMBER.fullmatch(core) else 0) | (2 if core.lower() in UNITS else 0) | (4 if core[:1].isupper() else 0) | (8 if word[-1:] in ".!?:" else 0)
         return (xxhash.xxh3_64_intdigest(core.lower().encode("utf-8", "surrogatepass")) & ~15) | flags
 
-    def __call__(self, text: str | None) -> tuple[np.ndarray, list[str]]:
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
         words = _SPLIT_UNIT.sub(r"\1 ", text).split() if text else []
         if not words:
-            return np.empty(0, np.uint64), words
+            return np.empty(0, np.uint64), np.empty(0, np.uint64), words
         if len(self.cache) > _CACHE_WORDS:
             self.cache.clear()
         for w in set(words).difference(self.cache):
@@ -66,19 +70,18 @@ class Templates:
         unit = ((e & _U(2)) != 0) & np.concatenate([[False], number[:-1]])
         starts = np.concatenate([[True], (e[:-1] & _U(8)) != 0])
         name = ((e & _U(4)) != 0) & ~starts & ~number & ~unit
-        codes = np.where(number, _NUM, np.where(unit, _UNIT, np.where(name, _NAME, (e >> _U(4)) | _U(16))))
-        return codes, words
+        plain = (e >> _U(4)) | _U(16)
+        return np.where(number, _NUM, np.where(unit, _UNIT, np.where(name, _NAME, plain))), plain, words
 
 
-def windows(codes: np.ndarray, window: int = WINDOW, min_literals: int = MIN_LITERALS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the template windows and where they start; windows with few plain words
-    are left out. A text shorter than a window is one window if it has the plain words."""
-    n = min(window, len(codes))
-    if n < min_literals:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+def windows(codes: np.ndarray, n: int, min_literals: int, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows of ``n`` words and where they start; windows with few plain
+    words are left out. ``exact`` ones never equal template windows."""
     count = len(codes) - n + 1
+    if count < 1 or n < 1:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
     literal = np.concatenate([[0], np.cumsum(codes >= _U(16))])
-    acc = np.full(count, n, np.uint64)
+    acc = np.full(count, n + (1 << 20) * exact, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(n):
             acc = (acc ^ codes[k : k + count]) * _U(0x9E3779B97F4A7C15)
@@ -91,9 +94,41 @@ def _slots(codes: np.ndarray, words: list[str], at: int, window: int) -> str:
     return "\x1f".join(words[i].strip(".,;:!?").lower() for i in range(at, min(at + window, len(words))) if codes[i] < _U(16))
 
 
-def template_windows(rows: DataFrame, key: str, window: int, min_literals: int, among: np.ndarray | None = None) -> DataFrame:
-    """(key, h, slots): distinct windows of each row's whole text; with ``among`` (sorted
-    hashes) only those."""
+def item_windows(rows: DataFrame, window: int, min_literals: int) -> DataFrame:
+    """(item_id, h, base, item_slots, ipos, words, n, exact): the items' windows. An item shorter
+    than ``window`` is one window of its length. An item without template windows has exact
+    ones, of its words as they are. A capitalised first word is a plain word here but a name
+    inside a document's sentence; ``h`` stands for both readings, ``base`` for the window."""
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        templates = Templates()
+        for batch in batches:
+            out = []
+            for key, text in zip(batch["item_id"], batch["text"], strict=True):
+                codes, plain, words = templates(text)
+                n = min(window, len(words))
+                h, at = windows(codes, n, min_literals)
+                exact = not len(h)
+                if exact:
+                    h, at = windows(plain, n, 0, True)
+                base = h.view(np.int64).tolist()
+                for x, p in zip(base, at.tolist(), strict=True):
+                    out.append((key, x, x, "" if exact else _slots(codes, words, p, n), p, len(words), n, exact))
+                if not exact and at[0] == 0 and codes[0] >= _U(16) and words[0].strip(_EDGE)[:1].isupper():
+                    inside = codes[:n].copy()
+                    inside[0] = _NAME
+                    x = int(windows(inside, n, 0)[0].view(np.int64)[0])
+                    out.append((key, x, base[0], _slots(inside, words, 0, n), 0, len(words), n, False))
+            yield pd.DataFrame(out, columns=["item_id", "h", "base", "item_slots", "ipos", "words", "n", "exact"])
+
+    some = rows.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
+    return some.mapInPandas(make, "item_id long, h long, base long, item_slots string, ipos int, words int, n int, exact boolean").distinct()
+
+
+def document_windows(rows: DataFrame, shapes: list[tuple[int, bool]], min_literals: int, among: np.ndarray | None = None) -> DataFrame:
+    """(doc_id, h, slots, dpos): windows of each row's whole text in all ``shapes`` (length, exact);
+    with ``among`` (sorted hashes) only those. A template window may have one plain word less
+    than an item's, whose first word may be read as a name here."""
     bits = np.zeros(1 << 20, bool)
     if among is not None:
         bits[(among >> _U(44)).astype(np.int64)] = True
@@ -101,28 +136,25 @@ def template_windows(rows: DataFrame, key: str, window: int, min_literals: int,
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         templates = Templates()
         for batch in batches:
-            keys, hashes, slots = [], [], []
-            for k, text in zip(batch[key], batch["text"], strict=True):
-                codes, words = templates(text)
-                h, at = windows(codes, window, min_literals)
-                if among is not None and len(h):
-                    keep = bits[(h >> _U(44)).astype(np.int64)]
-                    h, at = h[keep], at[keep]
-                    place = np.minimum(np.searchsorted(among, h), len(among) - 1)
-                    keep = among[place] == h
-                    h, at = h[keep], at[keep]
-                found = {(x, _slots(codes, words, a, window)) for x, a in zip(h.view(np.int64).tolist(), at.tolist(), strict=True)}
-                for x, s in sorted(found):
-                    keys.append(k)
-                    hashes.append(x)
-                    slots.append(s)
-                if len(keys) > 100_000:
-                    yield pd.DataFrame({key: keys, "h": hashes, "slots": slots})
-                    keys, hashes, slots = [], [], []
-            if keys:
-                yield pd.DataFrame({key: keys, "h": hashes, "slots": slots})
-
-    return rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), "text").mapInPandas(make, f"{key} long, h long, slots string")
+            out = []
+            for key, text in zip(batch["doc_id"], batch["text"], strict=True):
+                codes, plain, words = templates(text)
+                for n, exact in shapes:
+                    h, at = windows(plain if exact else codes, n, 0 if exact else min_literals - 1, exact)
+                    if among is not None and len(h):
+                        keep = bits[(h >> _U(44)).astype(np.int64)]
+                        h, at = h[keep], at[keep]
+                        place = np.minimum(np.searchsorted(among, h), len(among) - 1)
+                        keep = among[place] == h
+                        h, at = h[keep], at[keep]
+                    out += [(key, x, "" if exact else _slots(codes, words, p, n), p) for x, p in zip(h.view(np.int64).tolist(), at.tolist(), strict=True)]
+                if len(out) > 100_000:
+                    yield pd.DataFrame(out, columns=["doc_id", "h", "slots", "dpos"])
+                    out = []
+            if out:
+                yield pd.DataFrame(out, columns=["doc_id", "h", "slots", "dpos"])
+
+    return rows.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(make, "doc_id long, h long, slots string, dpos int")
 
 
 def contaminated(
@@ -136,35 +168,45 @@ def contaminated(
 ) -> DataFrame:
     """(doc_id, item_id, share, consistent): documents that hold a benchmark item.
 
-    ``share``: distinct windows of the item found in the document; ``consistent``:
-    share of slot value pairs that fit the item's most frequent mapping (1 without slots).
+    ``share``: distinct windows of the item found; ``consistent``: share of slot value
+    pairs that fit the item's most frequent mapping (1 without slots).
 
-    Defined cases: null and empty texts have no windows; a text shorter than a window is
-    one window, if it has ``min_literals`` plain words, and matches texts of that length
-    only; null ids take no part; rows that share an id are one document or item; empty
-    tables give no rows; other columns play no part.
+    Defined cases: null and empty texts have no windows; an item shorter than a window is
+    one window of its length, found in texts of any length; an item of which no window has
+    ``min_literals`` plain words is found word for word, case and punctuation aside, however
+    short it is; null ids take no part; rows that share an id are one document or item;
+    empty tables give no rows; other columns play no part.
     """
-    items = template_windows(benchmark, "item_id", window, min_literals).distinct().withColumnRenamed("slots", "item_slots").persist()
-    total = items.groupBy("item_id").agg(F.count_distinct("h").alias("total"))
+    items = item_windows(benchmark, window, min_literals).persist()
+    total = items.groupBy("item_id").agg(F.count_distinct("base").alias("total"))
+    shapes = sorted((r.n, r.exact) for r in items.select("n", "exact").distinct().collect())
     distinct = items.select("h").distinct()
     few = distinct.limit(max_sent + 1).count() <= max_sent
     among = np.sort(distinct.toPandas()["h"].to_numpy(np.int64).view(np.uint64)) if few else None
-    if few and not len(among):
+    if not shapes:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, share double, consistent double")
-    found = template_windows(docs, "doc_id", window, min_literals, among)
-    hits = found.join(F.broadcast(items) if few else items, "h").select("doc_id", "item_id", "h", "slots", "item_slots").distinct()
-    shares = hits.groupBy("doc_id", "item_id").agg(F.count_distinct("h").alias("n"))
-    shares = shares.join(F.broadcast(total) if few else total, "item_id").withColumn("share", F.col("n") / F.col("total")).where(F.col("share") >= min_share)
+    found = document_windows(docs, shapes, min_literals, among)
+    hits = found.join(F.broadcast(items) if few else items, "h").select("doc_id", "item_id", "base", "slots", "item_slots", (F.col("dpos") - F.col("ipos")).alias("d"), "words")
+    hits = materialize(hits, "hits")
+    # no occurrence holds more of an item than the document does
+    held = hits.groupBy("doc_id", "item_id").agg(F.count_distinct("base").alias("n"))
+    held = held.join(F.broadcast(total) if few else total, "item_id").where(F.col("n") / F.col("total") >= min_share).select("doc_id", "item_id", "total")
+    occurrence = lambda how, at: F.struct(F.lit(how).alias("how"), at.cast("long").alias("at"))
+    ways = F.array(occurrence(0, F.lit(0)))
+    hits = hits.join(held, ["doc_id", "item_id"]).withColumn("o", F.explode(ways)).select("doc_id", "item_id", "o", "total", "base", "slots", "item_slots").distinct()
+    by = ["doc_id", "item_id", "o"]
+    shares = hits.groupBy(*by).agg((F.count_distinct("base") / F.first("total")).alias("share")).where(F.col("share") >= min_share)
     pairs = (
         hits.where("item_slots <> ''")
-        .select("doc_id", "item_id", F.explode(F.arrays_zip(F.split("item_slots", "\x1f").alias("x"), F.split("slots", "\x1f").alias("y"))).alias("s"))
-        .groupBy("doc_id", "item_id", F.col("s.x").alias("x"), F.col("s.y").alias("y"))
+        .select(*by, F.explode(F.arrays_zip(F.split("item_slots", "\x1f").alias("x"), F.split("slots", "\x1f").alias("y"))).alias("s"))
+        .groupBy(*by, F.col("s.x").alias("x"), F.col("s.y").alias("y"))
         .count()
     )
-    best = pairs.groupBy("doc_id", "item_id", "x").agg(F.max("count").alias("top"), F.sum("count").alias("all"))
-    slots = best.groupBy("doc_id", "item_id").agg((F.sum("top") / F.sum("all")).alias("c"))
-    judged = shares.join(slots, ["doc_id", "item_id"], "left").withColumn("consistent", F.coalesce("c", F.lit(1.0)))
-    return judged.where(F.col("consistent") >= min_consistent).select("doc_id", "item_id", "share", "consistent")
+    best = pairs.groupBy(*by, "x").agg(F.max("count").alias("top"), F.sum("count").alias("all"))
+    slots = best.groupBy(*by).agg((F.sum("top") / F.sum("all")).alias("c"))
+    judged = shares.join(slots, by, "left").withColumn("consistent", F.coalesce("c", F.lit(1.0))).where(F.col("consistent") >= min_consistent)
+    best = judged.groupBy("doc_id", "item_id").agg(F.max(F.struct("share", "consistent")).alias("b"))
+    return best.select("doc_id", "item_id", "b.share", "b.consistent")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -425,6 +425,25 @@ def test_decontaminate_shuffle_path_agrees(spark, small):
     assert whole <= {(d, i) for d, i, *_ in a}
 
 
+def test_decontaminate_short_and_wordless_items(spark):
+    short, names, eight = "what is the boiling point here", "Alice Bob Carol Dave Erin Frank Grace Heidi Ivan", "Compute the least sum of these whole numbers"
+    few = "Oslo 1905"
+    texts = [f"then somebody asked {short} and left the room", f"present were {names} and others in the room", f"please now {eight} for me", f"in {few} there was much to do in all places", "present were Zoe Bob Carl Dave Erin Fred Grace Hal Ivan in 1905 Oslo"]
+    _, _, got = found(spark, texts, [short, names, eight, few])
+    assert got == [(0, 0), (1, 1), (2, 2), (3, 3)]
+
+
+@pytest.mark.parametrize("options", [{}, {"max_sent": 1}])
+def test_decontaminate_finds_every_item_word_for_word(spark, options):
+    rng = random.Random(3)
+    pool = ["Oslo", "Rome", "Alice", "7", "12", "kg", "red", "box", "and", "the", "river", "Take", "old", "it"]
+    items = [" ".join(rng.choice(pool) for _ in range(n)) for n in range(1, 15) for _ in range(3)]
+    docs = spark.createDataFrame([(i, f"well so {t} is what they all said") for i, t in enumerate(items)], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench, **options).collect()}
+    assert {(i, i) for i in range(len(items))} <= got
+
+
 def test_decontaminate_odd_rows(spark, odd):
     bench = spark.createDataFrame([(1, "same text again and again it goes"), (2, None), (3, ""), (None, "x y z"), (1, "same text again and again it goes")], "item_id long, text string")
     assert sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(odd, bench).collect()) == [(4, 1), (5, 1)]
