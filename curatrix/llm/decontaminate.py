@@ -169,7 +169,11 @@ def contaminated(
     """(doc_id, item_id, share, consistent): documents that hold a benchmark item.
 
     ``share``: distinct windows of the item found; ``consistent``: share of slot value
-    pairs that fit the item's most frequent mapping (1 without slots).
+    pairs that fit the item's most frequent mapping (1 without slots). Both are judged for
+    each occurrence by itself and for the whole document, and the best that passes is
+    given. An occurrence is what agrees in document position minus item position, exactly
+    (a copy) or up to half the item's length (words added or left out); copies one after
+    another differ by the whole length at least.
 
     Defined cases: null and empty texts have no windows; an item shorter than a window is
     one window of its length, found in texts of any length; an item of which no window has
@@ -191,8 +195,9 @@ def contaminated(
     # no occurrence holds more of an item than the document does
     held = hits.groupBy("doc_id", "item_id").agg(F.count_distinct("base").alias("n"))
     held = held.join(F.broadcast(total) if few else total, "item_id").where(F.col("n") / F.col("total") >= min_share).select("doc_id", "item_id", "total")
+    d, w = F.col("d"), F.col("words")
     occurrence = lambda how, at: F.struct(F.lit(how).alias("how"), at.cast("long").alias("at"))
-    ways = F.array(occurrence(0, F.lit(0)))
+    ways = F.array(occurrence(0, F.lit(0)), occurrence(1, d), occurrence(2, F.floor(d / w)), occurrence(3, F.floor(d / w + 0.5)))
     hits = hits.join(held, ["doc_id", "item_id"]).withColumn("o", F.explode(ways)).select("doc_id", "item_id", "o", "total", "base", "slots", "item_slots").distinct()
     by = ["doc_id", "item_id", "o"]
     shares = hits.groupBy(*by).agg((F.count_distinct("base") / F.first("total")).alias("share")).where(F.col("share") >= min_share)

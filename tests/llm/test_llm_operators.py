@@ -425,6 +425,15 @@ def test_decontaminate_shuffle_path_agrees(spark, small):
     assert whole <= {(d, i) for d, i, *_ in a}
 
 
+def test_decontaminate_judges_each_occurrence(spark):
+    new = lambda a, b, c, d, e: ITEM.replace("60", a).replace("75", b).replace("Boston", c).replace("Alice", d).replace("Chicago", e)
+    one, two = new("90", "110", "Denver", "Carol", "Austin"), new("35", "45", "Dallas", "Erin", "Fargo")
+    longer = one.replace("another leaves", "another slow one leaves")
+    texts = [f"{ITEM}. {one}.", f"{one}. {two}. {new('1', '2', 'Rome', 'Jim', 'Pisa')}.", f"{longer}. {two}. {ITEM}", "Nothing of all that is in here"]
+    _, _, got = found(spark, texts, [ITEM])
+    assert got == [(0, 0), (1, 0), (2, 0)]
+
+
 def test_decontaminate_short_and_wordless_items(spark):
     short, names, eight = "what is the boiling point here", "Alice Bob Carol Dave Erin Frank Grace Heidi Ivan", "Compute the least sum of these whole numbers"
     few = "Oslo 1905"
