@@ -82,6 +82,10 @@ FROM orders""",
 SELECT concat('photo-', o_orderkey) AS photo_id,
        concat(substr(md5(CAST(o_orderkey - o_orderkey % 15 AS STRING)), 1, 15), substr('0123456789abcdef', 1 + CAST(o_orderkey % 16 AS INT), 1)) AS image_fingerprint
 FROM orders WHERE o_orderkey % 5 = 0""",
+    "fx_all_fingerprints": """
+SELECT concat('photo-', o_orderkey) AS photo_id,
+       concat(substr(md5(CAST(o_orderkey - o_orderkey % 15 AS STRING)), 1, 15), substr('0123456789abcdef', 1 + CAST(o_orderkey % 16 AS INT), 1)) AS image_fingerprint
+FROM orders""",
     "fx_links": """
 SELECT o_orderkey AS id, CASE o_orderkey % 8
     WHEN 0 THEN concat('https://www.google.com/maps/search/?api=1&query=', o_custkey % 80, '.125%2C37.5')

@@ -752,6 +752,18 @@ def rank_similar(prints):
     return similarity.rank_similar(prints)
 
 
+@query(["fx_all_fingerprints"])
+def near_pairs_whole(prints):
+    """``near_pairs`` of all pictures; no SQL, as its self-join is quadratic."""
+    return similarity.near_pairs(prints, 7)
+
+
+@query(["fx_all_fingerprints"])
+def rank_similar_whole(prints):
+    """``rank_similar`` of all pictures; no SQL, as its self-join is quadratic."""
+    return similarity.rank_similar(prints)
+
+
 @tables(
     ["embeddings"],
     """WITH p AS (SELECT vec_id, list_concat(embedding, embedding[1:8]) AS g FROM embeddings)
