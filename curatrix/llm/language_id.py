@@ -47,7 +47,12 @@ def gram_counts(words: Counter) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words_of(text: str | None) -> list[str]:
-    return _LETTERS.findall(text.lower()) if text else []
+    """Lower-cased runs of letters. The pattern also takes signs such as ½ or Ⅷ for letters;
+    they part words here."""
+    words = _LETTERS.findall(text.lower()) if text else []
+    if words and not "".join(words).isalpha():
+        words = "".join([c if c.isalpha() else " " for c in " ".join(words)]).split()
+    return words
 
 
 @dataclass
@@ -138,7 +143,8 @@ def identify(docs: DataFrame, size: int = PROFILE) -> DataFrame:
 
 def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """The rows of ``docs`` in one of its languages; same columns. ``und`` and texts far
-    from every profile go."""
+    from every profile go. Defined cases as in ``identify``: null, empty and letterless
+    texts go; repeated rows are judged each; an empty table gives an empty table."""
     p = predict(F.col("text"), train_profiles(docs.where(fold(F.col("doc_id"), 3) != 1)))
     judged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), p.alias("p"))
     return judged.where((F.col("p.lang") != UNKNOWN) & (F.col("p.score") >= min_score)).select("d.*")

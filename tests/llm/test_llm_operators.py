@@ -3,6 +3,8 @@ on nulls, empty tables, long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
 import random
+import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -194,6 +196,41 @@ def _profile(by_lang):
     return codes, ranks
 
 
+def test_language_id_against_brute_force(real, rows):
+    """Profiles and predictions again, with plain counters."""
+
+    def grams(text):
+        out = Counter()
+        for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+            padded = "\x01" + w + "\x01"
+            out.update(w)
+            out.update(padded[i : i + 2] for i in range(len(w) + 1))
+            out.update(padded[i : i + 3] for i in range(len(w)))
+        return out
+
+    code = lambda g: sum(ord(c) << 21 * i for i, c in enumerate(g))
+    ranked = lambda counts: [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], code(x[0])))[:300]]
+    lang = {r.doc_id: r.lang for r in real.collect()}
+    total = defaultdict(Counter)
+    for d, t in rows:
+        if zlib.crc32(str(d).encode()) % 3 != 1 and lang[d] is not None and t is not None:
+            total[lang[d]] += grams(t)
+    profiles = {k: {g: i for i, g in enumerate(ranked(c))} for k, c in total.items()}
+    want = {}
+    for d, t in rows:
+        own = ranked(grams(t))
+        far = {k: sum(abs(p[g] - i) if g in p else 300 for i, g in enumerate(own)) for k, p in sorted(profiles.items())}
+        best = min(far, key=far.get)
+        want[d] = (best, pytest.approx(1 - far[best] / (300 * len(own)))) if own else ("und", 0.0)
+    assert {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(real).collect()} == want
+
+
+def test_signs_are_no_letters(spark, real):
+    docs = spark.createDataFrame([(10**9 + i, t, None) for i, t in enumerate(["½ ² ③ Ⅷ", "x½", "\u0301", "ª"])], "doc_id long, text string, lang string")
+    out = {r.doc_id - 10**9: r.lang_pred for r in language_id.identify(real.select("doc_id", "text", "lang").union(docs)).where("doc_id >= 1000000000").collect()}
+    assert [out[i] == "und" for i in range(4)] == [True, False, True, False]
+
+
 def test_language_id_odd_rows(spark, odd):
     out = {r.doc_id: r for r in language_id.identify(odd.withColumn("score", F.lit("x"))).collect()}
     for d in (1, 2, 3, 7):
@@ -203,6 +240,7 @@ def test_language_id_odd_rows(spark, odd):
     assert {r.lang_pred for r in nothing.collect()} == {"und"}
     kept = {r.doc_id for r in language_id.keep_identified(odd).collect()}
     assert not kept & {1, 2, 3, 7}
+    assert language_id.keep_identified(odd.limit(0)).count() == 0
 
 
 # --- quality
@@ -267,12 +305,30 @@ def test_token_store_round_trip(spark, real, rows):
         at += len(ids)
 
 
-@pytest.mark.parametrize("text", ["a  b c d", "Tab\tand\rreturn\x0b\x0cx", "<|endoftext|> in <|startoftext|>text", "é ́x", "ΣΑΣ ΟΔΟΣ", "it's 12ab 北京", "\x1c\x1f x", " ", ""])
-def test_pieces_give_the_tokens_of_the_whole(text):
+def test_words_give_the_tokens_of_the_whole():
+    """Odd strings, random ones, and every letter, mark and number up to U+3000 with punctuation after it."""
     from tokenizers import Tokenizer
 
+    rng = random.Random(1)
+    odd = ["İ", "é", "e\u0301", "ß", "×", "÷", "ÿ", "Ÿ", "\u0301", "ı", "Σ", "ς", "ﬁ", "Ⅷ", "½", "北", "\xa0", "\u2003", "\x85", "<|endoftext|>", "'s", "'LL", "ÃŸ", "\U0001f600", "\u212a", "\x0b", "\x1c"]
+    texts = ["a  b c d", "Tab\tand\rreturn\x0b\x0cx", "<|endoftext|> in <|startoftext|>text", "ΣΑΣ ΟΔΟΣ", "it's 12ab 北京", " ", "", "İ.", "TARİHİ.", "EVİ. b", "İ!", "sixteen-bytes-xx sixteen-bytes-xxy", "a" * 17 + " " + "a" * 16 + "b" * 40]
+    texts += ["".join(rng.choice([*"abcXYZ .,;:!?'<|>09\t\n%-_", *odd]) for _ in range(rng.randrange(1, 14))) for _ in range(60_000)]
+    marks = [chr(i) for i in range(0x80, 0x3000) if unicodedata.category(chr(i))[0] in "LMN"]
+    texts += [c + p for c in marks for p in (".", "!b")] + ["ab" + c + "x?" for c in marks]
+    want = Tokenizer.from_file(tokenizer_path()).encode_batch_fast(texts, add_special_tokens=False)
+    got = token_store.Encoder(tokenizer_path(), cache=5_000)([t.encode() for t in texts])
+    assert [t for t, g, w in zip(texts, got, want, strict=True) if g.tolist() != w.ids] == []
+
+
+def test_stretches_of_a_long_text(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_store, "STRETCH", 40)
+    texts = ["plain words, and more of them " * 30, "", "x" * 300 + " y\n" + "z " * 50, " "]
     t = Tokenizer.from_file(tokenizer_path())
-    assert token_store.Encoder(tokenizer_path())([text])[0].tolist() == t.encode(text, add_special_tokens=False).ids
+    got = token_store.Encoder(tokenizer_path())([x.encode() for x in texts])
+    assert [g.tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert token_store.Encoder(tokenizer_path())([]) == []
 
 
 def test_token_store_odd_rows(odd):
@@ -281,6 +337,8 @@ def test_token_store_odd_rows(odd):
     assert [r.start for r in out[1:]] == list(np.cumsum([r.n_tokens for r in out])[:-1])
     assert {r.n_tokens for r in out if r.doc_id in (1, 2, 3)} == {1}
     assert token_store.encode_corpus(odd.limit(0), tokenizer_path()).count() == 0
+    clash = odd.withColumns({"start": F.lit("x"), "none": F.lit(1), "tie": F.lit(2), "data": F.lit(3)})
+    assert sorted(map(tuple, token_store.encode_corpus(clash, tokenizer_path()).collect()), key=repr) == sorted(map(tuple, out), key=repr)
 
 
 # --- near-duplicates
@@ -453,6 +511,47 @@ def test_decontaminate_finds_every_item_word_for_word(spark, options):
     assert {(i, i) for i in range(len(items))} <= got
 
 
+def test_decontaminate_names_that_begin_sentences(spark):
+    item = "Maria buys 12 pens for 3 dollars each. Maria sells 4 of them."
+    texts = [
+        "Jonas buys 15 pens for 7 dollars each. Jonas sells 9 of them.",
+        "Today Lena buys 2 pens for 5 dollars each. Then she went home.",
+        "Today Lena buys 2 pens for 5 dollars each. Lena sells 1 of them.",
+        "jonas buys 15 pens for 7 dollars each. jonas sells 9 of them.",
+        "Jonas sells 15 hats for 7 dollars each. Nobody buys 9 of them.",
+        "The man buys all pens for less. The man sells most of them.",
+    ]
+    _, _, got = found(spark, texts, [item])
+    assert got == [(0, 0), (2, 0)]
+
+
+def test_decontaminate_new_parameters_against_brute_force(spark):
+    """Items of shared templates with other names and numbers, whole or one alone, between words
+    of the same vocabulary: exactly the documents that hold a version of a template are found."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    people, form = ["Ann", "Bo", "Cid", "Dee", "Eve", "Flo"], []
+    for _ in range(12):
+        t = [rng.choice(words) for _ in range(24)]
+        for k in rng.sample(range(1, 24), 5):
+            t[k] = rng.choice(["NUM", "NAME"])
+        form.append(["NAME", *t])
+
+    def version(t):
+        at = {"NAME": rng.choice(people), "NUM": str(rng.randrange(1000))}
+        return " ".join(at.get(x, x) for x in t) + "."
+
+    items = [version(t) for t in form for _ in range(2)]
+    docs, want = [], set()
+    for d in range(120):
+        noise = lambda: " ".join(rng.choice([*words, *people, "7"]) for _ in range(rng.randrange(30))) + "."
+        k = rng.randrange(24)
+        docs.append(f"{noise()} {version(form[k])} {noise()}" if k < 12 else noise())
+        want |= {(d, 2 * k), (d, 2 * k + 1)} if k < 12 else set()
+    _, _, got = found(spark, docs, items)
+    assert set(got) == want
+
+
 def test_decontaminate_odd_rows(spark, odd):
     bench = spark.createDataFrame([(1, "same text again and again it goes"), (2, None), (3, ""), (None, "x y z"), (1, "same text again and again it goes")], "item_id long, text string")
     assert sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(odd, bench).collect()) == [(4, 1), (5, 1)]
