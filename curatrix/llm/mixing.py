@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curatrix.llm.common import materialize
+
 #: Words are runs of anything but ASCII white space; weights repeat by source rank.
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -79,7 +81,7 @@ def mix(docs: DataFrame, seed: int = 11, weights=WEIGHTS, max_copies: int = MAX_
         .withColumn("__bin", F.char_length(F.bin("size")))
         .withColumn("__salt", F.conv(F.substring("__hex", 1, 7), 16, 10).cast("long") % F.lit(salts))
     )
-    cells = base.groupBy("__src", "source", "__bin", "__salt").agg(F.count("*").alias("__rows"), F.sum("size").alias("__words"))
+    cells = materialize(base.groupBy("__src", "source", "__bin", "__salt").agg(F.count("*").alias("__rows"), F.sum("size").alias("__words")), "cells")
     sources = source_targets(cells.groupBy("__src", "source").agg(F.sum("__words").alias("source_size")), weights, max_copies)
     along = Window.partitionBy("__src").orderBy("__bin", "__salt").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
@@ -97,7 +99,9 @@ def mix(docs: DataFrame, seed: int = 11, weights=WEIGHTS, max_copies: int = MAX_
 
 
 def emit(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as it has copies, same columns."""
+    """The mix itself: every row of ``docs`` as often as it has copies, same columns. Null and
+    empty texts have no words, so they stand where their order puts them like any other row;
+    repeated rows are rows of their own; an empty table gives an empty table."""
     mixed = mix(docs, **options).where("copies > 0")
     back = {c: F.col(f"m.`{c}`") for c in docs.columns if c in mixed.columns and c not in ("size", "source_size", "target", "copies")}
     clash = [c for c in docs.columns if c not in back]
