@@ -167,11 +167,13 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     rows = (
         docs.select("doc_id", "text")
         .join(F.broadcast(drawn), "doc_id")  # at most max_labelled rows
+        .groupBy("doc_id", "quality")
+        .agg(F.min(F.struct(F.length("text").alias("n"), "text")).alias("t"))  # so repeated ids don't add up in the driver
+        .select("doc_id", "quality", "t.text")
         .mapInPandas(features, "doc_id long, quality int, at array<int>, x array<float>")
         .toPandas()
     )
-    rows["size"] = rows["at"].map(len)
-    rows = rows.sort_values(["doc_id", "size"]).drop_duplicates("doc_id")
+    rows = rows.sort_values("doc_id")
     return fit([(np.asarray(i), np.asarray(x)) for i, x in zip(rows["at"], rows["x"], strict=True)], rows["quality"].to_numpy(np.float64))
 
 
