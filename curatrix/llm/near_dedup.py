@@ -316,10 +316,18 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, coordinates: i
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: one row of each class stays, the one
-    with the least doc_id. Same columns. Rows with null doc_id all stay."""
+    with the least doc_id. Same columns.
+
+    Defined cases: rows with null doc_id all stay; null and empty texts are alone in
+    their class and stay; of rows that share a doc_id the one of least text hash stays,
+    then of least other columns; an empty table gives an empty table.
+    """
     kept = near_classes(docs, **options).where("doc_id = class_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.struct(F.xxhash64("text"), F.to_json(F.struct(*others)) if others else F.lit(""))
+    one = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, order).alias("d")).select("d.*")
+    return one.union(docs.where(F.col("doc_id").isNull()))
 
 
 def query(spark, sf_dir):
