@@ -9,6 +9,7 @@ The key is the hash of the text, so equal texts share a range and a shard.
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_right
 from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
@@ -76,19 +77,20 @@ def plan_shards(docs: DataFrame, n_shards: int, sample: int, ranges: int) -> dic
     if not rows:
         return {"bounds": [], "parts": [1], "base": [0], "shard": [0], "first": [0]}
     bounds = _splitters(_draw(keys, total, sample, 1), total / sample, ranges)
-    full, limit = {}, 2 * total / ranges
-    for turn in range(2, 6):  # subdivide overfull ranges that hold more than one key
+    limit, turn = 2 * total / ranges, 1
+    while True:  # subdivide overfull ranges until each that is left holds one key
         found = keys.groupBy(_range_of(F.col("h"), bounds).alias("r")).agg(F.sum("size").alias("b"), F.min("h").alias("lo"), F.max("h").alias("hi")).collect()
         full = {x.r: (x.b, x.lo == x.hi) for x in found}
-        over = [x.r for x in found if x.b > limit and x.lo < x.hi]
+        over = [x for x in found if x.b > limit and x.lo < x.hi]
         if not over:
             break
-        inside = keys.where(F.array_contains(_longs(over), _range_of(F.col("h"), bounds).cast("long")))
-        mass = sum(full[r][0] for r in over)
+        turn += 1
+        inside = keys.where(F.array_contains(_longs([x.r for x in over]), _range_of(F.col("h"), bounds).cast("long")))
+        mass = sum(x.b for x in over)
         more = _splitters(_draw(inside, mass, sample, turn), mass / sample, max(2, int(2 * mass / limit)))
-        if not set(more) - set(bounds):
-            break
-        bounds = sorted({*bounds, *more})
+        # where the sample parts nothing, the middle does, so the span of keys halves at least
+        middles = [(x.lo + x.hi) // 2 + 1 for x in over if bisect_right(more, x.lo) == bisect_right(more, x.hi)]
+        bounds = sorted({*bounds, *more, *middles})
     parts = [max(1, -int(-full.get(r, (0, True))[0] // limit)) for r in range(len(bounds) + 1)]
     base = [0]
     for p in parts[:-1]:

@@ -156,6 +156,30 @@ def test_sharding_divides_a_group_larger_than_a_shard(spark):
         assert sorted(g["slot"]) == list(range(len(g)))
 
 
+def test_sharding_against_brute_force(real, rows):
+    """Shards, slots and sizes again from the planned boundaries, row by row."""
+    out = {r.doc_id: r for r in sharding.assign_shards(real).collect()}
+    assert len(out) == len(rows)
+    loads, slots, of_text = Counter(), defaultdict(list), {}
+    for d, t in rows:
+        r, raw = out[d], (t or "").encode()
+        assert (r["size"], r.text_crc32) == (len(raw) + 1, zlib.crc32(raw))
+        loads[r.shard] += len(raw) + 1
+        slots[r.shard].append(r.slot)
+        assert of_text.setdefault(t, r.shard) == r.shard
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert set(loads) == set(range(8)) and max(loads.values()) - min(loads.values()) <= max(len(t or "") for _, t in rows) * 4 + 2 * sum(loads.values()) / 1024
+
+
+def test_sharding_parts_overfull_ranges_that_the_sample_misses(spark):
+    """Without a sample, halving goes on until equal texts are alone or ranges small."""
+    d = docs_of(spark, [(i, f"text {i % 500}", "en", "a", 1) for i in range(2000)])
+    out = sharding.assign_shards(d, sample=1, ranges=64).toPandas()
+    assert (out.groupby("text")["shard"].nunique() == 1).all()
+    loads = out.groupby("shard")["size"].sum()
+    assert len(loads) == 8 and loads.max() < 1.1 * loads.min()
+
+
 def test_sharding_odd_rows(odd):
     out = sharding.assign_shards(odd.withColumn("slot", F.lit("x"))).toPandas()
     assert len(out) == odd.count()
@@ -267,6 +291,9 @@ def test_quality_odd_rows(spark, odd):
     out = quality.classify(odd.withColumn("predicted", F.lit("x")), labels)
     assert out.count() == odd.count()
     assert out.where("score IS NULL OR score < 0 OR score > 1 OR predicted <> CASE WHEN score >= 0.3 THEN 1 ELSE 0 END").count() == 0
+    labelled = spark.createDataFrame([(4, 1, 0), (6, 0, 0), (7, 1, 0)], "doc_id long, quality int, toxic int")
+    scores = lambda docs: sorted((r.doc_id, r.score) for r in quality.classify(docs, labelled).where("doc_id > 0").distinct().collect())
+    assert scores(odd) == scores(odd.union(odd).repartition(5))
     none = quality.classify(odd, labels.limit(0))
     assert {round(r.score, 6) for r in none.collect()} == {0.5}
     assert quality.classify(odd.limit(0), labels).count() == 0
@@ -433,6 +460,13 @@ def test_near_dedup_odd_rows(odd):
     kept = sorted((r.doc_id for r in near_dedup.keep_one(odd).collect()), key=repr)
     assert kept == sorted([None, 1, 2, 3, 4, 6, 7, *range(100, 112)], key=repr)
     assert near_dedup.near_classes(odd.limit(0)).count() == 0
+    assert near_dedup.keep_one(odd.limit(0)).count() == 0
+    twice = odd.union(odd.where("doc_id = 4").withColumns({"text": F.lit("another text of the same id"), "source": F.lit("z")})).withColumn("class_id", F.lit("own"))
+    one = near_dedup.keep_one(twice).collect()
+    assert len(one) == len(kept) and {r.class_id for r in one} == {"own"}
+    assert sorted(map(str, one)) == sorted(map(str, near_dedup.keep_one(twice.repartition(7)).collect()))
+    clash = odd.withColumns({"n": F.lit("x"), "bands": F.lit(1), "rep": F.lit(2), "k1": F.lit(3)})
+    assert sorted(((r.doc_id, r.class_id) for r in near_dedup.near_classes(clash).collect()), key=repr) == got
 
 
 def test_dart_signatures_estimate_weighted_jaccard():
