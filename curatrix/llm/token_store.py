@@ -1,14 +1,16 @@
 """Token ids in a wavelet matrix per shard.
 
 A shard file is one block of bytes: a header, the documents' ids and lengths, and
-one bit-plane per bit of the largest id, highest first. Each plane is the ids' bit
-in the order left by stably parting the ids by the bit above; with a running count
-of ones it answers rank and select, and through these access, counting and the
-places where an id occurs, without unpacking the ids.
+one bit-plane per bit of the largest id, highest first, each with its rank
+directory. Each plane is the ids' bit in the order left by stably parting the ids
+by the bit above; with the running count of ones it answers rank and select, and
+through these access, counting and the places where an id occurs, without
+unpacking the ids.
 
-Layout (little-endian): magic ``WVM1``; u32 bits; u64 tokens; u64 documents; then
+Layout (little-endian): magic ``WVM2``; u32 bits; u64 tokens; u64 documents; then
 per part a u64 length and that many zstd-compressed bytes: document ids (i64),
-nulls (u8), lengths (u64), and the planes (packed bits, first bit highest).
+nulls (u8), lengths (u64), the planes (packed bits, first bit highest), and the
+directories (u32: ones before each block of 512 bits and in all, plane by plane).
 """
 
 from __future__ import annotations
@@ -27,18 +29,28 @@ from curatrix.llm.common import scratch_path
 
 #: The id appended to every document, and the file's first bytes.
 END_ID = 1
-MAGIC = b"WVM1"
+MAGIC = b"WVM2"
 SHARD_TOKENS = 1 << 20
-CACHE_PIECES = 1_200_000
+#: A writing task gets so many bytes of text, about.
+PART_BYTES = 512 << 20
+#: Words that a task remembers, and bytes of text that it works on at once.
+CACHE_WORDS, STRETCH = 400_000, 1 << 21
 _BLOCK = 512
 
 
+def _directory(plane: np.ndarray) -> np.ndarray:
+    """Ones before each block, and in all."""
+    if not len(plane):
+        return np.zeros(1, np.int64)
+    return np.concatenate([[0], np.cumsum(np.add.reduceat(np.bitwise_count(plane).astype(np.int64), np.arange(0, len(plane), _BLOCK // 8)))])
+
+
 class WaveletMatrix:
-    """Rank/select over bit-planes. ``planes``: packed bits, highest bit first."""
+    """Rank/select over bit-planes. ``planes``: packed bits, highest bit first; ``ones``: their
+    rank directories."""
 
-    def __init__(self, planes: list[np.ndarray], n: int) -> None:
-        self.planes, self.n = planes, n
-        self.ones = [np.concatenate([[0], np.cumsum(np.add.reduceat(np.bitwise_count(p).astype(np.int64), np.arange(0, len(p), _BLOCK // 8)))]) if len(p) else np.zeros(1, np.int64) for p in planes]
+    def __init__(self, planes: list[np.ndarray], n: int, ones: list[np.ndarray]) -> None:
+        self.planes, self.n, self.ones = planes, n, ones
         self.zeros = [n - int(o[-1]) for o in self.ones]
 
     @staticmethod
@@ -48,7 +60,7 @@ class WaveletMatrix:
             b = (a >> k & 1).astype(bool)
             planes.append(np.packbits(b))
             a = np.concatenate([a[~b], a[b]])
-        return WaveletMatrix(planes, len(ids))
+        return WaveletMatrix(planes, len(ids), [_directory(p) for p in planes])
 
     def decode(self) -> np.ndarray:
         """All ids: from the lowest plane up, each parting is undone."""
@@ -71,6 +83,17 @@ class WaveletMatrix:
         rest = int(plane[i >> 3]) >> (8 - (i & 7)) if i & 7 else 0
         return int(self.ones[level][block]) + whole + rest.bit_count()
 
+    def _select(self, level: int, bit: int, k: np.ndarray) -> np.ndarray:
+        """Places of the ``k``-th (from 0) ones or zeros of a plane: the block by binary search
+        in the directory, then the bit inside it."""
+        plane, ones = self.planes[level], self.ones[level]
+        before = ones if bit else np.minimum(np.arange(len(ones)) * _BLOCK, self.n) - ones
+        block = np.searchsorted(before, k, side="right") - 1
+        at = block[:, None] * (_BLOCK // 8) + np.arange(_BLOCK // 8)
+        held = np.where(at < len(plane), plane[np.minimum(at, len(plane) - 1)], 0).astype(np.uint8)
+        bits = np.unpackbits(held if bit else ~held, axis=1)
+        return block * _BLOCK + (np.cumsum(bits, axis=1, dtype=np.int64) > (k - before[block])[:, None]).argmax(axis=1)
+
     def _bit(self, level: int, i: int) -> int:
         return int(self.planes[level][i >> 3]) >> (7 - (i & 7)) & 1
 
@@ -84,34 +107,39 @@ class WaveletMatrix:
             value = value << 1 | bit
         return value
 
-    def rank(self, token: int, i: int) -> int:
-        """Occurrences of ``token`` among the first ``i`` ids."""
+    def _range(self, token: int, i: int) -> tuple[int, int]:
+        """Where the first ``i`` ids' occurrences of ``token`` stand below the last plane."""
         if token < 0 or token >> len(self.planes):
-            return 0
-        low, high = 0, min(i, self.n)
+            return 0, 0
+        low, high = 0, max(0, min(i, self.n))
         for level in range(len(self.planes)):
             a, b = self._rank1(level, low), self._rank1(level, high)
             low, high = (self.zeros[level] + a, self.zeros[level] + b) if token >> (len(self.planes) - 1 - level) & 1 else (low - a, high - b)
+        return low, high
+
+    def rank(self, token: int, i: int) -> int:
+        """Occurrences of ``token`` among the first ``i`` ids."""
+        low, high = self._range(token, i)
         return high - low
 
     def count(self, token: int) -> int:
         return self.rank(token, self.n)
 
+    def _places(self, token: int, below: np.ndarray) -> np.ndarray:
+        """Places of ``below``, given below the last plane, in the order of the ids."""
+        for level in reversed(range(len(self.planes))):
+            bit = token >> (len(self.planes) - 1 - level) & 1
+            below = self._select(level, bit, below - self.zeros[level] * bit)
+        return below
+
     def select(self, token: int, k: int) -> int:
         """Place of the ``k``-th occurrence (from 0) of ``token``, -1 if there is none."""
-        if not 0 <= k < self.count(token):
-            return -1
-        low, high = -1, self.n - 1  # rank(token, high + 1) > k always holds
-        while high - low > 1:
-            middle = (low + high) // 2
-            if self.rank(token, middle + 1) > k:
-                high = middle
-            else:
-                low = middle
-        return high
+        low, high = self._range(token, self.n)
+        return int(self._places(token, np.asarray([low + k]))[0]) if 0 <= k < high - low else -1
 
     def occurrences(self, token: int) -> list[int]:
-        return [self.select(token, k) for k in range(self.count(token))]
+        low, high = self._range(token, self.n)
+        return [int(p) for k in range(low, high, 1000) for p in self._places(token, np.arange(k, min(k + 1000, high)))]
 
 
 def to_bytes(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> bytes:
@@ -123,6 +151,7 @@ def to_bytes(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) ->
         np.asarray([d is None for d in doc_ids], np.uint8).tobytes(),
         np.asarray(lengths, "<u8").tobytes(),
         *[p.tobytes() for p in matrix.planes],
+        np.concatenate(matrix.ones).astype("<u4").tobytes(),
     ]
     packed = [pack(p) for p in parts]
     return MAGIC + struct.pack("<IQQ", bits, len(ids), len(doc_ids)) + b"".join(struct.pack("<Q", len(p)) + p for p in packed)
@@ -134,78 +163,151 @@ def from_bytes(data: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray
         raise ValueError("not a wavelet shard")
     bits, n, docs = struct.unpack_from("<IQQ", data, 4)
     at, parts, unpack = 24, [], zstandard.ZstdDecompressor()
-    for _ in range(3 + bits):
+    for _ in range(4 + bits):
         (size,) = struct.unpack_from("<Q", data, at)
         parts.append(unpack.decompress(data[at + 8 : at + 8 + size]) if docs or size else b"")
         at += 8 + size
     ids, nulls = np.frombuffer(parts[0], "<i8"), np.frombuffer(parts[1], np.uint8)
     doc_ids = [None if z else int(d) for d, z in zip(ids, nulls, strict=True)]
-    return WaveletMatrix([np.frombuffer(p, np.uint8) for p in parts[3:]], n), doc_ids, np.frombuffer(parts[2], "<u8").astype(np.int64)
+    planes, ones = [np.frombuffer(p, np.uint8) for p in parts[3:-1]], np.frombuffer(parts[-1], "<u4").astype(np.int64)
+    return WaveletMatrix(planes, n, np.split(ones, bits)), doc_ids, np.frombuffer(parts[2], "<u8").astype(np.int64)
+
+
+def _byte_kinds() -> np.ndarray:
+    """0 blank, 1 letter, 2 digit, 3 punctuation; 4 what is left to the library: control bytes,
+    the apostrophe of contractions, "<" that may begin a special token, and other scripts."""
+    kinds = np.full(256, 4, np.uint8)
+    kinds[33:127] = 3
+    kinds[[32, 9, 10, 13]] = 0
+    kinds[48:58] = 2
+    kinds[65:91] = kinds[97:123] = 1
+    kinds[[ord("'"), ord("<")]] = 4
+    return kinds
 
 
 class Encoder:
     """Token ids of whole texts by the ``tokenizers`` library.
 
-    The tokenizer drops white space and no token spans it, so a text's ids are the
-    ids of its pieces between blanks, in order. Letters and a tail of plain
-    punctuation are never in one token either, and ASCII letters are lower-cased
-    first, so a piece is cut there before the library sees it. Pieces seen before come
-    from a bounded cache, which a worker process keeps from task to task. Other
-    white space, apostrophes and special tokens stay inside a piece and are left to
-    the library.
+    The tokenizer drops white space and no token spans it; runs of letters, digits and
+    runs of punctuation are never in one token either. So a text's ids are the ids of
+    these words in order, and each distinct word goes to the library once; words met
+    before come from a bounded cache of this encoder. Letters are those of ASCII and
+    Latin-1, which lower-case to one letter and are already in normal form. A stretch
+    between blanks with anything else in it goes to the library as it stands.
     """
 
-    TAIL = ".,;:!?"
-
-    def __init__(self, path: str, cache: int = CACHE_PIECES) -> None:
+    def __init__(self, path: str, cache: int = CACHE_WORDS) -> None:
         import os
-        import sys
-        import types
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        shared = sys.modules.setdefault("_piece_cache", types.SimpleNamespace(held={}))
-        if path not in shared.held:
-            tokenizer = Tokenizer.from_file(path)
-            shared.held[path] = (tokenizer, _word_ends(tokenizer), {})
-        self.tokenizer, self.ends, self.cache = shared.held[path]
-        self.size = cache
-
-    def _encode(self, words: list[str]) -> None:
-        """Words of letters only are one token run each, and its last token says so, so many
-        are encoded as one text and told apart by these; the others one by one."""
-        letters = [w for w in words if w.isalpha()] if self.ends is not None else []
-        for k in range(0, len(letters), 500):
-            some = letters[k : k + 500]
-            ids = np.asarray(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            last = np.flatnonzero(self.ends[ids]) + 1
+        self.tokenizer = Tokenizer.from_file(path)
+        self.ends, self.kinds, self.size = _word_ends(self.tokenizer), _byte_kinds(), cache
+        self.cache: dict[bytes, bytes] = {}
+
+    def _learn(self, words: list[bytes], whole: list[bytes]) -> None:
+        """``words`` are one token run each, and its last token says so, so many are encoded as
+        one text and told apart by these; ``whole`` stretches are encoded one by one."""
+        for k in range(0, len(words), 500):
+            some = words[k : k + 500]
+            ids = np.asarray(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, "<u4") if self.ends is not None else []
+            last = np.flatnonzero(self.ends[ids]) + 1 if self.ends is not None else []
             if len(last) == len(some):
                 raw, at = ids.tobytes(), (4 * last).tolist()
                 self.cache.update(zip(some, map(raw.__getitem__, map(slice, [0, *at[:-1]], at)), strict=True))
-        rest = [w for w in words if w not in self.cache]
-        for k in range(0, len(rest), 10_000):
-            some = rest[k : k + 10_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+            else:
+                whole = whole + some
+        for k in range(0, len(whole), 10_000):
+            some = whole[k : k + 10_000]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
                 self.cache[w] = np.asarray(e.ids, "<u4").tobytes()
 
-    def __call__(self, texts: Iterable[str | None]) -> list[np.ndarray]:
-        pieces = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        cache, all_ = self.cache, set().union(*pieces)
-        if len(cache) > self.size:
-            kept = {p: cache[p] for p in all_ if p in cache}
-            cache.clear()
-            cache.update(kept)
-        cut = {}
-        for p in all_.difference(cache):
-            head = p.rstrip(self.TAIL)
-            plain = head and (head[-1].isalpha() or head[-1].isdigit())
-            cut[p] = (head.lower() if head.isascii() and head.isalpha() else head, p[len(head) :]) if plain else (p, "")
-        self._encode([w for w in {w for hs in cut.values() for w in hs} if w not in cache])
-        for p, (head, tail) in cut.items():
-            cache[p] = cache[head] + cache[tail]
-        get = cache.__getitem__
-        return [np.frombuffer(b"".join(map(get, ps)), "<u4") for ps in pieces]
+    def _words(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Lower-cased bytes, and starts, ends and kinds (4: as it stands) of the words of ``data``."""
+        kind = self.kinds[data]
+        low = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+        lead = np.flatnonzero(data[:-1] == 0xC3)
+        second = data[lead + 1]
+        letter = (second != 0x97) & (second != 0xB7)
+        kind[lead[letter]] = kind[lead[letter] + 1] = 1
+        upper = lead[letter & (second <= 0x9E)] + 1
+        low[upper] += 32
+        solid = kind != 0
+        begin = np.flatnonzero(solid & ~np.concatenate([[False], solid[:-1]]))
+        end = np.flatnonzero(solid & ~np.concatenate([solid[1:], [False]])) + 1
+        odd = np.concatenate([[0], np.cumsum(kind == 4)])
+        left = np.flatnonzero(odd[end] > odd[begin])
+        for b, e in zip(begin[left].tolist(), end[left].tolist(), strict=True):
+            kind[b:e] = 4
+        low[kind == 4] = data[kind == 4]
+        opens = solid & np.concatenate([[True], (kind[1:] != kind[:-1]) | (kind[1:] == 2)])
+        starts = np.flatnonzero(opens)
+        shut = np.flatnonzero(opens | ~solid)  # a word ends where the next one or a blank begins
+        ends = np.append(shut, len(data))[np.searchsorted(shut, starts, side="right")]
+        return low, starts, ends, kind[starts]
+
+    def _distinct(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first places, numbers): one word of each kind, and each word's number. Words of up to
+        16 bytes are compared as two whole numbers, longer ones as bytes."""
+        size = ends - starts
+        padded = np.concatenate([low, np.zeros(24, np.uint8)])
+        eight = np.ndarray((len(low) + 16,), "<u8", padded, 0, (1,))
+        mask = np.asarray([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
+        short = size <= 16
+        a = eight[starts] & mask[np.minimum(size, 8) * short]
+        b = eight[starts + 8 * (size > 8)] & mask[np.clip(size - 8, 0, 8) * short]
+        order = np.lexsort((b, a))
+        fresh = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])
+        number = np.empty(len(starts), np.int64)
+        number[order] = np.cumsum(fresh) - 1
+        first = order[fresh]
+        long, more, raw = np.flatnonzero(~short), {}, low.tobytes()
+        for i in long.tolist():
+            number[i] = len(first) + more.setdefault(raw[starts[i] : ends[i]], (len(more), i))[0]
+        return np.concatenate([first, np.asarray([i for _, i in more.values()], np.int64)]), number
+
+    def _stretch(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of a stretch of text, and words' starts with the number of ids up to and with each."""
+        low, starts, ends, kind = self._words(data)
+        if not len(starts):
+            return np.empty(0, "<u4"), starts, starts
+        first, number = self._distinct(low, starts, ends)
+        raw = low.tobytes()
+        words = [raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        if len(self.cache) > self.size:
+            self.cache.clear()
+        fresh = [k for k, w in enumerate(words) if w not in self.cache]
+        left = (kind[first] == 4).tolist()
+        self._learn([words[k] for k in fresh if not left[k]], [words[k] for k in fresh if left[k]])
+        found = [self.cache[w] for w in words]
+        flat = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        offset, n = (np.cumsum(sizes) - sizes)[number], sizes[number]
+        total = np.cumsum(n)
+        return flat[np.repeat(offset - (total - n), n) + np.arange(total[-1])], starts, total
+
+    def __call__(self, texts: Iterable[bytes | None]) -> list[np.ndarray]:
+        """Ids of each text (UTF-8; null is empty). The texts are worked on together, in stretches
+        that end at blanks."""
+        texts = [t or b"" for t in texts]
+        joined = b"".join([t + b"\n" for t in texts])
+        data = np.frombuffer(joined, np.uint8)
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        held, starts, counts, at, seen = [], [], [], 0, 0
+        while at < len(data):
+            stop = joined.find(b" ", at + STRETCH)
+            line = joined.find(b"\n", at + STRETCH, stop if stop >= 0 else len(data))
+            stop = line + 1 if line >= 0 else stop + 1 if stop >= 0 else len(data)
+            ids, first, total = self._stretch(data[at:stop])
+            held.append(ids)
+            starts.append(first + at)
+            counts.append(total + seen)
+            seen, at = seen + len(ids), stop
+        if not held:
+            return []
+        ids, starts, counts = np.concatenate(held), np.concatenate(starts), np.concatenate([[0], *counts])
+        return np.split(ids, counts[np.searchsorted(starts, ends)][:-1])
 
 
 def _word_ends(tokenizer) -> np.ndarray | None:
@@ -243,8 +345,8 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str, shard_tokens: i
 
         end = np.asarray([end_id], "<u4")
         for batch in batches:
-            for k in range(0, len(batch), 256):
-                some = batch.iloc[k : k + 256]
+            for k in range(0, len(batch), 1024):
+                some = batch.iloc[k : k + 1024]
                 for doc, null, found in zip(some["doc_id"], some["none"], encoder(some["text"]), strict=True):
                     held.append(np.concatenate([found, end]))
                     ids.append(None if null else int(doc))
@@ -255,10 +357,12 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str, shard_tokens: i
         if held:
             yield shard()
 
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(parts, F.col("none").desc(), "doc_id").sortWithinPartitions(F.col("none").desc(), "doc_id")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNull().alias("none"), text.cast("binary").alias("text"), F.xxhash64(text).alias("tie"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
+    order = [F.col("none").desc(), F.col("doc_id"), F.col("tie")]  # the last one parts rows of one id or none
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("tie")
     shards = ordered.mapInPandas(encode, "part int, seq int, n_tokens long, data binary")
     shards.write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(path)
 
