@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from curatrix.functions.geo import format_latlon, parse_latlon
-from curatrix.functions.text import blank_if_null, collapse, is_blank, split_list_field, split_values, strip
+from curatrix.functions.text import blank_if_null, collapse, is_blank, source_note_kind, split_list_field, split_values, strip
 
 #: How each human field is compared; others are text.
 KIND_OF_FIELD = {
@@ -83,16 +83,18 @@ def needs_review(row: dict[str, Column]) -> Column:
     return ~is_blank(row["review_reason"]) | row["status"].isin("REVIEW", "SOURCE_CHANGED") | missing
 
 
-def has_descriptive_content(text: Column) -> Column:
-    """Text counts; the known source notes say nothing about the photo."""
-    return ~is_blank(text)
+def has_descriptive_content(text: Column, notes: Column | None = None) -> Column:
+    """Text counts, and of the source notes those that tell of the photo; none known so far does."""
+    if notes is None:
+        return ~is_blank(text)
+    return ~is_blank(text) | F.exists(split_values(blank_if_null(notes)), lambda n: source_note_kind(n) == "DESCRIPTIVE")
 
 
-def classify_coverage(folder_status: Column, entry_exists: Column, text: Column, context: Column) -> Column:
+def classify_coverage(folder_status: Column, entry_exists: Column, text: Column, context: Column, notes: Column | None = None) -> Column:
     """Null outside a FOUND folder."""
     value = (
         F.when(~F.coalesce(entry_exists, F.lit(False)), "NO_ENTRY")
-        .when(has_descriptive_content(text), "DESCRIBED")
+        .when(has_descriptive_content(text, notes), "DESCRIBED")
         .when(~is_blank(context), "CONTEXT_ONLY")
         .otherwise("ENTRY_EMPTY")
     )

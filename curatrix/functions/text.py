@@ -170,9 +170,15 @@ def without_source_notes(c: Column) -> Column:
     return strip(F.regexp_replace(c, _NOTE, " "))
 
 
+#: What each known source note tells.
+NOTE_KINDS = {SOURCE_NOTE: "SOURCE_STATE"}
+
+
 def source_note_kind(note: Column) -> Column:
-    """The one known note states the source's condition; unknown text is never descriptive."""
-    return F.lit("SOURCE_STATE")
+    """What a note tells: the source's condition or the photo (DESCRIPTIVE). Unknown text is
+    never descriptive."""
+    kinds = F.create_map(*[F.lit(x) for pair in NOTE_KINDS.items() for x in pair])
+    return F.coalesce(F.try_element_at(kinds, F.lower(strip(note))), F.lit("SOURCE_STATE"))
 
 
 def strip_edges(c: Column) -> Column:

@@ -36,20 +36,13 @@ def find_candidates(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     keyed = phrases.where("status <> 'REJECTED'").withColumn("needle", needle).withColumn("word", F.regexp_extract(needle, _RUN, 0)).where("word <> ''")
     keyed = keyed.withColumn("offset", F.instr(F.col("needle"), F.col("word")) - 1)
     low = texts.select("text_id", F.lower("text").alias("low")).where(F.col("low").isNotNull())
-    # Runs and the stretches between them alternate; their lengths give the offsets.
-    runs = F.regexp_extract_all("low", F.lit(_RUN), F.lit(0))
-    gaps = F.transform(F.split("low", _RUN, -1), F.length)
-    seen = F.aggregate(
-        F.zip_with(runs, gaps, lambda r, g: F.struct(r.alias("r"), g.alias("g"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<word:string,at:int>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["g"] + F.coalesce(F.length(x["r"]), F.lit(0))).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(x["r"].alias("word"), (acc["at"] + x["g"]).alias("at")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    words = low.select("text_id", "low", F.explode(seen).alias("w")).select("text_id", "low", "w.word", "w.at").where("word IS NOT NULL")
-    met = words.join(keyed, "word").withColumn("start", F.col("at") - F.col("offset")).where("start >= 0")
+    # A mask with "w" for word characters tells where the runs start.
+    mask = F.split(F.regexp_replace(F.regexp_replace("low", r"(?U)\w", "w"), "[^w]", " "), "")
+    begins = F.transform(F.col("mask"), lambda c, i: F.when((c == "w") & ((i == 0) | (F.get("mask", i - 1) != "w")), i))
+    runs = low.select("text_id", "low", mask.alias("mask")).select("text_id", F.arrays_zip(F.regexp_extract_all("low", F.lit(_RUN), F.lit(0)).alias("word"), F.array_compact(begins).alias("at")).alias("runs"))
+    words = runs.select("text_id", F.explode("runs").alias("w")).select("text_id", "w.word", "w.at")
+    met = words.join(keyed, "word").withColumn("start", F.col("at") - F.col("offset")).where("start >= 0").drop("word", "at", "offset")
+    met = met.join(low, "text_id")  # narrow until here; each text is shuffled once
     end = F.col("start") + F.length("needle")
     edge = lambda c: ~c.rlike(r"(?U)^\w")
     before = F.when(F.col("start") > 0, F.substring(F.col("low"), F.col("start"), F.lit(1))).otherwise("")
@@ -157,9 +150,13 @@ def upsert_alias(aliases: DataFrame, proposed: DataFrame) -> DataFrame:
 
 
 def set_alias_status(aliases: DataFrame, decided: DataFrame) -> DataFrame:
-    """A person's decision: overrides in either direction, inserts if absent."""
+    """A person's decision: overrides in either direction, inserts if absent. Of several on one
+    alias the last by ``ord`` holds; without that column the strongest word does (REJECTED over
+    CONFIRMED over CANDIDATE)."""
     key = ["entity_type", "entity_id", "alias"]
-    return aliases.join(decided.select(*key), key, "left_anti").unionByName(decided.select(*key, "status").dropDuplicates(key))
+    late = F.col("ord") if "ord" in decided.columns else F.lit(0)
+    last = decided.groupBy(*key).agg(F.max_by("status", F.struct(late.alias("ord"), "status")).alias("status"))
+    return aliases.join(last, key, "left_anti").unionByName(last)
 
 
 def propose_latlon(places: DataFrame, proposals: DataFrame) -> DataFrame:
@@ -187,11 +184,16 @@ def record_evidence(evidence: DataFrame, new: DataFrame) -> DataFrame:
     return fresh.join(known, [f"__{c}" for c in EVIDENCE_KEY], "left_anti").select(*new.columns)
 
 
+def entity_id(entity_type: Column, canonical: Column) -> Column:
+    """The id that a new entity gets."""
+    return F.substring(F.sha2(F.concat_ws("\u0000", entity_type, canonical), 256), 1, 16)
+
+
 def add_entity(entities: DataFrame, names: DataFrame) -> DataFrame:
     """Entities with the names (entity_type, canonical) that no entity has exactly; their id is
     a hash of type and name."""
     fresh = names.select("entity_type", "canonical").distinct().join(entities, ["entity_type", "canonical"], "left_anti")
-    made = fresh.withColumn("entity_id", F.substring(F.sha2(F.concat_ws("\u0000", "entity_type", "canonical"), 256), 1, 16))
+    made = fresh.withColumn("entity_id", entity_id(F.col("entity_type"), F.col("canonical")))
     return entities.unionByName(made, allowMissingColumns=True)
 
 
@@ -212,10 +214,13 @@ def duplicate_entity_pairs(entities: DataFrame, aliases: DataFrame) -> DataFrame
     return sure.join(named, ["entity_type", "key"]).where("survivor <> absorbed").select("entity_type", "survivor", "absorbed").distinct()
 
 
-def survivors(pairs: DataFrame, max_turns: int = 32) -> DataFrame:
-    """(absorbed, survivor) at the end of every chain of merges, by pointer jumping: each turn
-    doubles the length of the chains followed. Of two survivors of one entity the least is taken;
-    a cycle ends at its least member."""
+def survivors(pairs: DataFrame) -> DataFrame:
+    """(entity_type, absorbed, survivor) at the end of every chain of merges. Of two survivors of
+    one entity the least is taken; a cycle ends at its least member, and so does what leads into it.
+
+    Pointer jumping: each turn doubles the length of the paths followed, and each path carries its
+    least member. Rows that are open after their number of turns suffices go round a cycle.
+    """
     spark = pairs.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         from tempfile import mkdtemp
@@ -223,42 +228,40 @@ def survivors(pairs: DataFrame, max_turns: int = 32) -> DataFrame:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(mkdtemp(prefix="spark-merge-", dir="/tmp"))
-    up = pairs.where("survivor <> absorbed").groupBy("absorbed").agg(F.min("survivor").alias("to"))
-    # An edge up in a two-way pair is cut at the lesser end, which survives.
-    back = up.select(F.col("to").alias("absorbed"), F.col("absorbed").alias("back"))
-    mutual = up.join(back, "absorbed", "left").where("back IS NULL OR back <> to OR to < absorbed").select("absorbed", "to").distinct()
-    chain = mutual.checkpoint()
-    for _ in range(max_turns):
-        nxt = chain.select(F.col("absorbed").alias("to"), F.col("to").alias("further"))
-        step = chain.join(nxt, "to", "left").select("absorbed", "to", F.when(F.col("further") != F.col("absorbed"), F.col("further")).alias("further"))
-        moved = step.select("absorbed", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")).checkpoint()
-        chain = moved.select("absorbed", "to")
-        if moved.where("moved").isEmpty():
+    by = ["entity_type", "absorbed"]
+    rows = pairs.where("survivor <> absorbed").groupBy(*by).agg(F.min("survivor").alias("to"))
+    rows = rows.withColumns({"least": F.least("absorbed", "to"), "open": F.lit(True)}).checkpoint()
+    length = 1
+    while True:
+        ahead = rows.select("entity_type", F.col("absorbed").alias("to"), F.col("to").alias("far"), F.col("least").alias("far_least"))
+        step = rows.join(ahead, ["entity_type", "to"], "left")
+        open_ = F.col("far").isNotNull()
+        rows = step.select(*by, F.coalesce("far", "to").alias("to"), F.when(open_, F.least("least", "far_least")).otherwise(F.col("least")).alias("least"), open_.alias("open")).checkpoint()
+        length *= 2
+        if rows.where("open").count() < length:
             break
-    return chain.withColumnRenamed("to", "survivor")
+    # a path of a cycle's member goes round all of it, so its least is the cycle's
+    ends = rows.where("open").select("entity_type", F.col("absorbed").alias("to"), F.col("least").alias("cycle"))
+    ended = rows.join(ends, ["entity_type", "to"], "left")
+    return ended.select(*by, F.coalesce("cycle", "to").alias("survivor")).where("survivor <> absorbed")
 
 
 def merge_entities(pairs: DataFrame, entities: DataFrame, aliases: DataFrame, evidence: DataFrame) -> dict[str, DataFrame]:
     """Entities, aliases, evidence and coordinate proposals after merging: aliases and evidence move
     to the survivor (clashing aliases keep the survivor's), and an absorbed name becomes a
-    confirmed alias of it."""
-    end = survivors(pairs).select(F.col("absorbed").alias("entity_id"), "survivor")
-    moved = lambda df: df.join(end, "entity_id", "left").withColumn("own", F.col("survivor").isNull()).withColumn("entity_id", F.coalesce("survivor", "entity_id"))
-    gone = entities.join(end, "entity_id")
+    confirmed alias of it. A pair with an unknown entity does nothing."""
+    known = lambda c: entities.select("entity_type", F.col("entity_id").alias(c)).distinct()
+    real = pairs.join(known("absorbed"), ["entity_type", "absorbed"], "left_semi").join(known("survivor"), ["entity_type", "survivor"], "left_semi")
+    end = survivors(real).withColumnRenamed("absorbed", "entity_id")
+    by = ["entity_type", "entity_id"]
+    moved = lambda df: df.join(end, by, "left").withColumn("own", F.col("survivor").isNull()).withColumn("entity_id", F.coalesce("survivor", "entity_id"))
+    gone = entities.join(end, by)
     names = gone.select("entity_type", F.col("survivor").alias("entity_id"), F.col("canonical").alias("alias"), F.lit("CONFIRMED").alias("status"), F.lit(False).alias("own"))
     every = moved(aliases).select("entity_type", "entity_id", "alias", "status", "own").unionByName(names)
     first = Window.partitionBy("entity_type", "entity_id", "alias").orderBy(F.col("own").desc(), F.col("status").desc())
     return {
-        "entities": entities.join(end, "entity_id", "left_anti"),
+        "entities": entities.join(end, by, "left_anti"),
         "aliases": every.withColumn("n", F.row_number().over(first)).where("n = 1").select("entity_type", "entity_id", "alias", "status"),
         "evidence": moved(evidence).select(*evidence.columns),
         "proposals": gone.where("latlon <> ''").select(F.col("survivor").alias("entity_id"), "latlon") if "latlon" in entities.columns else None,
     }
-
-
-def has_match(text_id: str, matches: DataFrame) -> DataFrame:
-    return matches.select(F.col("text_id").alias(text_id), "entity_type").distinct()
-
-
-def created_recently(first_run: Column, last_run: Column) -> Column:
-    return first_run == last_run

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatrix.functions.text import filename_like_reference, filename_stem, is_section_divider, leading_token, source_notes, strip, strip_edges, strip_reference, without_source_notes
-from curatrix.operators.listing import first_wins
+from curatrix.operators.listing import first_wins, plan_folders
 
 
 def folder_names(photos: DataFrame) -> DataFrame:
@@ -103,17 +103,17 @@ def match_fragments(fragments: DataFrame, files: DataFrame) -> DataFrame:
 
     A file is found by equi-join on (folder, word): the last run of word characters of its
     stem. As a stem of its own it stands in the text as a whole run; inside a full name
-    something may be stuck to its front, so texts with an extension also offer the ends of
-    their runs. Then the whole name is verified. No fragment meets all files of its folder.
+    something may be stuck to its front, so runs that an extension follows also offer their
+    ends. Then the whole name is verified. No fragment meets all files of its folder.
     """
     text = fragments.select("folder", "pos", "text", F.lower("text").alias("low"))
     runs = F.regexp_extract_all("low", F.lit(r"(?U)\w+"), F.lit(0))
-    ends = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r)), lambda i: F.substring(r, i, F.length(r)))))
-    offered = F.when(F.col("low").rlike(r"(?U)\.\w"), ends).otherwise(runs)
-    words = text.select("folder", "pos", "text", "low", F.explode(F.array_distinct(offered)).alias("word"))
+    stuck = F.regexp_extract_all("low", F.lit(r"(?U)(\w+)(?=\W*\.\w)"), F.lit(1))  # runs that an extension follows
+    ends = F.flatten(F.transform(stuck, lambda r: F.transform(F.sequence(F.lit(1), F.length(r)), lambda i: F.substring(r, i, F.length(r)))))
+    words = text.select("folder", "pos", F.explode(F.array_distinct(F.concat(runs, ends))).alias("word"))
     names = files.select("folder", "name", F.lower("name").alias("full"), F.lower(filename_stem(F.col("name"))).alias("stem"))
     names = names.withColumn("word", F.regexp_extract("stem", r"(?U)(\w+)\W*$", 1)).where("word <> ''")
-    met = words.join(names, ["folder", "word"])
+    met = words.join(names, ["folder", "word"]).drop("word").join(text, ["folder", "pos"])  # narrow until the texts come in, once each
     full_at, stem_re = F.instr(F.col("low"), F.col("full")), F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.col("stem"), F.lit(r"\E(?!\w)"))
     stem_at = F.regexp_instr("low", stem_re)
     met = met.withColumn("how", F.when(full_at > 0, "name").when(stem_at > 0, "stem")).where("how IS NOT NULL")
@@ -134,8 +134,28 @@ def files_with_notes(matches: DataFrame, files: DataFrame) -> DataFrame:
     return files.select("folder", "name").join(counted, ["folder", "name"], "left").withColumn("fragments", F.coalesce("fragments", F.lit(0)))
 
 
-def scan_report(listing_plans: DataFrame, entries: DataFrame, reconciled: DataFrame, photos: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """Counters per folder, and their total (folder null)."""
+def root_report(listing: DataFrame) -> DataFrame:
+    """Counters per folder with photos, per root (folder null) and in total (both null): folders and
+    files discovered, folders with photos, photos, documents (a folder's only one), conflicts
+    (several) and folders without any. Discovered ones count at their root."""
+    key = ["root_id", "folder"]
+    plans = plan_folders(listing).withColumns(
+        {
+            "discovered_folders": F.lit(0), "discovered_files": F.lit(0), "photo_folders": F.lit(1), "described": (F.col("documents") == 1).cast("int"),
+            "conflicts": F.col("ambiguous").cast("int"), "without_description": (F.col("documents") == 0).cast("int"),
+        }
+    )
+    seen = listing.groupBy("root_id").agg(F.count_if(F.col("is_directory")).alias("discovered_folders"), F.count_if(~F.col("is_directory")).alias("discovered_files"))
+    counts = {n: F.col(n) for n in ("discovered_folders", "discovered_files", "photo_folders", "photos", "described", "conflicts", "without_description")}
+    rows = plans.select(*key, *counts.values()).unionByName(seen.withColumn("folder", F.lit(None).cast("string")), allowMissingColumns=True)
+    grouped = rows.groupingSets([[F.col("root_id"), F.col("folder")], [F.col("root_id")], []], "root_id", "folder").agg(
+        *[F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(n) for n in counts], F.grouping("folder").alias("__all")
+    )
+    return grouped.where("folder IS NOT NULL OR __all = 1").drop("__all")
+
+
+def scan_report(reconciled: DataFrame, photos: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """Counters of the documents' content per folder, and their total (folder null)."""
     per = reconciled.groupBy("folder").agg(
         F.count("*").alias("entries"),
         F.count("photo").alias("present"),

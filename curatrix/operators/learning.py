@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from curatrix.functions.geo import format_latlon, parse_latlon
 from curatrix.functions.text import blank_if_null, candidate_chunks, is_blank, is_context_dependent, normalize_phrase, split_list_field, strip
-from curatrix.operators.dictionary import find_matches, propose_latlon, resolve_canonical
+from curatrix.operators.dictionary import entity_id, find_matches, propose_latlon, resolve_canonical
 
 
 def teaching_rows(rows: DataFrame) -> DataFrame:
@@ -58,31 +58,57 @@ def learn_aliases(rows: DataFrame, values: DataFrame, phrases: DataFrame) -> Dat
     return best.select("entity_type", "b.canonical", F.col("b.chunk").alias("alias"), "b.reason", "b.ord")
 
 
-def learn_coordinates(rows: DataFrame, places: DataFrame) -> DataFrame:
+def taught_coordinates(rows: DataFrame, phrases: DataFrame | None = None) -> DataFrame:
+    """(ord, canonical, key, latlon) of rows that give a place and its coordinates. With ``phrases``
+    another spelling of a place stands for its canonical name."""
+    point = parse_latlon(F.col("latlon"))
+    taught = teaching_rows(rows).where(~is_blank(F.col("place")) & point.isNotNull()).select("ord", strip(F.col("place")).alias("value"), format_latlon(point).alias("latlon"))
+    if phrases is not None:
+        named = resolve_canonical(taught.select(F.lit("place").alias("entity_type"), "value").distinct(), phrases).select("value", "canonical")
+        taught = taught.join(named, "value", "left")
+    else:
+        taught = taught.withColumn("canonical", F.lit(None).cast("string"))
+    canonical = F.coalesce("canonical", "value")
+    return taught.select("ord", canonical.alias("canonical"), normalize_phrase(canonical).alias("key"), "latlon")
+
+
+def learn_coordinates(rows: DataFrame, places: DataFrame, phrases: DataFrame | None = None) -> DataFrame:
     """(entity_id, latlon, result) per place and distinct coordinates, from rows with both;
     ``places``: (entity_id, canonical, latlon)."""
-    point = parse_latlon(F.col("latlon"))
-    taught = teaching_rows(rows).where(~is_blank(F.col("place")) & point.isNotNull()).select("ord", normalize_phrase(F.col("place")).alias("key"), format_latlon(point).alias("latlon"))
     named = places.select("entity_id", normalize_phrase(F.col("canonical")).alias("key"))
-    return propose_latlon(places, taught.join(named, "key").select("entity_id", "latlon", "ord"))
+    return propose_latlon(places, taught_coordinates(rows, phrases).join(named, "key").select("entity_id", "latlon", "ord"))
+
+
+def coordinate_evidence(rows: DataFrame, places: DataFrame, coordinates: DataFrame, phrases: DataFrame | None = None) -> DataFrame:
+    """(entity_type, canonical, reason, candidate_text, latlon, ord): each row's coordinates, approved
+    or in conflict with those that stand."""
+    named = places.select("entity_id", "canonical", normalize_phrase(F.col("canonical")).alias("key"))
+    judged = taught_coordinates(rows, phrases).drop("canonical").join(named, "key").join(coordinates, ["entity_id", "latlon"])
+    reason = F.when(F.col("result") == "conflict", "COORDINATE_CONFLICT").otherwise("APPROVED_COORDINATES")
+    return judged.select(F.lit("place").alias("entity_type"), "canonical", reason.alias("reason"), F.lit("").alias("candidate_text"), "latlon", "ord")
 
 
 def learn_from_rows(rows: DataFrame, phrases: DataFrame, places: DataFrame) -> dict[str, DataFrame]:
     """New entities, candidate aliases, coordinate results and evidence rows of one pass. Nothing
-    is written; a second pass over the outcome's dictionary finds nothing new."""
+    is written; a second pass over the outcome's dictionary finds nothing new. New places take
+    part in the coordinates under the id that ``add_entity`` gives them."""
     values = taught_values(rows)
     fresh = new_entities(values, phrases)
     grown = phrases.unionByName(fresh.select("entity_type", "canonical", F.col("canonical").alias("phrase"), F.lit("CONFIRMED").alias("status")))
     aliases = learn_aliases(teaching_rows(rows), values, grown)
+    new_places = fresh.where("entity_type = 'place'").join(places.select("canonical"), "canonical", "left_anti")
+    known = places.select("entity_id", "canonical", "latlon").unionByName(new_places.select(entity_id(F.lit("place"), F.col("canonical")).alias("entity_id"), "canonical", F.lit("").alias("latlon")))
+    coordinates = learn_coordinates(rows, known, grown)
     where = rows.select("ord", "root", "folder", "reference")
     evidence = fresh.select("entity_type", "canonical", F.lit("APPROVED_VS_SOURCE").alias("reason"), F.lit("").alias("candidate_text"), "ord").unionByName(
         aliases.select("entity_type", "canonical", "reason", F.col("alias").alias("candidate_text"), "ord")
     )
+    evidence = evidence.withColumn("latlon", F.lit("")).unionByName(coordinate_evidence(rows, known, coordinates, grown))
     return {
         "entities": fresh,
         "aliases": aliases,
-        "coordinates": learn_coordinates(rows, places),
-        "evidence": evidence.join(where, "ord").withColumn("latlon", F.lit("")),
+        "coordinates": coordinates,
+        "evidence": evidence.join(where, "ord"),
     }
 
 

@@ -150,8 +150,8 @@ def find_moved(missing: DataFrame, fresh: DataFrame) -> DataFrame:
     n = fresh.select(path().alias("to_path"), "remote_id", "content_hash", F.lower(base_name(F.col("relative_path"))).alias("file_name"))
     found = None
     for rank, (key, signal) in enumerate((("remote_id", "remote_id"), ("content_hash", "content_hash"), ("file_name", "file_name"))):
-        part = m.where(F.col(key).isNotNull()).join(n.where(F.col(key).isNotNull()).select(key, "to_path"), key)
-        part = part.groupBy("from_path").agg(F.min("to_path").alias("to_path")).select("from_path", "to_path", F.lit(signal).alias("signal"), F.lit(rank).alias("rank"))
+        least = n.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("to_path").alias("to_path"))  # one row per key, so no key makes pairs
+        part = m.where(F.col(key).isNotNull()).join(least, key).select("from_path", "to_path", F.lit(signal).alias("signal"), F.lit(rank).alias("rank"))
         found = part if found is None else found.unionByName(part)
     best = found.groupBy("from_path").agg(F.min(F.struct("rank", "to_path", "signal")).alias("b"))
     return best.select("from_path", "b.to_path", "b.signal")

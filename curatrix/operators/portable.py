@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curatrix.functions.text import blank_if_null
-from curatrix.operators.dictionary import upsert_alias
+from curatrix.operators.dictionary import record_evidence, upsert_alias
 
 SCHEMA_VERSION = 1
 KEY = ["root", "folder", "identity"]
@@ -85,11 +85,14 @@ def insert_or_ignore(have: DataFrame, new: DataFrame, key: list[str]) -> DataFra
 
 def bootstrap(snapshot: dict[str, DataFrame], have: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Restore a snapshot into what is there: roots, row states and entities enter under their own ids
-    unless present, aliases are raised but never lowered. Twice is once. Every field comes back."""
-    keys = {"roots": ["identity"], "row_states": KEY, "entities": ["entity_type", "entity_id"], "evidence": ["entity_type", "canonical", "reason", "reference"]}
+    unless present, so do candidate coordinates (``latlons``) and evidence by its whole key; aliases are
+    raised but never lowered. Twice is once. Every field comes back."""
+    keys = {"roots": ["identity"], "row_states": KEY, "entities": ["entity_type", "entity_id"], "latlons": ["entity_id", "latlon"]}
     out = {n: insert_or_ignore(have[n], snapshot[n], k) for n, k in keys.items() if n in snapshot and n in have}
     if "aliases" in snapshot and "aliases" in have:
         out["aliases"] = upsert_alias(have["aliases"], snapshot["aliases"]).drop("changed")
+    if "evidence" in snapshot and "evidence" in have:
+        out["evidence"] = have["evidence"].unionByName(record_evidence(have["evidence"], snapshot["evidence"]), allowMissingColumns=True)
     return out
 
 

@@ -36,7 +36,7 @@ def coverage_join(rows: DataFrame, folders: DataFrame, states: DataFrame) -> Dat
     joined = rows.join(folders.select("root", "folder", F.col("status").alias("fs")), ["root", "folder"], "left")
     joined = joined.join(states.select("root", "folder", "identity", F.col("source_entry_exists").alias("es")), ["root", "folder", "identity"], "left")
     joined = joined.withColumn("folder_status", F.when(F.col("fs").isin(*FOLDER_STATUSES), F.col("fs")).otherwise("UNKNOWN")).withColumn("entry_exists", F.coalesce("es", F.lit(False))).drop("fs", "es")
-    return joined.withColumn("coverage", classify_coverage(F.col("folder_status"), F.col("entry_exists"), F.col("source_description"), F.col("section_context")))
+    return joined.withColumn("coverage", classify_coverage(F.col("folder_status"), F.col("entry_exists"), F.col("source_description"), F.col("section_context"), F.col("source_notes") if "source_notes" in rows.columns else None))
 
 
 def coverage_summary(covered: DataFrame) -> DataFrame:

@@ -48,8 +48,11 @@ def read_review_rows(raw: DataFrame, columns: tuple[str, ...], pos: str = "pos")
     return rows.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n", "__pos")
 
 
-def upsert_row_states(states: DataFrame, new: DataFrame) -> DataFrame:
-    """Last write wins per (root, folder, identity)."""
+def upsert_row_states(states: DataFrame, new: DataFrame, order: str = "ord") -> DataFrame:
+    """Last write wins per (root, folder, identity): ``new`` over ``states``, and in ``new`` the
+    greatest ``order``. That column is not kept; without it the keys of ``new`` must differ."""
+    if order in new.columns:
+        new = new.groupBy(*KEY).agg(F.max_by(F.struct(*[c for c in new.columns if c != order]), order).alias("__row")).select("__row.*")
     return states.join(new, KEY, "left_anti").unionByName(new, allowMissingColumns=True)
 
 

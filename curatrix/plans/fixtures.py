@@ -81,7 +81,7 @@ FROM orders""",
     "fx_fingerprints": """
 SELECT concat('photo-', o_orderkey) AS photo_id,
        concat(substr(md5(CAST(o_orderkey - o_orderkey % 15 AS STRING)), 1, 15), substr('0123456789abcdef', 1 + CAST(o_orderkey % 16 AS INT), 1)) AS image_fingerprint
-FROM orders WHERE o_orderkey % 5 = 0""",
+FROM orders""",
     "fx_all_fingerprints": """
 SELECT concat('photo-', o_orderkey) AS photo_id,
        concat(substr(md5(CAST(o_orderkey - o_orderkey % 15 AS STRING)), 1, 15), substr('0123456789abcdef', 1 + CAST(o_orderkey % 16 AS INT), 1)) AS image_fingerprint
@@ -131,7 +131,9 @@ SELECT 'person' AS entity_type, concat('Person ', o_custkey % 1100) AS canonical
 UNION ALL SELECT 'tag', concat('tag', o_custkey % 90, '-', substr(CAST(o_orderdate AS STRING), 1, 4)), substr(CAST(o_orderdate AS STRING), 1, 7) FROM orders""",
     "fx_merge_pairs": """
 SELECT 'tag' AS entity_type, concat('e', lpad(CAST(o_orderkey AS STRING), 9, '0')) AS absorbed, concat('e', lpad(CAST(o_orderkey - 1 AS STRING), 9, '0')) AS survivor
-FROM orders WHERE o_orderkey % 10 <> 0""",
+FROM orders WHERE o_orderkey % 10 <> 0
+UNION ALL SELECT 'tag', concat('e', lpad(CAST(o_orderkey AS STRING), 9, '0')), concat('e', lpad(CAST(o_orderkey + 2 AS STRING), 9, '0'))
+FROM orders WHERE o_orderkey % 30 = 0""",
     "fx_learn_rows": """
 SELECT o_orderkey AS ord, concat('src', o_custkey % 4) AS root, concat('f', o_custkey % 25) AS folder, CAST(o_orderkey AS STRING) AS reference,
        CASE WHEN o_orderkey % 10 = 3 THEN 'SKIP' WHEN o_orderkey % 10 = 4 THEN 'ERROR' ELSE 'NEW' END AS status,

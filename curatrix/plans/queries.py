@@ -228,7 +228,19 @@ def undescribed_photos(paragraphs, photos):
 )
 def scan_report_rollup(paragraphs, photos):
     entries = documents.group_entries(paragraphs, photos)
-    return documents.scan_report(None, entries, documents.reconcile_entries(entries, photos), photos, paragraphs)
+    return documents.scan_report(documents.reconcile_entries(entries, photos), photos, paragraphs)
+
+
+@query(
+    ["fx_listing_curr"],
+    _FILES.replace("SELECT *,", "SELECT * REPLACE (size % 20 = 7 AS is_directory),") + """, g AS (SELECT root_id, folder, count(*) FILTER (kind = 'photo') AS photos, count(*) FILTER (kind = 'description') AS d FROM f WHERE NOT is_directory GROUP BY ALL HAVING count(*) FILTER (kind = 'photo') > 0),
+    u AS (SELECT root_id, folder, 0 AS df, 0 AS di, 1 AS pf, photos, CAST(d = 1 AS INT) AS x, CAST(d > 1 AS INT) AS y, CAST(d = 0 AS INT) AS z FROM g UNION ALL SELECT root_id, NULL, count(*) FILTER (is_directory), count(*) FILTER (NOT is_directory), 0, 0, 0, 0, 0 FROM f GROUP BY root_id),
+    r AS (SELECT root_id, folder, grouping(folder) AS a, sum(df) AS discovered_folders, sum(di) AS discovered_files, sum(pf) AS photo_folders, sum(photos) AS photos, sum(x) AS described, sum(y) AS conflicts, sum(z) AS without_description FROM u GROUP BY GROUPING SETS ((root_id, folder), (root_id), ()))
+    SELECT root_id, folder, CAST(discovered_folders AS BIGINT) AS discovered_folders, CAST(discovered_files AS BIGINT) AS discovered_files, CAST(photo_folders AS BIGINT) AS photo_folders, CAST(photos AS BIGINT) AS photos,
+    CAST(described AS BIGINT) AS described, CAST(conflicts AS BIGINT) AS conflicts, CAST(without_description AS BIGINT) AS without_description FROM r WHERE folder IS NOT NULL OR a = 1""",
+)
+def root_report(curr):
+    return documents.root_report(curr.withColumn("is_directory", C("size") % 20 == 7))
 
 
 _W = "[0-9A-Za-zА-Яа-яЁё_]"
@@ -418,8 +430,9 @@ def dictionary_summary(evidence):
 
 @query(
     ["fx_merge_pairs"],
-    """+ w AS (SELECT absorbed, survivor AS top FROM fx_merge_pairs UNION ALL SELECT w.absorbed, p.survivor FROM w JOIN fx_merge_pairs p ON p.absorbed = w.top)
-    SELECT absorbed, min(top) AS survivor FROM w GROUP BY absorbed""",
+    """+ w AS (SELECT absorbed, survivor AS top FROM fx_merge_pairs UNION SELECT w.absorbed, p.survivor FROM w JOIN fx_merge_pairs p ON p.absorbed = w.top),
+    c AS (SELECT absorbed AS node FROM w WHERE absorbed = top), e AS (SELECT absorbed, min(top) AS survivor FROM w WHERE top IN (FROM c) OR top NOT IN (SELECT absorbed FROM fx_merge_pairs) GROUP BY absorbed)
+    SELECT 'tag' AS entity_type, absorbed, survivor FROM e WHERE absorbed <> survivor""",
     recursive=True,
 )
 def merge_entities(pairs):
@@ -475,11 +488,28 @@ def learn_coordinates(rows):
 
 @query(
     ["fx_evidence"],
-    "+ o AS (SELECT DISTINCT entity_type, canonical FROM fx_evidence WHERE run_id < '1995-01') SELECT DISTINCT entity_type, canonical FROM fx_evidence WHERE (entity_type, canonical) NOT IN (SELECT entity_type, canonical FROM o)",
+    """+ k AS (SELECT DISTINCT entity_type, canonical, 'R' || substr(run_id, 6, 1) AS reason, substr(run_id, 6, 2) AS candidate_text, CASE WHEN substr(run_id, 4, 1) = '5' THEN '1.0, 2.0' ELSE '' END AS latlon,
+    substr(run_id, 1, 3) AS root, substr(run_id, 4, 1) AS folder, substr(run_id, 7, 1) AS reference, run_id < '1995-01' AS old FROM fx_evidence)
+    SELECT * EXCLUDE (old) FROM k WHERE NOT old EXCEPT SELECT * EXCLUDE (old) FROM k WHERE old""",
 )
 def record_evidence(evidence):
-    blank = {c: F.lit(None if c == "latlon" else "").cast("string") for c in dictionary.EVIDENCE_KEY if c not in ("entity_type", "canonical")}
-    return dictionary.record_evidence(evidence.where("run_id < '1995-01'").withColumns(blank), evidence.drop("run_id").withColumns(blank)).select("entity_type", "canonical")
+    at = lambda i, n: F.substring("run_id", i, n)
+    none = F.when(C("run_id") >= "1995-01", F.lit("")).otherwise(F.lit(None))  # null and '' are one key
+    key = {"reason": F.concat(F.lit("R"), at(6, 1)), "candidate_text": at(6, 2), "latlon": F.when(at(4, 1) == "5", "1.0, 2.0").otherwise(none), "root": at(1, 3), "folder": at(4, 1), "reference": at(7, 1)}
+    keyed = evidence.withColumns(key)
+    return dictionary.record_evidence(keyed.where("run_id < '1995-01'"), keyed.where("run_id >= '1995-01'")).select(*dictionary.EVIDENCE_KEY)
+
+
+@query(
+    ["fx_learn_rows"],
+    _VALUES + r""", t AS (SELECT *, lower(place) AS entity_id, printf('%.6f, %.6f', CAST(split_part(latlon, ',', 1) AS DOUBLE), CAST(split_part(latlon, ',', 2) AS DOUBLE)) AS ll FROM tr WHERE place <> '' AND latlon <> ''),
+    c AS (SELECT entity_id, ll, min(ord) AS first FROM t GROUP BY 1, 2), w AS (SELECT *, first_value(ll) OVER (PARTITION BY entity_id ORDER BY first, ll) AS f FROM c),
+    d AS (SELECT *, radians(CAST(split_part(ll, ',', 1) AS DOUBLE) - CAST(split_part(f, ',', 1) AS DOUBLE)) AS dl FROM w)
+    SELECT 'place' AS entity_type, place AS canonical, CASE WHEN 2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(dl / 2), 2)))) > 250 THEN 'COORDINATE_CONFLICT' ELSE 'APPROVED_COORDINATES' END AS reason, '' AS candidate_text, ll AS latlon, ord FROM t JOIN d USING (entity_id, ll)""",
+)
+def coordinate_evidence(rows):
+    places = rows.where("place <> ''").select(F.lower("place").alias("entity_id"), C("place").alias("canonical"), F.lit("").alias("latlon")).distinct()
+    return learning.coordinate_evidence(rows, places, learning.learn_coordinates(rows, places))
 
 
 # --- merge and sync
@@ -754,13 +784,13 @@ def rank_similar(prints):
 
 @query(["fx_all_fingerprints"])
 def near_pairs_whole(prints):
-    """``near_pairs`` of all pictures; no SQL, as its self-join is quadratic."""
+    """``near_pairs`` of all pictures, under its own name since it was once held apart."""
     return similarity.near_pairs(prints, 7)
 
 
 @query(["fx_all_fingerprints"])
 def rank_similar_whole(prints):
-    """``rank_similar`` of all pictures; no SQL, as its self-join is quadratic."""
+    """``rank_similar`` of all pictures, under its own name since it was once held apart."""
     return similarity.rank_similar(prints)
 
 

@@ -24,12 +24,12 @@ def snapshot_counters(prev, curr):
 
 @query(
     ["fx_listing_prev", "fx_listing_curr"],
-    f"""+ p AS (SELECT root_id, {_FOLDER_OF} AS folder, relative_path, coalesce(content_hash, '') AS h FROM fx_listing_prev WHERE size % 4 < 2), c AS (SELECT root_id, {_FOLDER_OF} AS folder, relative_path, coalesce(content_hash, '') AS h FROM fx_listing_curr WHERE size % 4 < 2),
+    f"""+ p AS (SELECT root_id, {_FOLDER_OF} AS folder, relative_path, coalesce(content_hash, '') AS h FROM fx_listing_prev), c AS (SELECT root_id, {_FOLDER_OF} AS folder, relative_path, coalesce(content_hash, '') AS h FROM fx_listing_curr),
     g AS (SELECT root_id, folder FROM (SELECT * FROM p EXCEPT SELECT * FROM c) UNION SELECT root_id, folder FROM (SELECT * FROM c EXCEPT SELECT * FROM p)) SELECT root_id, folder, count(*) AS rows FROM c SEMI JOIN g USING (root_id, folder) GROUP BY ALL""",
 )
 def changed_groups(prev, curr):
     def rows(df: DataFrame) -> DataFrame:
-        return df.where("size % 4 < 2").select("root_id", text.parent_path(C("relative_path")).alias("folder"), "relative_path", "content_hash")
+        return df.select("root_id", text.parent_path(C("relative_path")).alias("folder"), "relative_path", "content_hash")
 
     by = ["root_id", "folder"]
     stored = review.content_signatures(rows(prev), by, ["relative_path"], ["content_hash"])
@@ -78,8 +78,8 @@ def orphan_descriptions(existing, photos):
     "SELECT root, folder, identity, CASE WHEN photo_id <> '' THEN 'NEW' ELSE status END AS status FROM fx_states UNION ALL SELECT root, folder, identity || 'x', 'NEW' FROM fx_states WHERE photo_id <> ''",
 )
 def upsert_row_states(states):
-    some = states.where("photo_id <> ''").withColumn("status", F.lit("NEW"))
-    new = some.unionByName(some.withColumn("identity", F.concat("identity", F.lit("x"))))
+    some = states.where("photo_id <> ''").withColumns({"status": F.lit("NEW"), "ord": F.lit(2)})
+    new = some.unionByName(some.withColumn("identity", F.concat("identity", F.lit("x")))).unionByName(some.withColumns({"status": F.lit("ERROR"), "ord": F.lit(1)}))
     return review.upsert_row_states(states, new).select("root", "folder", "identity", "status")
 
 

@@ -280,6 +280,48 @@ def test_merge_entities_follows_chains_and_cycles(spark):
     assert out["evidence"].first().entity_id == "a"
 
 
+def test_merge_cycles_types_and_unknown_entities(spark):
+    pairs = [("tag", "a", "b"), ("tag", "b", "c"), ("tag", "c", "a"), ("tag", "b", "z"), ("place", "a", "z"), *[("tag", f"n{i:02}", f"n{(i + 1) % 9:02}") for i in range(9)]]
+    df = spark.createDataFrame(pairs, "entity_type string, survivor string, absorbed string")
+    got = {(r.entity_type, r.absorbed): r.survivor for r in dictionary.survivors(df).collect()}
+    want = {("tag", "b"): "a", ("tag", "c"): "a", ("tag", "z"): "a", ("place", "z"): "a"} | {("tag", f"n{i:02}"): "n00" for i in range(1, 9)}
+    assert got == want
+    assert dictionary.survivors(df.limit(0)).count() == 0
+    ents = spark.createDataFrame([("tag", i, i, "") for i in "bcz"] + [("place", "z", "z", "")], "entity_type string, entity_id string, canonical string, latlon string")
+    als = spark.createDataFrame([("tag", "z", "zz", "CONFIRMED")], "entity_type string, entity_id string, alias string, status string")
+    out = dictionary.merge_entities(df, ents, als, als.select("entity_type", "entity_id"))
+    assert sorted(tuple(r)[:2] for r in out["entities"].collect()) == [("place", "z"), ("tag", "b")]
+
+
+def test_last_write_and_last_decision_win(spark):
+    schema = "root string, folder string, identity string, status string"
+    states = spark.createDataFrame([("r", "f", "1", "OLD"), ("r", "f", "2", "OLD")], schema)
+    new = spark.createDataFrame([("r", "f", "1", "A", 1), ("r", "f", "1", "B", 2), ("r", "f", "3", "C", 1)], schema + ", ord int")
+    assert sorted(tuple(r)[2:] for r in review.upsert_row_states(states, new).collect()) == [("1", "B"), ("2", "OLD"), ("3", "C")]
+    als = spark.createDataFrame([("tag", "1", "a", "CANDIDATE")], "entity_type string, entity_id string, alias string, status string")
+    said = spark.createDataFrame([("tag", "1", "a", "REJECTED", 1), ("tag", "1", "a", "CONFIRMED", 2)], "entity_type string, entity_id string, alias string, status string, ord int")
+    assert [r.status for r in dictionary.set_alias_status(als, said).collect()] == ["CONFIRMED"]
+    assert [r.status for r in dictionary.set_alias_status(als, said.drop("ord")).collect()] == ["REJECTED"]
+
+
+def test_restore_keeps_evidence_that_differs_in_one_column(spark):
+    key = dictionary.EVIDENCE_KEY
+    base = dict.fromkeys(key, "x")
+    rows = [base, *[base | {c: "y"} for c in key], base | {"latlon": None}]
+    ev = spark.createDataFrame([tuple(r[c] for c in key) for r in rows], ", ".join(f"{c} string" for c in key))
+    ll = spark.createDataFrame([("1", "1.0, 2.0"), ("1", "3.0, 4.0")], "entity_id string, latlon string")
+    have = {"evidence": ev.limit(1), "latlons": ll.limit(1)}
+    first = portable.bootstrap({"evidence": ev, "latlons": ll}, have)
+    assert (first["evidence"].count(), first["latlons"].count()) == (len(key) + 2, 2)
+    assert portable.bootstrap({"evidence": ev, "latlons": ll}, first)["evidence"].count() == len(key) + 2
+
+
+def test_source_note_kinds(spark):
+    df = spark.createDataFrame([("", " Нет фото "), ("", "other"), ("t", None)], "t string, n string")
+    out = df.select(text.source_note_kind(C("n")).alias("k"), semantic.has_descriptive_content(C("t"), C("n")).alias("d")).collect()
+    assert [tuple(r) for r in out] == [("SOURCE_STATE", False), ("SOURCE_STATE", False), ("SOURCE_STATE", True)]
+
+
 def test_learning_twice_finds_nothing_new(spark):
     rows = spark.createDataFrame(
         [
@@ -296,6 +338,9 @@ def test_learning_twice_finds_nothing_new(spark):
     assert sorted((r.entity_type, r.canonical) for r in got["entities"].collect()) == [("person", "Аня"), ("place", "Сад")]
     assert sorted((r.canonical, r.alias, r.reason) for r in got["aliases"].collect()) == [("Аня", "Сережа играет", "FUZZY_CANDIDATE"), ("Аня", "Тут", "FUZZY_CANDIDATE"), ("Сад", "Сережа играет", "FUZZY_CANDIDATE"), ("Сад", "Тут", "FUZZY_CANDIDATE")]
     assert sorted((r.latlon, r.result) for r in got["coordinates"].collect()) == [("1.000000, 2.000000", "added"), ("1.000000, 2.001000", "unchanged"), ("5.000000, 5.000000", "conflict")]
+    evidence = sorted((r.reason, r.latlon, r.reference) for r in got["evidence"].where("latlon <> ''").collect())
+    assert evidence == [("APPROVED_COORDINATES", "1.000000, 2.000000", "1"), ("APPROVED_COORDINATES", "1.000000, 2.001000", "2"), ("COORDINATE_CONFLICT", "5.000000, 5.000000", "3")]
+    assert {r.result for r in learning.learn_from_rows(rows, none, places.limit(0))["coordinates"].collect()} == {"added", "unchanged", "conflict"}
     known = got["entities"].select("entity_type", "canonical", C("canonical").alias("phrase"), F.lit("CONFIRMED").alias("status"))
     assert learning.learn_from_rows(rows, known, places)["entities"].count() == 0
 
