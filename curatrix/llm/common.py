@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -49,6 +50,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are no longer held, as after
+    ``materialize``. Spark does so when the driver's JVM collects its garbage, which may be
+    long after a large shuffle was last of use. Events of a plan just run still hold it, so this
+    helps a step later."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def digest128(*cols: Column) -> tuple[Column, Column]:
     """Two independent 64-bit hashes; together a 128-bit key."""
     return F.xxhash64(*cols), F.xxhash64(F.lit("second"), *cols)

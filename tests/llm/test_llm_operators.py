@@ -663,11 +663,26 @@ def test_repeats_overlaps_edges_and_odd_rows(spark, odd):
     p, q = word(50), word(200)
     rows = [(1, p + word(30) + q), (2, word(10) + p + word(5)), (3, q[:49]), (4, q[20:120] + q[60:180]), (5, p * 3), (6, "a" * 400), (7, "a" * 51), (9, q + p), (8, q[:100] + "Z" + q[101:]), (8, q), (None, q), (10, None), (11, "")]
     assert spans_digest(spark.createDataFrame(rows, "doc_id long, text string")) == brute_spans(rows)
-    few = odd.where("doc_id IS NULL OR doc_id <> 6")
-    assert spans_digest(few.withColumn("kept", F.lit(1))) == brute_spans([(r.doc_id, r.text) for r in few.collect()])
+    longer = odd.union(odd.where("doc_id = 6").withColumn("doc_id", F.lit(60).cast("long")))
+    clash = longer.withColumns({"kept": F.lit(1), "at": F.lit("x"), "th": F.lit(2), "ats": F.lit(3), "key": F.lit(4)})
+    assert spans_digest(clash) == brute_spans([(r.doc_id, r.text) for r in longer.collect()])
     assert suffix_dedup.remove_repeats(odd.limit(0)).count() == 0
 
 
+def test_repeats_across_stretches_and_blocks(real, rows, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "STRETCH", 90)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 32)
+    monkeypatch.setattr(suffix_dedup, "FLUSH_RUNS", 500)
+    assert spans_digest(real) == brute_spans(rows)
+
+
+def test_false_matches_are_found_and_undone(real, rows, monkeypatch):
+    """With a content hash that takes all runs of one size for equal, the bytes tell, and another seed is right."""
+    right = suffix_dedup.content_hash
+    monkeypatch.setattr(suffix_dedup, "content_hash", lambda h, at, n, seed: right(h, at, n, seed) if seed == 2 else n.astype(np.uint64))
+    assert spans_digest(real) == brute_spans(rows)
+
+
 def test_repeats_decided_in_spark_agree(real, rows, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT_RUNS", 1)
     assert spans_digest(real) == brute_spans(rows)
