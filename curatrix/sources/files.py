@@ -21,7 +21,7 @@ def scan_files(spark: SparkSession, path: str, root_id: str = "", glob: str = "*
     """Recursive listing with the digest of each file's content. Files that can't be read are left out
     by the reader rather than failing the job."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("ignoreCorruptFiles", "true").load(path)
-    relative = F.regexp_replace(F.regexp_replace(F.col("path"), "^[a-z0-9]+:/*", "/"), "^" + path.rstrip("/").replace(".", r"\.") + "/", "")
+    relative = F.regexp_replace(F.regexp_replace(F.col("path"), "^[a-z0-9]+:/*", "/"), r"^\Q" + path.rstrip("/") + r"\E/", "")
     return found.select(
         F.lit(root_id).alias("root_id"), base_name(F.col("path")).alias("name"), relative.alias("relative_path"), F.lit(False).alias("is_directory"),
         F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("content_hash"),

@@ -571,3 +571,38 @@ def test_results_do_not_depend_on_partitions(spark, small, parts):
             assert sorted(map(str, QUERIES[n](spark, small).collect())) == w
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_files_and_tables_below_odd_folders(spark, tmp_path):
+    from curatrix.sources import files
+
+    base = tmp_path / "a+b (1) x.y"
+    (base / "in").mkdir(parents=True)
+    (base / "in" / "t.csv").write_text("id,name\n1,one\nbad,two\n")
+    (base / "~$t.csv").write_text("id,name\n9,lock\n")
+    assert {r.relative_path for r in files.scan_files(spark, str(base), glob="t.csv").collect()} == {"in/t.csv"}
+    rows = files.discover_tables(spark, str(tmp_path), "id int, name string").select("id", "name").collect()
+    assert sorted((r.id or 0, r.name) for r in rows) == [(0, "two"), (1, "one")]
+    sources = spark.createDataFrame([("a", True), ("b", False), ("c", None)], "name string, enabled boolean")
+    assert [r.name for r in files.enabled_sources(sources).collect()] == ["a"]
+
+
+def test_small_text_functions(spark):
+    df = spark.createDataFrame([(" https://disk/d/abc/?x=1 ", "2020-01-02 03:04:05", "m1", "")], "u string, t string, m string, r string")
+    at = text.parse_timestamp(C("t"))
+    got = df.select(
+        text.public_key_from_url(C("u"), ["https://disk/"]).alias("key"), text.public_key_from_url(C("u"), ["ftp://"]).alias("none"), text.fallback_root_name(C("u")).alias("root"),
+        text.format_timestamp(at).alias("t"), text.describe_provenance(at, C("m"), C("r")).alias("p"), semantic.source_note_text(F.lit("d"), F.lit(" "), F.lit("n")).alias("s"),
+    ).first()
+    assert tuple(got) == ("https://disk/d/abc/?x=1", None, "abc", "2020-01-02T03:04:05Z", "2020-01-02T03:04:05Z on m1", "d\n\nПометки: n")
+
+
+def test_baselines_and_refused_proposals(spark, tmp_path):
+    base = spark.createDataFrame([("a", "r1", "x"), ("b", "r2", "y")], "artifact string, record_id string, value string")
+    path = str(tmp_path / "base")
+    assert portable.load_baseline(spark, path, "a") is None
+    portable.save_baseline(base, path)
+    portable.save_baseline(base.where("artifact = 'a'").withColumn("value", F.lit("z")), path)
+    assert [r.value for r in portable.load_baseline(spark, path, "a").collect()] == ["z"]
+    assert [r.value for r in portable.load_baseline(spark, path, "b").collect()] == ["y"]
+    assert [r.record_id for r in portable.rejected_proposals(base, base.limit(1), ["record_id"]).collect()] == ["r2"]
