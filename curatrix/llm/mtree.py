@@ -10,8 +10,10 @@ ones are divided) becomes one M-tree of fixed-size pages, written as one row of
 table in the shared folder. A page entry holds its object, the covering radius of
 the page below, and the distance to the parent object. A query first searches the
 tree with the least bound, and with the k-th distance found there only those trees
-whose bound is not beyond it. In a tree the page of least bound comes first, and
-stored parent distances rule out entries before any distance is computed.
+whose bound is not beyond it. Queries of one tree descend in blocks: the page of
+least bound to any of them comes first, each query leaves a page that its own k-th
+distance rules out, and stored parent distances rule out entries before any
+distance is computed. A tree is sent once for each block of queries that asks it.
 """
 
 from __future__ import annotations
@@ -32,9 +34,18 @@ SCALE = 64.0
 LEAF, FANOUT = 64, 16
 #: Vectors in a tree, about; the number of trees is bounded, so that the directory of
 #: centres and radii that every query is held against is bounded too.
-TREE_ROWS, MAX_TREES = 8_192, 4_096
+TREE_ROWS, MAX_TREES = 8_192, 16_384
 MAX_PIVOTS = 1_024
 QUERY_BLOCK = 2_048
+#: Whole numbers up to this are exact as floating point; no product exceeds the largest squared norm.
+EXACT = 1 << 53
+_NONE = np.iinfo(np.int64).min
+
+
+def _narrow(v: np.ndarray) -> np.ndarray:
+    """The same numbers in the smallest type that holds them."""
+    kind = np.promote_types(np.min_scalar_type(v.min()), np.min_scalar_type(v.max())) if v.size else v.dtype
+    return v.astype(kind)
 
 
 class MTree:
@@ -86,7 +97,7 @@ class MTree:
         sizes = np.asarray([len(p[1]) for p in self.pages])
         out = io.BytesIO()
         np.savez(
-            out, ids=self.ids, vectors=self.vectors, lift=self.lift, sizes=sizes, root=self.root, top=self.top,
+            out, ids=self.ids, vectors=_narrow(self.vectors), lift=self.lift, sizes=sizes, root=self.root, top=self.top,
             leaf=np.asarray([p[0] for p in self.pages]), objects=np.concatenate([p[1] for p in self.pages]), parent=np.concatenate([p[2] for p in self.pages]),
             radii=np.concatenate([p[3] for p in self.pages]), children=np.concatenate([p[4] for p in self.pages]),
         )
@@ -97,49 +108,71 @@ class MTree:
         z = np.load(io.BytesIO(data))
         cut = np.cumsum(z["sizes"])[:-1]
         pages = list(zip(z["leaf"].tolist(), *(np.split(z[n], cut) for n in ("objects", "parent", "radii", "children")), strict=True))
-        return cls(z["ids"], z["vectors"], z["lift"], pages, int(z["root"]), float(z["top"]))
-
-    def search(self, query_id: int, q: np.ndarray, k: int, floor: int | None = None) -> list[tuple[int, int]]:
-        """The ``k`` best (score, vec_id), less those known to lie under ``floor``; a row
-        with the query's id is passed over."""
-        base = float((q * q).sum()) + self.top
+        return cls(z["ids"], z["vectors"].astype(np.int64), z["lift"], pages, int(z["root"]), float(z["top"]))
+
+    def search(self, query_ids: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each query, a row of ``q``, the ``k`` best (query row, score, vec_id) in order, less those
+        known to lie under its ``floor``; a row with the query's id is passed over."""
+        exact = self.top < EXACT and (q * q).sum(axis=1).max(initial=0) < EXACT
+        own, asked = (self.vectors.astype(np.float64), q.astype(np.float64)) if exact else (self.vectors, q)
+        base = (q * q).sum(axis=1).astype(np.float64) + self.top
         slack = 1e-6 * (1 + np.sqrt(base))
-        reach = lambda s: np.sqrt(max(0.0, base - 2 * s)) + slack
-        limit = np.inf if floor is None else reach(floor)
-        best: list[tuple[int, int]] = []
-        d0 = np.sqrt(max(0.0, base - 2 * int(self.vectors[0] @ q)))
-        queue = [(0.0, self.root, d0)]
+        score = np.full((len(q), k), _NONE)
+        found = np.full((len(q), k), np.iinfo(np.int64).max)
+        worst = np.full(len(q), _NONE) if floor is None else floor.copy()
+
+        def reach(rows: np.ndarray) -> np.ndarray:
+            far = np.sqrt(np.maximum(0.0, base[rows] - 2.0 * worst[rows])) + slack[rows]
+            return np.where(worst[rows] == _NONE, np.inf, far)
+
+        def products(rows: np.ndarray, objects: np.ndarray) -> np.ndarray:
+            return (asked[rows] @ own[objects].T).astype(np.int64)
+
+        def distances(rows: np.ndarray, scores: np.ndarray) -> np.ndarray:
+            return np.sqrt(np.maximum(0.0, base[rows, None] - 2.0 * scores))
+
+        def take(rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+            """Merge entries (those passed over score ``_NONE``) into the best of these queries."""
+            every = np.concatenate([score[rows], scores], axis=1)
+            names = np.concatenate([found[rows], np.broadcast_to(ids, scores.shape)], axis=1)
+            order = np.lexsort((names, -np.maximum(every, _NONE + 1)), axis=-1)[:, :k]
+            score[rows], found[rows] = np.take_along_axis(every, order, 1), np.take_along_axis(names, order, 1)
+            worst[rows] = np.maximum(worst[rows], score[rows, k - 1])
+            limit[rows] = np.minimum(limit[rows], reach(rows))
+
+        everyone = np.arange(len(q))
+        limit = reach(everyone)
+        to_root = distances(everyone, products(everyone, np.zeros(1, np.int64)))[:, 0]
+        queue = [(0.0, 0, self.root, everyone, np.zeros(len(q)), to_root)]
+        pushed = 0
         while queue:
-            bound, at, to_parent = heapq.heappop(queue)
-            if bound > limit:
-                break
-            leaf, objects, parent, radii, children = self.pages[at]
-            open_ = np.abs(to_parent - parent) - radii <= limit  # by stored distances alone
-            objects = objects[open_]
-            if not len(objects):
+            _, _, at, rows, bound, to_parent = heapq.heappop(queue)
+            near = bound <= limit[rows]
+            rows, bound, to_parent = rows[near], bound[near], to_parent[near]
+            leaf, objects, parent, radii, children = self.pages[at] if len(rows) else (True, *[np.empty(0, np.int64)] * 4)
+            open_ = np.abs(to_parent[:, None] - parent) - radii <= limit[rows, None]  # by stored distances alone
+            some, cols = open_.any(axis=1), open_.any(axis=0)
+            if not some.any():
                 continue
-            scores = self.vectors[objects] @ q
+            rows, bound, open_ = rows[some], bound[some], open_[np.ix_(some, cols)]
+            objects, radii, children = objects[cols], radii[cols], children[cols]
+            scores = products(rows, objects)
             if leaf:
-                worst = best[0][0] if len(best) == k else floor
-                if worst is not None:
-                    fine = scores >= worst
-                    objects, scores = objects[fine], scores[fine]
-                for s, v in zip(scores.tolist(), self.ids[objects].tolist(), strict=True):
-                    if v == query_id:
-                        continue
-                    if len(best) < k:
-                        heapq.heappush(best, (s, -v))
-                    elif (s, -v) > best[0]:
-                        heapq.heapreplace(best, (s, -v))
-                if len(best) == k:
-                    limit = min(limit, reach(best[0][0]))
-            else:
-                d = np.sqrt(np.maximum(0.0, base - 2.0 * scores))
-                bounds = np.maximum(bound, d - radii[open_])
-                for b, child, dist in zip(bounds.tolist(), children[open_].tolist(), d.tolist(), strict=True):
-                    if b <= limit:
-                        heapq.heappush(queue, (b, child, dist))
-        return [(s, -v) for s, v in sorted(best, reverse=True)]
+                ids = self.ids[objects]
+                fine = open_ & (scores >= worst[rows, None]) & (ids != query_ids[rows, None])
+                some, cols = fine.any(axis=1), fine.any(axis=0)
+                if some.any():
+                    take(rows[some], np.where(fine, scores, _NONE)[np.ix_(some, cols)], ids[cols])
+                continue
+            d = distances(rows, scores)
+            bounds = np.maximum(bound[:, None], d - radii)
+            open_ &= bounds <= limit[rows, None]
+            for j, child in enumerate(children.tolist()):
+                if (mine := np.flatnonzero(open_[:, j])).size:
+                    pushed += 1
+                    heapq.heappush(queue, (float(bounds[mine, j].min()), pushed, child, rows[mine], bounds[mine, j], d[mine, j]))
+        row, col = np.nonzero(score != _NONE)
+        return row, score[row, col], found[row, col]
 
 
 def whole_vectors(vectors: DataFrame, scale: float = SCALE) -> DataFrame:
@@ -186,7 +219,7 @@ def _search_dim(points: DataFrame, queries: DataFrame, n: int, top: int, k: int)
     directory = trees.select("tree", "centre", "radius").orderBy("tree").toPandas()  # bounded by MAX_TREES + MAX_PIVOTS
     numbers, radii = directory["tree"].to_numpy(np.int64), directory["radius"].to_numpy()
     centres = _matrix(directory["centre"])
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def bounds(v: pd.Series) -> np.ndarray:
         m = _matrix(v)
@@ -212,24 +245,29 @@ def _search_dim(points: DataFrame, queries: DataFrame, n: int, top: int, k: int)
                 yield pd.DataFrame({"tree": numbers[c], "query_id": b["query_id"].to_numpy()[r], "v": b["v"].to_numpy()[r], "floor": floor.to_numpy()[r]})
 
     def search(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(asked) and len(held):
-            tree = MTree.from_bytes(held["data"].iloc[0])
-            for q, v, f in zip(asked["query_id"], asked["v"], asked["floor"], strict=True):
-                rows += [(q, int(i), int(s), int(asked["tree"].iloc[0])) for s, i in tree.search(int(q), np.asarray(v, np.int64), k, None if pd.isna(f) else int(f))]
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score", "tree"]).astype("int64")
+        if not len(asked) or not len(held):
+            return pd.DataFrame(columns=["query_id", "vec_id", "score"]).astype("int64")
+        ids, floor = asked["query_id"].to_numpy(np.int64), asked["floor"].astype("Int64").fillna(_NONE).to_numpy(np.int64)
+        row, score, vec = MTree.from_bytes(held["data"].iloc[0]).search(ids, _matrix(asked["v"]), k, floor)
+        return pd.DataFrame({"query_id": ids[row], "vec_id": vec, "score": score})
 
     def asked_of(rows: DataFrame) -> DataFrame:
-        keyed = rows.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-        held = trees.select("tree", "data", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-        return keyed.groupBy("tree", "block").cogroup(held.groupBy("tree", "block")).applyInPandas(search, "query_id long, vec_id long, score long, tree long")
+        asked = materialize(rows, "asked")
+        blocks = asked.groupBy("tree").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
+        blocks = F.broadcast(materialize(blocks, "blocks"))  # a row per tree at most, as in the directory
+        groups = blocks.agg(F.sum("blocks")).first()[0] or 1
+        tasks = min(groups, 8 * parts)  # by number: the groups are small in bytes and dear in time
+        keyed = asked.join(blocks, "tree").withColumn("block", F.pmod(F.xxhash64("query_id"), "blocks").cast("int")).drop("blocks")
+        held = trees.join(blocks, "tree").select("tree", "data", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        both = [x.repartition(tasks, "tree", "block").groupBy("tree", "block") for x in (keyed, held)]
+        return both[0].cogroup(both[1]).applyInPandas(search, "query_id long, vec_id long, score long")
 
     schema = "tree long, query_id long, v array<long>, floor long"
     start = queries.mapInPandas(first, schema)
-    found = materialize(asked_of(start), "first")
+    found = materialize(asked_of(start), "found")
     floors = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
     again = start.drop("floor").join(floors, "query_id", "left").select("tree", "query_id", "v", "floor").mapInPandas(others, schema)
-    return found.drop("tree").union(asked_of(again).drop("tree"))
+    return found.union(asked_of(again))
 
 
 def top_k(vectors: DataFrame, queries_where: str = "vec_id % 20 = 0", k: int = K, scale: float = SCALE) -> DataFrame:

@@ -637,10 +637,28 @@ def test_mtree_pages_are_exact_and_prune():
     for q in range(0, 3000, 250):
         s = v @ v[q]
         want = sorted(((-int(s[i]), i) for i in range(3000) if i != q))[:20]
-        assert [(-a, b) for a, b in tree.search(q, v[q], 20)] == want
+        row, score, found = tree.search(np.asarray([q]), v[q : q + 1], 20)
+        assert list(zip((-score).tolist(), found.tolist(), strict=True)) == want
     assert len(opened) < 0.7 * 12 * len(pages)
 
 
+@pytest.mark.parametrize("scale", [1, 1 << 24])
+def test_mtree_block_gives_what_single_queries_give(scale):
+    """Also beyond the numbers that are exact as floating point."""
+    rng = np.random.default_rng(5)
+    v = rng.integers(-40, 40, (2000, 12)).astype(np.int64) * scale
+    v[::7] = v[0]
+    tree = mtree.MTree.from_bytes(mtree.MTree.build(np.arange(2000), v, int((v * v).sum(axis=1).max())).to_bytes())
+    asked = np.arange(0, 2000, 20)
+    scores = v[asked] @ v.T
+    want = [sorted((-int(s), i) for i, s in enumerate(line) if i != q)[:9] for q, line in zip(asked, scores, strict=True)]
+    floor = np.where(asked % 40 == 0, [-w[8][0] for w in want], np.iinfo(np.int64).min)
+    for known in (None, floor):
+        row, score, found = tree.search(asked, v[asked], 9, known)
+        got = [[(-int(s), int(i)) for s, i in zip(score[row == r], found[row == r], strict=True)] for r in range(len(asked))]
+        assert got == want
+
+
 # --- repeated byte strings
 
 
