@@ -385,11 +385,6 @@ def _text_ids(paragraphs: DataFrame) -> DataFrame:
     return paragraphs.select(F.concat_ws("|", "folder", "pos").alias("text_id"), "text")
 
 
-@query(["fx_paragraphs", "fx_dictionary"])
-def find_matches(paragraphs, phrases):
-    return dictionary.find_matches(_text_ids(paragraphs), phrases)
-
-
 @query(["fx_paragraphs", "fx_dictionary"])
 def suggest_entities(paragraphs, phrases):
     places = phrases.where("entity_type = 'place'").select("canonical", F.lit("1.000000, 2.000000").alias("latlon")).distinct()
