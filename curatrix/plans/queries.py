@@ -385,18 +385,6 @@ def _text_ids(paragraphs: DataFrame) -> DataFrame:
     return paragraphs.select(F.concat_ws("|", "folder", "pos").alias("text_id"), "text")
 
 
-@query(["fx_paragraphs", "fx_dictionary"])
-def suggest_entities(paragraphs, phrases):
-    places = phrases.where("entity_type = 'place'").select("canonical", F.lit("1.000000, 2.000000").alias("latlon")).distinct()
-    entries = _text_ids(paragraphs).select(C("text_id").alias("entry_id"), "text", F.lit(None).cast("string").alias("section_context"))
-    return dictionary.suggest(entries, phrases, places)
-
-
-@query(["fx_paragraphs", "fx_dictionary"])
-def review_counters(paragraphs, phrases):
-    return reports.review_counters(QUERY_FUNCTIONS["suggest_entities"](paragraphs, phrases))
-
-
 @query(
     ["fx_dictionary", "fx_review_rows"],
     """+ v AS (SELECT DISTINCT upper(phrase) AS value FROM fx_dictionary UNION SELECT DISTINCT place FROM fx_review_rows),
@@ -796,6 +784,3 @@ def rank_similar_whole(prints):
 )
 def dhash(vectors):
     return vectors.select("vec_id", similarity.dhash(F.concat("embedding", F.slice("embedding", 1, 8))).alias("fingerprint"))
-
-
-QUERY_FUNCTIONS = {n: globals()[n] for n in QUERIES}

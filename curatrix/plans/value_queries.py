@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curatrix.functions import semantic, text
-from curatrix.operators import catalog_io, dictionary, listing, merge, portable, review
-from curatrix.plans.queries import _TEXTS, C, _text_ids, query
+from curatrix.operators import catalog_io, dictionary, listing, merge, portable, reports, review
+from curatrix.plans.queries import _TEXTS, ORACLES, C, _text_ids, query
 from curatrix.plans.state_queries import _aliases, _entities
 
 _SHARE = "https://share.example/"
@@ -245,3 +245,32 @@ def captions(rows):
     told = portable.compose_description(C("place"), C("date"), C("people"), C("tags"))
     decision = portable.republish_decision(C("tags") != "", F.length("reference") % 2 == 0)
     return rows.select("reference", told.alias("caption"), decision.alias("decision"))
+
+
+_SUGGESTED = (
+    _CLAIMED
+    + f""", f AS (SELECT text_id, entity_type, x.canonical AS canonical, min(x.s) AS s FROM k WHERE x.status = 'CONFIRMED' GROUP BY ALL),
+    l AS (SELECT text_id, {", ".join(f"count(*) FILTER (entity_type = '{e}') AS n_{e}, string_agg(canonical, '; ' ORDER BY s, canonical) FILTER (entity_type = '{e}') AS {e}" for e in ("person", "place", "tag"))} FROM f GROUP BY text_id),
+    h AS (SELECT text_id, count(*) AS candidates FROM k WHERE x.status = 'CANDIDATE' GROUP BY text_id),
+    sd AS (SELECT folder || '|' || pos AS text_id, suggested FROM ({ORACLES["suggest_date"]})),
+    o AS (SELECT text_id AS entry_id, suggested AS date, CASE WHEN n_place = 1 THEN place ELSE '' END AS place, CASE WHEN n_place = 1 THEN '1.000000, 2.000000' ELSE '' END AS latlon, coalesce(person, '') AS people, coalesce(tag, '') AS tags,
+      CASE WHEN n_place > 1 THEN place ELSE '' END AS ambiguous_places, coalesce(n_person, 0) AS people_matched, coalesce(n_place, 0) AS places_matched, coalesce(n_tag, 0) AS tags_matched, coalesce(candidates, 0) AS candidates
+      FROM sd LEFT JOIN l USING (text_id) LEFT JOIN h USING (text_id))"""
+)
+
+
+@query(["fx_paragraphs", "fx_dictionary"], f"+ {_SUGGESTED} SELECT * FROM o", recursive=True)
+def suggest_entities(paragraphs, phrases):
+    places = phrases.where("entity_type = 'place'").select("canonical", F.lit("1.000000, 2.000000").alias("latlon")).distinct()
+    entries = _text_ids(paragraphs).select(C("text_id").alias("entry_id"), "text", F.lit(None).cast("string").alias("section_context"))
+    return dictionary.suggest(entries, phrases, places)
+
+
+@query(
+    ["fx_paragraphs", "fx_dictionary"],
+    f"""+ {_SUGGESTED} SELECT count(*) AS entries, {", ".join(f"count(*) FILTER ({c} <> '') AS with_{c}" for c in ("date", "place", "latlon", "people", "tags"))},
+    CAST(sum(people_matched + places_matched + tags_matched) AS BIGINT) AS matches, CAST(sum(candidates) AS BIGINT) AS candidates FROM o""",
+    recursive=True,
+)
+def review_counters(paragraphs, phrases):
+    return reports.review_counters(suggest_entities(paragraphs, phrases))
