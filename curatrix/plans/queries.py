@@ -649,7 +649,16 @@ def rescan_autofill(scanned, existing, states):
     return review.rescan_merge(scanned, existing, states).select("root", "folder", "identity", "date", "place", "latlon", "people", "description", "photo_id")
 
 
-@query(_SV)
+@query(
+    _SV,
+    _RESCAN + """, o AS (SELECT step AS outcome FROM f
+    UNION ALL SELECT 'preserved' FROM f WHERE here AND known AND (e.date <> '' OR e.place <> '' OR e.latlon <> '' OR e.people <> '' OR e.tags <> '' OR e.description <> '')
+    UNION ALL SELECT 'autofilled' FROM f WHERE here AND known AND (e.date = '' AND s.suggested_date <> '' OR e.place = '' AND s.suggested_place <> '' OR e.people = '' AND s.suggested_people <> ''
+      OR e.description = '' AND CASE WHEN entry THEN s.source_description ELSE e.source_description END <> '')
+    UNION ALL SELECT 'map_link_applied' FROM f WHERE applied UNION ALL SELECT 'map_link_unparsed' FROM f WHERE refused
+    UNION ALL SELECT 'stale_source_text' FROM f WHERE here AND known AND NOT entry AND e.source_description <> '')
+    SELECT outcome, count(*) AS n FROM o GROUP BY outcome""",
+)
 def rescan_outcomes(scanned, existing, states):
     return review.merge_outcomes(review.rescan_merge(scanned, existing, states))
 
