@@ -701,11 +701,23 @@ def test_false_matches_are_found_and_undone(real, rows, monkeypatch):
     assert spans_digest(real) == brute_spans(rows)
 
 
-def test_repeats_decided_in_spark_agree(real, rows, monkeypatch):
+def test_hot_keys_are_sorted_in_two_rounds(real, rows, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT_RUNS", 1)
+    monkeypatch.setattr(suffix_dedup, "SORT_STRINGS", 100)
     assert spans_digest(real) == brute_spans(rows)
 
 
+def test_one_string_in_very_many_documents(spark, monkeypatch):
+    """A passage of just over 50 bytes between other bytes everywhere, copies in one document included."""
+    monkeypatch.setattr(suffix_dedup, "HOT_RUNS", 20)
+    monkeypatch.setattr(suffix_dedup, "SORT_STRINGS", 200)
+    rng = random.Random(21)
+    word = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    p = word(52)
+    rows = [(d, word(40) + p + word(30) + (p if d % 7 == 0 else "")) for d in range(300, 0, -1)]
+    assert spans_digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)) == brute_spans(rows)
+
+
 def test_hash_compared_sort_sorts_suffixes():
     rng = random.Random(2)
     block = bytes(rng.choice(b"ab") for _ in range(60))
