@@ -749,3 +749,22 @@ def test_pipeline(spark, small):
     assert classes.where("class_id <> doc_id").count() == 0
     assert decontaminate.contaminated(seen["decontaminate"], spark.read.parquet(f"{small}/benchmark.parquet")).count() == 0
     assert sorted(map(tuple, pipeline.run(spark, small).select("doc_id", "shard").collect())) == sorted(map(tuple, docs.select("doc_id", "shard").collect()))
+
+
+def test_pipeline_on_odd_and_empty_rows(spark, odd, small, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    bench = spark.read.parquet(f"{small}/benchmark.parquet")
+    taught = spark.read.parquet(f"{small}/documents.parquet").withColumn("shard", F.lit("own"))
+    mixed = taught.unionByName(odd.select("doc_id", "text"), allowMissingColumns=True)
+    for name, docs, items in (("odd", mixed, bench), ("no_items", mixed, bench.limit(0)), ("empty", taught.limit(0), bench)):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        items.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        out = pipeline.run(spark, f"{tmp_path}/{name}")
+        assert set(taught.columns) <= set(out.columns) and dict(out.dtypes)["shard"] == "int"
+        got = out.select("doc_id", "text", "shard", "slot").collect()
+        assert (len(got) == 0) == (name == "empty")
+        assert all(r.text and r.text.strip() for r in got)
+        texts = {(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()}
+        assert {(r.doc_id, r.text) for r in got} <= texts
+        for shard in {r.shard for r in got}:
+            assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
