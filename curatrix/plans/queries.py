@@ -786,6 +786,10 @@ def rank_similar_whole(prints):
     return similarity.rank_similar(prints)
 
 
+#: Both views hold all pictures, so the SQL is the same.
+ORACLES |= {f"{n}_whole": ORACLES[n] for n in ("near_pairs", "rank_similar")}
+
+
 @tables(
     ["embeddings"],
     """WITH p AS (SELECT vec_id, list_concat(embedding, embedding[1:8]) AS g FROM embeddings)
