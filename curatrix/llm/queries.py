@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from curatrix.llm import decontaminate, language_id, line_dedup, mixing, mtree, near_dedup, quality, sharding, spelling, suffix_dedup, token_store
+from curatrix.llm import decontaminate, dual_tree, language_id, line_dedup, mixing, mtree, near_dedup, quality, sharding, spelling, suffix_dedup, token_store
 
 QUERIES = {
     "op1_mtree_top_k": mtree.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_store": token_store.query,
     "op9_suffix_dedup": suffix_dedup.query,
     "op10_quality": quality.query,
+    "op11_lexical_search": dual_tree.query,
     "op12_spelling_variants": spelling.query,
 }
 
@@ -22,4 +23,5 @@ ORACLES = {
     "op1_mtree_top_k": mtree.ORACLE,
     "op2_line_dedup": line_dedup.ORACLE,
     "op5_mixing": mixing.ORACLE,
+    "op11_lexical_search": dual_tree.ORACLE,
 }
