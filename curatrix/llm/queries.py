@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from curatrix.llm import decontaminate, dual_tree, language_id, line_dedup, mixing, mtree, near_dedup, quality, sharding, spelling, suffix_dedup, token_store
+from curatrix.llm import decontaminate, dual_tree, kmeans_tree, language_id, line_dedup, mixing, mtree, near_dedup, quality, sharding, spelling, suffix_dedup, token_store
 
 QUERIES = {
     "op1_mtree_top_k": mtree.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality": quality.query,
     "op11_lexical_search": dual_tree.query,
     "op12_spelling_variants": spelling.query,
+    "op13_kmeans_tree_search": kmeans_tree.query,
 }
 
 ORACLES = {
