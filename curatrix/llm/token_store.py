@@ -257,8 +257,10 @@ class Encoder:
         short = size <= 16
         a = eight[starts] & mask[np.minimum(size, 8) * short]
         b = eight[starts + 8 * (size > 8)] & mask[np.clip(size - 8, 0, 8) * short]
-        order = np.lexsort((b, a))
-        fresh = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])
+        # zero bytes in words look like the filling, so there the size is compared too
+        keys = (b, a) if low.all() else (b, a, np.minimum(size, 17))
+        order = np.lexsort(keys)
+        fresh = np.concatenate([[True], np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)])
         number = np.empty(len(starts), np.int64)
         number[order] = np.cumsum(fresh) - 1
         first = order[fresh]
