@@ -163,8 +163,8 @@ def sketch(docs: DataFrame, coordinates: int = COORDINATES, band_rows: int = BAN
 
 
 def _shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, elements): the multiset as distinct numbers, occurrence k of a shingle
-    being an element of its own, so that set overlap is multiset overlap."""
+    """(doc_id, t, elements): the multiset as distinct numbers, occurrence k of a shingle
+    being an element of its own, so that set overlap is multiset overlap. ``t`` names the text."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingler()
@@ -176,20 +176,20 @@ def _shingle_sets(docs: DataFrame) -> DataFrame:
                     nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
                     with np.errstate(over="ignore"):
                         out.append(_mix(np.repeat(s, counts) + nth.astype(np.uint64) * _U(0xD1342543DE82EF95)).view(np.int64))
-                yield pd.DataFrame({"doc_id": some["doc_id"].to_numpy(), "elements": out})
+                yield pd.DataFrame({"doc_id": some["doc_id"].to_numpy(), "t": some["t"].to_numpy(), "elements": out})
 
-    return docs.mapInPandas(make, "doc_id long, elements array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInPandas(make, "doc_id long, t long, elements array<long>")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The elements of the documents in ``ids`` (doc_id), written once for all rounds. The ids grow
-    with the input; they are never broadcast, so every size has the same plan."""
+    """The elements of all texts of the documents in ``ids`` (doc_id), written once for all rounds. The ids
+    grow with the input; they are never broadcast, so every size has the same plan."""
     texts = docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi")
-    return materialize(_shingle_sets(texts).dropDuplicates(["doc_id"]), "shingles")
+    return materialize(_shingle_sets(texts).dropDuplicates(["doc_id", "t"]), "shingles")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard similarity reaches ``similarity``."""
+    """The pairs (a, b) of which some texts' weighted Jaccard similarity reaches ``similarity``."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("ea"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("eb"))
     both = F.size(F.array_intersect("ea", "eb"))
@@ -215,13 +215,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def rare_prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """(rep, e, i, n, df): the elements that begin each set when all sets are ordered by rarity.
+    """(rep, t, e, i, n, df): the elements that begin each set when all sets are ordered by rarity.
     A pair at ``similarity`` shares at least ``similarity * n`` elements with either set, so
     the first one they share is among the first n - ceil(similarity * n) + 1 of both.
     Elements that only one set holds join nothing and are left out."""
-    flat = sets.select(F.col("doc_id").alias("rep"), F.size("elements").alias("n"), F.explode("elements").alias("e"))
+    flat = sets.select(F.col("doc_id").alias("rep"), "t", F.size("elements").alias("n"), F.explode("elements").alias("e"))
     often = flat.groupBy("e").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("rep").orderBy("df", "e")) - 1
+    rank = F.row_number().over(Window.partitionBy("rep", "t").orderBy("df", "e")) - 1
     return flat.join(often.hint("merge"), "e").withColumn("i", rank).where((F.col("i") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-6)) & (F.col("df") > 1))
 
 
@@ -256,6 +256,15 @@ def across_components(prefixes: DataFrame, labels: DataFrame, similarity: float)
     return left.join(right.hint("merge"), met & _may_be_near(c("nx"), c("ix"), c("ny"), c("iy"), similarity)).select("x", "y")
 
 
+def same_document(sketches: DataFrame, copies: DataFrame) -> DataFrame:
+    """(a, b): representatives of the texts of one doc_id, each with the least of them."""
+    texts = sketches.where("n > 0").select("doc_id", "k1", "k2")
+    several = texts.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("x"), F.max(F.struct("k1", "k2")).alias("y")).where("x < y").select("doc_id")
+    named = texts.join(several, "doc_id", "left_semi").join(copies.select("k1", "k2", "rep"), ["k1", "k2"])
+    least = named.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    return named.join(least, "doc_id").where("a < rep").select("a", F.col("rep").alias("b")).distinct()
+
+
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, coordinates: int = COORDINATES, band_rows: int = BAND_ROWS) -> DataFrame:
     """(doc_id, class_id, n_shingles) of every row: class_id is the least doc_id of its
     near-duplicate class, the connected component of verified pairs.
@@ -293,7 +302,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, coordinates: i
     led = large.select(F.col("rep").alias("x"), F.explode(F.array("lo", "hi")).alias("y"))
     tried = materialize(candidates(full.union(led)), "pairs")
     sets = shingle_sets(docs, shared.select(F.col("rep").alias("doc_id")).distinct())
-    edges = materialize(verified(tried, sets, similarity), "links")
+    edges = materialize(verified(tried, sets, similarity).union(same_document(sketches, copies)), "links")
     labels = components(edges)
     # the exact rest: members of large buckets that still hold several components
     big = large.join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
