@@ -61,19 +61,21 @@ def _splitters(sample: list[tuple[int, int]], least: float, ranges: int) -> list
 
 
 def _draw(keys: DataFrame, total: int, sample: int, turn: int) -> list[tuple[int, int]]:
-    """Each row with probability sample * size / total: ``sample`` rows are expected."""
+    """Each key with probability sample * size / total: ``sample`` keys are expected at most, however often each occurs."""
     u = F.shiftrightunsigned(F.xxhash64(F.lit(turn), F.col("h"), F.col("tie")), 11).cast("double") / F.lit(float(2**53))
     drawn = keys.where(u * F.lit(float(total)) < F.col("size") * F.lit(float(sample))).select("h", "size")
     return sorted((r.h, r.size) for r in drawn.collect())
 
 
-def plan_shards(docs: DataFrame, n_shards: int, sample: int, ranges: int) -> dict:
+def shard_keys(rows: DataFrame) -> DataFrame:
+    """(h, tie, n, size): number and bytes of the rows of each key."""
+    return materialize(rows.groupBy(F.col("__h").alias("h"), F.col("__tie").alias("tie")).agg(F.count("*").alias("n"), F.sum("__size").alias("size")), "shard-keys")
+
+
+def plan_shards(keys: DataFrame, n_shards: int, sample: int, ranges: int) -> dict:
     """Boundaries, parts of each range, and each part's shard and first slot. What
     reaches the driver is the sample and one row per part, both bounded."""
-    keys = materialize(
-        docs.select(_hash().alias("h"), _tie().alias("tie"), _size().alias("size")), "shard-keys"
-    )
-    rows, total = keys.agg(F.count("*"), F.sum("size")).first()
+    rows, total = keys.agg(F.sum("n"), F.sum("size")).first()
     if not rows:
         return {"bounds": [], "parts": [1], "base": [0], "shard": [0], "first": [0]}
     bounds = _splitters(_draw(keys, total, sample, 1), total / sample, ranges)
@@ -95,7 +97,7 @@ def plan_shards(docs: DataFrame, n_shards: int, sample: int, ranges: int) -> dic
     base = [0]
     for p in parts[:-1]:
         base.append(base[-1] + p)
-    counted = {x.p: (x.b, x.n) for x in keys.groupBy(_part(F.col("h"), F.col("tie"), bounds, parts, base).alias("p")).agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()}
+    counted = {x.p: (x.b, x.n) for x in keys.groupBy(_part(F.col("h"), F.col("tie"), bounds, parts, base).alias("p")).agg(F.sum("size").alias("b"), F.sum("n").alias("n")).collect()}
     items = []  # what must stay together: all parts of a group of equal texts that fits a shard
     for r, (p, b) in enumerate(zip(parts, base, strict=True)):
         whole = full.get(r, (0, True))[1] and full.get(r, (0, True))[0] <= total / n_shards
@@ -136,22 +138,31 @@ def assign_shards(docs: DataFrame, n_shards: int = 8, sample: int = SAMPLE, rang
     (long, gapless from 0 in each shard). Sizes (bytes + 1 a row) are near equal.
 
     Equal texts go to one shard unless they alone outweigh a shard's share; then
-    they are divided by doc_id. Slots are numbered inside parts of about
+    they are divided by doc_id, and equal rows of one doc_id that fill a part by their place in the
+    input (the rows are written once with it, so a task run again finds it unchanged). Slots are numbered inside parts of about
     total / ``ranges`` bytes, never over a whole shard in one task.
 
     Defined cases: null text has size 1 and CRC 0, like ''; a null doc_id is allowed;
     repeated rows get slots of their own; an empty table gives an empty table;
     columns named like the results are replaced.
     """
-    plan = plan_shards(docs, n_shards, sample, ranges)
     names = [c for c in docs.columns if c not in RESULTS]
-    part = _part(_hash(), _tie(), plan["bounds"], plan["parts"], plan["base"])
-    base = docs.select(
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], _hash().alias("__h"), _tie().alias("__tie"), _size().alias("__size"))
+    keys = shard_keys(rows)
+    total = keys.agg(F.sum("size")).first()[0] or 0
+    heavy = materialize(keys.where((F.col("n") > 1) & (F.col("size") > 2 * total / ranges)).select(F.col("h").alias("__h"), F.col("tie").alias("__tie"), F.lit(True).alias("__heavy")), "heavy")
+    if not heavy.isEmpty():  # ranges / 2 keys at most
+        own = F.when(F.col("__heavy"), F.monotonically_increasing_id()).otherwise(F.col("__tie"))
+        rows = materialize(rows.join(F.broadcast(heavy), ["__h", "__tie"], "left").withColumn("__tie", own).drop("__heavy"), "shard-rows")
+        keys = shard_keys(rows)
+    plan = plan_shards(keys, n_shards, sample, ranges)
+    part = _part(F.col("__h"), F.col("__tie"), plan["bounds"], plan["parts"], plan["base"])
+    base = rows.select(
         *[F.col(f"`{c}`") for c in names],
-        _size().alias("size"),
+        F.col("__size").alias("size"),
         F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("text_crc32"),
         part.alias("__part"),
-        _hash().alias("__h"),
+        "__h",
     )
     inside = Window.partitionBy("__part").orderBy("__h", "doc_id", "size")
     at = F.col("__part") + 1
