@@ -10,6 +10,8 @@ short documents.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,7 +62,8 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, max_copies: int = MAX_CO
 def mix(docs: DataFrame, seed: int = 11, weights=WEIGHTS, max_copies: int = MAX_COPIES, rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
     """All rows of ``docs`` with ``size``, ``source_size``, ``target`` and ``copies`` (long).
 
-    A source's order is (size bit length, salt, size, hash). Each (source, bit
+    A source's order is (size bit length, salt, size, hash of doc_id, hash of the row), so only
+    equal rows tie and reruns agree. Each (source, bit
     length, salt) cell holds about ``rows_per_cell`` rows at most, is numbered in
     a task of its own, and gets its offset from a prefix sum over cells; a source
     with a third of all rows is thus spread over many tasks.
@@ -79,6 +82,7 @@ def mix(docs: DataFrame, seed: int = 11, weights=WEIGHTS, max_copies: int = MAX_
         .withColumn("__src", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source").cast("string"))))
         .withColumn("__hex", hexed)
         .withColumn("__bin", F.char_length(F.bin("size")))
+        .withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if c in names and not re.search("map<|variant", kind)]))
         .withColumn("__salt", F.conv(F.substring("__hex", 1, 7), 16, 10).cast("long") % F.lit(salts))
     )
     cells = materialize(base.groupBy("__src", "source", "__bin", "__salt").agg(F.count("*").alias("__rows"), F.sum("size").alias("__words")), "cells")
@@ -89,7 +93,7 @@ def mix(docs: DataFrame, seed: int = 11, weights=WEIGHTS, max_copies: int = MAX_
         .drop("source", "__rows", "__words")
         .join(sources.drop("source"), "__src")
     )
-    inside = Window.partitionBy("__src", "__bin", "__salt").orderBy("size", "__hex")
+    inside = Window.partitionBy("__src", "__bin", "__salt").orderBy("size", "__hex", "__row")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(F.lit(0.0))
     offset = _unit_interval(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("offset"), F.col("__src"))))
     numbered = base.withColumn("__n", F.row_number().over(inside)).join(placed, ["__src", "__bin", "__salt"])
