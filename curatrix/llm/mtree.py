@@ -39,6 +39,8 @@ MAX_PIVOTS = 1_024
 QUERY_BLOCK = 2_048
 #: Whole numbers up to this are exact as floating point; no product exceeds the largest squared norm.
 EXACT = 1 << 53
+#: Vectors below this squared norm have products that 64-bit integers hold.
+LARGEST = 2.0**61
 _NONE = np.iinfo(np.int64).min
 
 
@@ -177,11 +179,13 @@ class MTree:
 
 def whole_vectors(vectors: DataFrame, scale: float = SCALE) -> DataFrame:
     """(vec_id, dim, v, norm): components floor(scale * x). Vectors that are null or hold
-    null or non-finite components are left out; of one vec_id the least vector is taken."""
+    null or non-finite components are left out, and so are those whose squared norm, scaled, is
+    ``LARGEST`` or more; of one vec_id the least vector is taken."""
     x = F.col("embedding")
     bad = F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
     v = F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("long"))
-    found = vectors.where(F.col("vec_id").isNotNull() & x.isNotNull()).where(~bad).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
+    length = F.aggregate(x, F.lit(0.0), lambda a, e: a + (e.cast("double") * scale) * (e.cast("double") * scale))
+    found = vectors.where(F.col("vec_id").isNotNull() & x.isNotNull()).where(~bad).where(length < LARGEST).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
     norm = F.aggregate("v", F.lit(0).cast("long"), lambda a, e: a + e * e)
     return found.groupBy("vec_id").agg(F.min("v").alias("v")).select("vec_id", F.size("v").alias("dim"), "v", norm.alias("norm"))
 
@@ -275,7 +279,8 @@ def top_k(vectors: DataFrame, queries_where: str = "vec_id % 20 = 0", k: int = K
     ``queries_where``, the ``k`` other rows of highest whole-number inner product.
 
     Defined cases: null vectors and vectors with null or non-finite components take no
-    part, neither do rows with a null vec_id; of several rows with one vec_id the least
+    part, neither do rows with a null vec_id, nor vectors so long that 64-bit integers do not
+    hold their products (``LARGEST``); of several rows with one vec_id the least
     vector is taken; vectors of different length are never compared; with fewer
     candidates than ``k`` all are returned; ties go to the smaller vec_id; an empty
     table gives no rows; other columns play no part.
