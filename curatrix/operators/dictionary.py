@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from curatrix.functions.dates import suggest_date
 from curatrix.functions.geo import format_latlon, materially_different, parse_latlon
 from curatrix.functions.text import blank_if_null, normalize_phrase, strip
+from curatrix.scratch import written
 
 _RUN = r"(?U)\w+"
+#: Words in a row by which a longer phrase is looked up.
+ANCHOR = 4
 
 
 def active_phrases(entities: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -24,51 +27,101 @@ def active_phrases(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     return own.unionByName(other.select("entity_type", "canonical", F.col("alias").alias("phrase"), "status"))
 
 
+def _with_runs(df: DataFrame) -> DataFrame:
+    """``df`` with the words of ``low``, each with what follows it up to the next (``pieces``), and where
+    they begin (from 0), by one pass over its characters."""
+    # A mask with "w" for word characters tells where words begin. It is a column of its own, so no lambda computes it.
+    mask = F.split(F.regexp_replace(F.regexp_replace("low", r"(?U)\w", "w"), "[^w]", " "), "")
+    begins = F.transform(F.col("mask"), lambda c, i: F.when((c == "w") & ((i == 0) | (F.get("mask", i - 1) != "w")), i))
+    words, pieces = (F.regexp_extract_all("low", F.lit(r), F.lit(0)) for r in (_RUN, _RUN + r"\W*"))
+    return df.withColumns({"mask": mask, "words": words, "pieces": pieces}).withColumn("at", F.array_compact(begins)).drop("mask")
+
+
+def _window_hashes(width: int) -> Column:
+    """The hash of every ``width`` words in a row, with what stands between them."""
+    last = F.size("words") - width
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.lit(width), F.slice(F.col("pieces"), i + 1, width - 1), F.get("words", i + width - 1)))
+
+
+def phrase_index(phrases: DataFrame) -> DataFrame:
+    """(needle, width, h, offset): each needle is looked up by the hash of up to ``ANCHOR`` words in a row, those that
+    the fewest needles hold, which begin ``offset`` characters after it."""
+    needles = phrases.select("needle").distinct().withColumn("low", F.col("needle"))
+    runs = _with_runs(needles).where(F.size("words") > 0).withColumn("width", F.least(F.size("words"), F.lit(ANCHOR)))
+    every = F.lit(None).cast("array<bigint>")
+    for width in range(1, ANCHOR + 1):
+        every = F.when(F.col("width") == width, _window_hashes(width)).otherwise(every)
+    windows = runs.select("needle", "width", "at", F.posexplode(every).alias("j", "h")).select("needle", "width", "j", "h", F.get("at", F.col("j")).alias("offset"))
+    held = windows.groupBy("width", "h").agg(F.count_distinct("needle").alias("held"))
+    best = windows.join(held, ["width", "h"]).groupBy("needle").agg(F.min(F.struct("held", "j", "width", "h", "offset")).alias("b"))
+    return best.select("needle", "b.width", "b.h", "b.offset")
+
+
+def met_phrases(texts: DataFrame, index: DataFrame) -> DataFrame:
+    """(text_id, needle, start): where a needle's anchor words stand in a text. ``texts``: (text_id, low)."""
+    widths = [r.width for r in index.select("width").distinct().collect()]  # ``ANCHOR`` rows at most
+    if not widths:
+        return texts.select("text_id", F.lit("").alias("needle"), F.lit(0).alias("start")).limit(0)
+    runs = _with_runs(texts.select("text_id", "low"))
+    windows = [
+        F.when(F.size("words") >= w, F.arrays_zip(_window_hashes(w).alias("h"), F.slice("at", F.lit(1), F.size("words") - w + 1).alias("at"), F.array_repeat(F.lit(w), F.size("words") - w + 1).alias("width")))
+        for w in sorted(widths)
+    ]
+    none = F.array().cast("array<struct<h:bigint,at:int,width:int>>")
+    every = F.concat(*[F.coalesce(w, none) for w in windows])
+    # explode_outer: from explode Spark infers a filter on the array, and computes it again below
+    places = runs.select("text_id", F.explode_outer(every).alias("w")).select("text_id", "w.h", "w.at", "w.width").where("h IS NOT NULL")
+    return places.join(index, ["width", "h"]).select("text_id", "needle", (F.col("at") - F.col("offset")).alias("start")).where("start >= 0")
+
+
 def find_candidates(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     """Every place where a phrase stands as whole words, overlaps included: (text_id,
-    entity_type, canonical, phrase, status, start, end), offsets from 0.
+    entity_type, canonical, phrase, status, start, end, matched_text), offsets from 0.
 
-    Each phrase is looked up by its first run of word characters: a match must start
-    where that run starts in the text, less its offset in the phrase. So texts and
-    phrases meet by equi-join on a word, and only real occurrences of it are verified.
+    A phrase's words are whole words of the text it stands in, in the same order, so texts and
+    phrases meet by equi-join on the hash of some words in a row (``phrase_index``); what meets
+    is nearly sure, and only that fetches its text and is compared. A phrase without a word
+    character matches nothing. Further columns of ``phrases`` travel along.
     """
     needle = F.lower(strip(F.col("phrase")))
-    keyed = phrases.where("status <> 'REJECTED'").withColumn("needle", needle).withColumn("word", F.regexp_extract(needle, _RUN, 0)).where("word <> ''")
-    keyed = keyed.withColumn("offset", F.instr(F.col("needle"), F.col("word")) - 1)
-    low = texts.select("text_id", F.lower("text").alias("low")).where(F.col("low").isNotNull())
-    # A mask with "w" for word characters tells where the runs start.
-    mask = F.split(F.regexp_replace(F.regexp_replace("low", r"(?U)\w", "w"), "[^w]", " "), "")
-    begins = F.transform(F.col("mask"), lambda c, i: F.when((c == "w") & ((i == 0) | (F.get("mask", i - 1) != "w")), i))
-    runs = low.select("text_id", "low", mask.alias("mask")).select("text_id", F.arrays_zip(F.regexp_extract_all("low", F.lit(_RUN), F.lit(0)).alias("word"), F.array_compact(begins).alias("at")).alias("runs"))
-    words = runs.select("text_id", F.explode("runs").alias("w")).select("text_id", "w.word", "w.at")
-    met = words.join(keyed, "word").withColumn("start", F.col("at") - F.col("offset")).where("start >= 0").drop("word", "at", "offset")
-    met = met.join(low, "text_id")  # narrow until here; each text is shuffled once
+    keyed = phrases.where("status <> 'REJECTED'").withColumn("needle", needle)
+    low = texts.select("text_id", "text", F.lower("text").alias("low")).where(F.col("low").isNotNull())
+    met = met_phrases(low, phrase_index(keyed)).join(low, "text_id")  # each text is shuffled once
     end = F.col("start") + F.length("needle")
     edge = lambda c: ~c.rlike(r"(?U)^\w")
     before = F.when(F.col("start") > 0, F.substring(F.col("low"), F.col("start"), F.lit(1))).otherwise("")
     after = F.substring(F.col("low"), end + 1, F.lit(1))
     fits = (F.substring(F.col("low"), F.col("start") + 1, F.length("needle")) == F.col("needle")) & edge(before) & edge(after)
-    return met.where(fits).select("text_id", "entity_type", "canonical", "phrase", "status", "start", end.alias("end"))
+    cut = F.substring(F.col("text"), F.col("start") + 1, F.length("needle"))
+    found = met.where(fits).select("text_id", "needle", "start", end.alias("end"), cut.alias("matched_text"))
+    extra = [c for c in phrases.columns if c not in ("entity_type", "canonical", "phrase", "status")]
+    return found.join(keyed, "needle").select("text_id", "entity_type", "canonical", "phrase", "status", "start", "end", "matched_text", *extra)
+
+
+_CLAIM = ("phrase", "canonical", "start", "end", "status")
 
 
 def claim_spans(candidates: DataFrame) -> DataFrame:
     """Of overlapping candidates of a text and entity type the longest phrase wins, then the
-    phrase text, then canonical, then the first start; a span is claimed once."""
-    order = F.struct((-F.length("phrase")).alias("n"), "phrase", "canonical", "start", "end", "status")
-    ranked = candidates.groupBy("text_id", "entity_type").agg(F.array_sort(F.collect_set(order)).alias("c"))
+    phrase text, then canonical, then the first start; a span is claimed once.
+
+    Candidates that no other overlaps stand by themselves: the candidates of a text fall into
+    clusters of overlapping spans, and a claim is decided inside its cluster."""
+    along = Window.partitionBy("text_id", "entity_type").orderBy("start", "end")
+    reach = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(reach.isNull() | (F.col("start") >= reach), 1).otherwise(0)
+    parted = candidates.withColumn("__opens", opens).withColumn("__cluster", F.sum("__opens").over(along.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    extra = [c for c in candidates.columns if c not in ("text_id", "entity_type", *_CLAIM)]
+    order = F.struct((-F.length("phrase")).alias("n"), *_CLAIM, *extra)
+    ranked = parted.groupBy("text_id", "entity_type", "__cluster").agg(F.array_sort(F.collect_set(order)).alias("c"))
     free = lambda acc, x: ~F.exists(acc, lambda t: (x["start"] < t["end"]) & (x["end"] > t["start"]))
-    kept = F.aggregate(
-        "c", F.array().cast("array<struct<n:int,phrase:string,canonical:string,start:int,end:int,status:string>>"),
-        lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc),
-    )
-    return ranked.select("text_id", "entity_type", F.explode(kept).alias("m")).select("text_id", "entity_type", "m.canonical", "m.phrase", "m.status", "m.start", "m.end")
+    kept = F.aggregate("c", F.slice("c", 1, 0), lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
+    return ranked.select("text_id", "entity_type", F.explode(kept).alias("m")).select("text_id", "entity_type", *[f"m.{c}" for c in ("canonical", "phrase", "status", "start", "end", *extra)])
 
 
 def find_matches(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     """All non-overlapping dictionary phrases per text and entity type, with the matched text."""
-    found = claim_spans(find_candidates(texts, phrases))
-    cut = F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
-    return found.join(texts.select("text_id", "text"), "text_id").select(*found.columns, cut.alias("matched_text"))
+    return claim_spans(find_candidates(texts, phrases))
 
 
 def confirmed_canonicals(matches: DataFrame) -> DataFrame:
@@ -219,27 +272,23 @@ def survivors(pairs: DataFrame) -> DataFrame:
     one entity the least is taken; a cycle ends at its least member, and so does what leads into it.
 
     Pointer jumping: each turn doubles the length of the paths followed, and each path carries its
-    least member. Rows that are open after their number of turns suffices go round a cycle.
+    least member. A row is open as long as its path can go on, that is, if its end lies more than
+    ``length`` steps ahead. From a row that lies more than twice ``length`` before its end, more than
+    ``length`` open rows follow. So when no more than ``length`` rows are open before a turn, that turn
+    ends all chains, and what can still go on goes round a cycle. Turns: the logarithm of the rows.
     """
-    spark = pairs.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        from tempfile import mkdtemp
-
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(mkdtemp(prefix="spark-merge-", dir="/tmp"))
     by = ["entity_type", "absorbed"]
     rows = pairs.where("survivor <> absorbed").groupBy(*by).agg(F.min("survivor").alias("to"))
-    rows = rows.withColumns({"least": F.least("absorbed", "to"), "open": F.lit(True)}).checkpoint()
+    rows = written(rows.withColumns({"least": F.least("absorbed", "to"), "open": F.lit(True)}), "merges")
     length = 1
     while True:
         ahead = rows.select("entity_type", F.col("absorbed").alias("to"), F.col("to").alias("far"), F.col("least").alias("far_least"))
         step = rows.join(ahead, ["entity_type", "to"], "left")
         open_ = F.col("far").isNotNull()
-        rows = step.select(*by, F.coalesce("far", "to").alias("to"), F.when(open_, F.least("least", "far_least")).otherwise(F.col("least")).alias("least"), open_.alias("open")).checkpoint()
-        length *= 2
-        if rows.where("open").count() < length:
+        rows = written(step.select(*by, F.coalesce("far", "to").alias("to"), F.when(open_, F.least("least", "far_least")).otherwise(F.col("least")).alias("least"), open_.alias("open")), "merges")
+        if rows.where("open").count() <= length:  # open before this turn
             break
+        length *= 2
     # a path of a cycle's member goes round all of it, so its least is the cycle's
     ends = rows.where("open").select("entity_type", F.col("absorbed").alias("to"), F.col("least").alias("cycle"))
     ended = rows.join(ends, ["entity_type", "to"], "left")

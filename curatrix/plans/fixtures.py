@@ -81,10 +81,6 @@ FROM orders""",
     "fx_fingerprints": """
 SELECT concat('photo-', o_orderkey) AS photo_id,
        concat(substr(md5(CAST(o_orderkey - o_orderkey % 15 AS STRING)), 1, 15), substr('0123456789abcdef', 1 + CAST(o_orderkey % 16 AS INT), 1)) AS image_fingerprint
-FROM orders""",
-    "fx_all_fingerprints": """
-SELECT concat('photo-', o_orderkey) AS photo_id,
-       concat(substr(md5(CAST(o_orderkey - o_orderkey % 15 AS STRING)), 1, 15), substr('0123456789abcdef', 1 + CAST(o_orderkey % 16 AS INT), 1)) AS image_fingerprint
 FROM orders""",
     "fx_links": """
 SELECT o_orderkey AS id, CASE o_orderkey % 8
@@ -134,6 +130,11 @@ SELECT 'tag' AS entity_type, concat('e', lpad(CAST(o_orderkey AS STRING), 9, '0'
 FROM orders WHERE o_orderkey % 10 <> 0
 UNION ALL SELECT 'tag', concat('e', lpad(CAST(o_orderkey AS STRING), 9, '0')), concat('e', lpad(CAST(o_orderkey + 2 AS STRING), 9, '0'))
 FROM orders WHERE o_orderkey % 30 = 0""",
+    "fx_merge_chains": """
+SELECT 'tag' AS entity_type, concat('n', lpad(CAST(c_custkey AS STRING), 9, '0')) AS absorbed,
+       concat('n', lpad(CAST(CASE WHEN c_custkey % 61 = 0 AND c_custkey % 2 = 0 THEN c_custkey + 9 ELSE c_custkey - 1 END AS STRING), 9, '0')) AS survivor
+FROM customer WHERE c_custkey % 61 <> 0 OR c_custkey % 2 = 0
+UNION ALL SELECT 'place', concat('n', lpad(CAST(c_custkey AS STRING), 9, '0')), concat('n', lpad(CAST(c_custkey + 1 AS STRING), 9, '0')) FROM customer WHERE c_custkey % 17 <> 0""",
     "fx_learn_rows": """
 SELECT o_orderkey AS ord, concat('src', o_custkey % 4) AS root, concat('f', o_custkey % 25) AS folder, CAST(o_orderkey AS STRING) AS reference,
        CASE WHEN o_orderkey % 10 = 3 THEN 'SKIP' WHEN o_orderkey % 10 = 4 THEN 'ERROR' ELSE 'NEW' END AS status,

@@ -378,7 +378,7 @@ _TEXTS = "t AS (SELECT folder || '|' || pos AS text_id, lower(text) AS low FROM
     WHERE NOT regexp_matches(CASE WHEN i > 1 THEN substr(low, i - 1, 1) ELSE '' END, '[0-9A-Za-zА-Яа-яЁё_]') AND NOT regexp_matches(substr(low, i + length(needle), 1), '[0-9A-Za-zА-Яа-яЁё_]')""",
 )
 def find_candidates(paragraphs, phrases):
-    return dictionary.find_candidates(_text_ids(paragraphs), phrases)
+    return dictionary.find_candidates(_text_ids(paragraphs), phrases).drop("matched_text")
 
 
 def _text_ids(paragraphs: DataFrame) -> DataFrame:
@@ -422,6 +422,20 @@ def merge_entities(pairs):
     return dictionary.survivors(pairs)
 
 
+@query(
+    ["fx_merge_chains"],
+    """+ w AS (SELECT entity_type, absorbed, survivor AS top FROM fx_merge_chains UNION SELECT w.entity_type, w.absorbed, p.survivor FROM w JOIN fx_merge_chains p ON p.entity_type = w.entity_type AND p.absorbed = w.top),
+    c AS (SELECT DISTINCT entity_type, absorbed AS node FROM w WHERE absorbed = top),
+    e AS (SELECT w.entity_type, w.absorbed, min(top) AS survivor FROM w WHERE EXISTS (FROM c WHERE c.entity_type = w.entity_type AND c.node = w.top)
+          OR NOT EXISTS (FROM fx_merge_chains p WHERE p.entity_type = w.entity_type AND p.absorbed = w.top) GROUP BY ALL)
+    SELECT entity_type, absorbed, survivor FROM e WHERE absorbed <> survivor""",
+    recursive=True,
+)
+def merge_long_chains(pairs):
+    """Chains of up to 60 merges, cycles of 9, and chains that lead into cycles."""
+    return dictionary.survivors(pairs)
+
+
 @query(
     ["fx_dictionary"],
     """+ a AS (SELECT entity_type, canonical AS entity_id, phrase AS alias, status AS old FROM fx_dictionary), p AS (SELECT entity_type, entity_id, alias, CASE WHEN length(alias) % 2 = 0 THEN 'CONFIRMED' ELSE 'CANDIDATE' END AS asked FROM a UNION ALL SELECT entity_type, entity_id, alias || ' jr', 'CANDIDATE' FROM a)
@@ -774,22 +788,6 @@ def rank_similar(prints):
     return similarity.rank_similar(prints)
 
 
-@query(["fx_all_fingerprints"])
-def near_pairs_whole(prints):
-    """``near_pairs`` of all pictures, under its own name since it was once held apart."""
-    return similarity.near_pairs(prints, 7)
-
-
-@query(["fx_all_fingerprints"])
-def rank_similar_whole(prints):
-    """``rank_similar`` of all pictures, under its own name since it was once held apart."""
-    return similarity.rank_similar(prints)
-
-
-#: Both views hold all pictures, so the SQL is the same.
-ORACLES |= {f"{n}_whole": ORACLES[n] for n in ("near_pairs", "rank_similar")}
-
-
 @tables(
     ["embeddings"],
     """WITH p AS (SELECT vec_id, list_concat(embedding, embedding[1:8]) AS g FROM embeddings)

@@ -36,22 +36,6 @@ def changed_groups(prev, curr):
     return review.changed_groups(rows(curr), stored, by, ["relative_path"], ["content_hash"]).groupBy(*by).agg(F.count("*").alias("rows"))
 
 
-@query(
-    ["fx_listing_prev", "fx_listing_curr"],
-    f"""+ p AS (SELECT root_id, {_FOLDER_OF} AS folder, relative_path, coalesce(content_hash, '') AS h FROM fx_listing_prev), c AS (SELECT root_id, {_FOLDER_OF} AS folder, relative_path, coalesce(content_hash, '') AS h FROM fx_listing_curr),
-    g AS (SELECT root_id, folder FROM (SELECT * FROM p EXCEPT SELECT * FROM c) UNION SELECT root_id, folder FROM (SELECT * FROM c EXCEPT SELECT * FROM p)) SELECT root_id, folder, count(*) AS rows FROM c SEMI JOIN g USING (root_id, folder) GROUP BY ALL""",
-)
-def changed_groups_whole(prev, curr):
-    """``changed_groups`` over all files of both listings."""
-
-    def rows(df: DataFrame) -> DataFrame:
-        return df.select("root_id", text.parent_path(C("relative_path")).alias("folder"), "relative_path", "content_hash")
-
-    by = ["root_id", "folder"]
-    stored = review.content_signatures(rows(prev), by, ["relative_path"], ["content_hash"])
-    return review.changed_groups(rows(curr), stored, by, ["relative_path"], ["content_hash"]).groupBy(*by).agg(F.count("*").alias("rows"))
-
-
 @query(
     ["fx_listing_prev"],
     f"""+ m AS (SELECT root_id || '/' || {_FOLDER_OF} AS folder_from, lower(regexp_extract(relative_path, '[^/]*$')) AS fn FROM fx_listing_prev), n AS (SELECT 'new/' || regexp_replace({_FOLDER_OF}, '^f', 'g') AS folder_to, lower(regexp_extract(relative_path, '[^/]*$')) AS fn FROM fx_listing_prev)

@@ -606,3 +606,95 @@ def test_baselines_and_refused_proposals(spark, tmp_path):
     assert [r.value for r in portable.load_baseline(spark, path, "a").collect()] == ["z"]
     assert [r.value for r in portable.load_baseline(spark, path, "b").collect()] == ["y"]
     assert [r.record_id for r in portable.rejected_proposals(base, base.limit(1), ["record_id"]).collect()] == ["r2"]
+
+
+def ends_by_walking(pairs):
+    """Survivors one step at a time: the end of the chain, or the least member of the cycle it runs into."""
+    to = {}
+    for kind, a, s in pairs:
+        if a != s:
+            to[kind, a] = min(to.get((kind, a), s), s)
+    out = {}
+    for kind, a in to:
+        seen, at = [], a
+        while (kind, at) in to and at not in seen:
+            seen.append(at)
+            at = to[kind, at]
+        end = min(seen[seen.index(at) :]) if at in seen else at
+        if end != a:
+            out[kind, a] = end
+    return out
+
+
+def test_survivors_of_chains_cycles_and_random_merges(spark):
+    import random
+
+    name = lambda group, i: f"{group}-{i:04d}"
+    pairs = [("tag", name(f"up{n}", i), name(f"up{n}", i + 1)) for n in range(1, 71) for i in range(n)]
+    pairs += [("tag", name(f"down{n}", i), name(f"down{n}", i - 1)) for n in range(1, 71) for i in range(1, n + 1)]
+    for n in range(1, 18):
+        pairs += [("place", name(f"ring{n}", i), name(f"ring{n}", (i * 1 + 1) % n)) for i in range(n)]
+        pairs += [("place", name(f"ring{n}", 1000 + i), name(f"ring{n}", 1000 + i - 1 if i else n - 1)) for i in range(2 * n)]
+    rng = random.Random(4)
+    pairs += [("person", f"p{rng.randrange(9000)}", f"p{rng.randrange(9000)}") for _ in range(10_000)]
+    df = spark.createDataFrame(pairs, "entity_type string, absorbed string, survivor string")
+    assert {(r.entity_type, r.absorbed): r.survivor for r in dictionary.survivors(df).collect()} == ends_by_walking(pairs)
+
+
+def test_merging_long_chains_leaves_nothing_on_deleted_ids(spark):
+    ids = [f"n{i:02d}" for i in range(40)]
+    pairs = spark.createDataFrame([("tag", a, b) for a, b in zip(ids, ids[1:], strict=False)], "entity_type string, absorbed string, survivor string")
+    ents = spark.createDataFrame([("tag", i, i.upper()) for i in ids], "entity_type string, entity_id string, canonical string")
+    als = spark.createDataFrame([("tag", i, f"alias {i}", "CANDIDATE") for i in ids], "entity_type string, entity_id string, alias string, status string")
+    out = dictionary.merge_entities(pairs, ents, als, als.select("entity_type", "entity_id"))
+    assert [r.entity_id for r in out["entities"].collect()] == ["n39"]
+    assert {r.entity_id for r in out["aliases"].collect()} == {"n39"} == {r.entity_id for r in out["evidence"].collect()}
+    assert out["aliases"].count() == 40 + 39
+
+
+def test_phrases_are_found_as_by_scanning(spark):
+    """Random words, phrases of one to seven words with signs inside and outside, hot words, hot phrases."""
+    import random
+    import re
+
+    rng = random.Random(8)
+    words = ["the", "church", "of", "st", "olga", "garden", "рядом", "дом", "x1", "x"]
+    phrases = sorted({rng.choice(["", "(", "- "]) + "".join(rng.choice(words) + rng.choice([" ", " ", ", ", "-"]) for _ in range(rng.randrange(1, 8))).strip() for _ in range(300)})
+    texts = [(i, "".join(rng.choice(words) + rng.choice([" ", " ", "  ", ", ", ". ", "-", "_"]) for _ in range(rng.randrange(0, 40)))) for i in range(150)] + [(900, None), (901, ""), (902, "The CHURCH of St Olga " * 200)]
+    df = spark.createDataFrame(texts, "text_id long, text string")
+    ph = spark.createDataFrame([("tag", p.upper(), p, "CONFIRMED") for p in phrases], "entity_type string, canonical string, phrase string, status string")
+    want = []
+    for i, text in texts:
+        low = (text or "").lower()
+        for p in phrases:
+            needle, at = p.lower().strip(), -1
+            while (at := low.find(needle, at + 1)) >= 0:
+                if not re.match(r"\w", low[at - 1 : at] if at else "") and not re.match(r"\w", low[at + len(needle) : at + len(needle) + 1]):
+                    want.append((i, p, at, at + len(needle), text[at : at + len(needle)]))
+    found = dictionary.find_candidates(df, ph)
+    assert sorted(tuple(r) for r in found.select("text_id", "phrase", "start", "end", "matched_text").collect()) == sorted(want)
+    low = df.selectExpr("text_id", "lower(text) AS low")
+    plain = [p.lower() for p in phrases if p[0].isalnum() and p[-1].isalnum()]  # signs outside the words are compared with the text
+    met = dictionary.met_phrases(low, dictionary.phrase_index(spark.createDataFrame([(p,) for p in plain], "needle string")))
+    assert met.count() <= 2 * sum(w[1] in plain for w in want)
+    kept = {}
+    for i, p, a, b, _ in sorted(want, key=lambda x: (x[0], -len(x[1]), x[1], x[2])):
+        if all(a >= d or b <= c for c, d in kept.setdefault(i, [])):
+            kept[i].append((a, b))
+    got = {}
+    for r in dictionary.find_matches(df, ph).collect():
+        got.setdefault(r.text_id, []).append((r.start, r.end))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in kept.items() if v}
+
+
+def test_ranks_over_hot_keys(spark):
+    from curatrix.scratch import ranked
+
+    rows = [("hot" if i % 3 else f"k{i % 50}" if i % 2 else None, (i * 7919) % 5000) for i in range(5000)]
+    df = spark.createDataFrame(rows, "k string, v long")
+    out = ranked(df, ["k"], [F.col("v")], "n", pieces=13)
+    groups = {}
+    for k, v in rows:
+        groups.setdefault(k, []).append(v)
+    want = sorted(((k, v, n) for k, vs in groups.items() for n, v in enumerate(sorted(vs), 1)), key=repr)
+    assert sorted((tuple(r) for r in out.collect()), key=repr) == want
