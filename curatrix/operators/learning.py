@@ -1,9 +1,8 @@
 """Learning dictionary knowledge from what people typed into review rows.
 
-Set-based: everything resolves against the starting dictionary, new entities are one per
-normalised value (the first spelling by ``ord`` wins), and aliases are mined once against the
-starting dictionary plus the new entities. Rows in another order give the same entities up to
-spelling.
+The outcome is that of learning row by row in the order of ``ord``, but computed over all rows at
+once. New entities are one per normalised value, also within a row (the first spelling wins);
+aliases are decided in turns until nothing changes (``learn_aliases``).
 """
 
 from __future__ import annotations
@@ -13,7 +12,10 @@ from pyspark.sql import functions as F
 
 from curatrix.functions.geo import format_latlon, parse_latlon
 from curatrix.functions.text import blank_if_null, candidate_chunks, is_blank, is_context_dependent, normalize_phrase, split_list_field, strip
-from curatrix.operators.dictionary import entity_id, find_matches, propose_latlon, resolve_canonical
+from curatrix.operators.dictionary import claim_spans, entity_id, find_candidates, propose_latlon, resolve_canonical
+from curatrix.scratch import written
+
+_ALWAYS = -(1 << 62)
 
 
 def teaching_rows(rows: DataFrame) -> DataFrame:
@@ -37,25 +39,88 @@ def new_entities(values: DataFrame, phrases: DataFrame) -> DataFrame:
     return first.select("entity_type", F.col("f.value").alias("canonical"), F.col("f.ord").alias("ord"))
 
 
-def learn_aliases(rows: DataFrame, values: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(entity_type, canonical, alias, reason, ord): candidate spellings. A row teaches where its
-    source text doesn't contain the canonical name; a chunk counts unless a phrase of the same
-    type covers it or it holds a phrase of another type; the first proposer of a chunk wins."""
+def alias_offers(rows: DataFrame, values: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(ord, entity_type, canonical, i, chunk, key, known, text): parts of a row's source text that may be another spelling
+    of what the row teaches, where the text doesn't contain the canonical name. ``known``: the entity has that
+    alias already, in whatever status."""
     named = resolve_canonical(values, phrases).where("canonical IS NOT NULL").select("ord", "entity_type", "canonical").distinct()
     texts = rows.where(~is_blank(F.col("source_description"))).select("ord", strip(F.col("source_description")).alias("text"))
     source = normalize_phrase(F.col("text"))
     taught = named.join(texts, "ord").where(~F.contains(source, normalize_phrase(F.col("canonical"))))
-    chunks = taught.select("ord", "entity_type", "canonical", F.posexplode(candidate_chunks(F.col("text"))).alias("i", "chunk")).withColumn("key", normalize_phrase(F.col("chunk"))).where("key <> ''")
-    wanted = taught.select("ord", "text").distinct()
-    claimed = find_matches(wanted.select(F.col("ord").alias("text_id"), "text"), phrases).select(F.col("text_id").alias("ord"), "entity_type", normalize_phrase(F.col("matched_text")).alias("key")).distinct()
-    pieces = chunks.select("chunk").distinct()
-    inside = find_matches(pieces.select(F.col("chunk").alias("text_id"), F.col("chunk").alias("text")), phrases).select(F.col("text_id").alias("chunk"), F.col("entity_type").alias("other")).distinct()
-    free = chunks.join(claimed, ["ord", "entity_type", "key"], "left_anti").alias("c")
-    free = free.join(inside.alias("n"), (F.col("c.chunk") == F.col("n.chunk")) & (F.col("c.entity_type") != F.col("n.other")), "left_anti")
-    counted = free.withColumn("n", F.count("*").over(Window.partitionBy("ord", "entity_type", "canonical")))
+    offers = taught.select("ord", "entity_type", "canonical", "text", F.posexplode(candidate_chunks(F.col("text"))).alias("i", "chunk")).withColumn("key", normalize_phrase(F.col("chunk"))).where("key <> ''")
+    own = phrases.select("entity_type", "canonical", F.col("phrase").alias("chunk"), F.lit(True).alias("known")).distinct()
+    return offers.join(own, ["entity_type", "canonical", "chunk"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+def learn_aliases(rows: DataFrame, values: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(entity_type, canonical, alias, reason, ord): candidate spellings, as learned row by row in the order of ``ord``.
+
+    A row sees the phrases that were there before it: those of ``phrases`` without ``born`` (ord of the row that brings
+    one), those born in earlier rows, and the aliases that earlier rows have taught. A chunk counts unless such a phrase
+    of its type claims it in the text, or it holds one of another type; an alias that its entity already has
+    (refused ones too) is not taught again.
+
+    Rows depend on earlier ones only through aliases that stand in their text. So all places where
+    anything that may become an alias stands are found once; rows without such places are decided at
+    once, and the others in turns, each with the births that the turn before gave. A row is
+    right as soon as the rows it depends on are, so the turns end, and at the one outcome that learning
+    row by row has.
+    """
+    if "born" not in phrases.columns:
+        phrases = phrases.withColumn("born", F.lit(None).cast("long"))
+    offers = written(alias_offers(rows, values, phrases), "offers")
+    maybe = offers.where("NOT known").groupBy("entity_type", F.col("chunk").alias("phrase")).agg(F.min("ord").alias("born"))
+    maybe = maybe.select("entity_type", F.lit("").alias("canonical"), "phrase", F.lit("CANDIDATE").alias("status"), "born", F.lit(True).alias("taught"))
+    every = phrases.select("entity_type", "canonical", "phrase", "status", F.col("born").cast("long").alias("born"), F.lit(False).alias("taught")).unionByName(maybe)
+    before = F.col("born").isNull() | (F.col("born") < F.col("ord"))
+
+    row = ["ord", "entity_type"]
+    found = find_candidates(offers.select(F.col("ord").alias("text_id"), "text").distinct(), every).withColumnRenamed("text_id", "ord").where(before)
+    found = written(found.join(offers.select(*row).distinct(), row, "left_semi"), "found")
+    open_rows = found.where("taught").select(*row).distinct()
+
+    inside = find_candidates(offers.select(F.col("chunk").alias("text_id"), F.col("chunk").alias("text")).distinct(), every)
+    inside = written(inside.select(F.col("text_id").alias("chunk"), F.col("entity_type").alias("other"), "phrase", "born", "taught").distinct(), "inside")
+    since = inside.where("NOT taught").groupBy("chunk", "other").agg(F.min(F.coalesce("born", F.lit(_ALWAYS))).alias("since"))
+    movable = inside.where("taught").select("chunk", "other", "phrase")
+
+    def without(offered: DataFrame, blocks: DataFrame) -> DataFrame:
+        """``offered`` less the chunks that hold a phrase of another type from an earlier row."""
+        o, x = offered.alias("o"), blocks.alias("x")
+        return o.join(x, (F.col("o.chunk") == F.col("x.chunk")) & (F.col("o.entity_type") != F.col("x.other")) & (F.col("x.since") < F.col("o.ord")), "left_anti")
+
+    def unclaimed(offered: DataFrame, places: DataFrame) -> DataFrame:
+        spans = places.select(F.col("ord").alias("text_id"), "entity_type", "canonical", "phrase", "status", "start", "end", "matched_text")
+        claims = claim_spans(spans).select(F.col("text_id").alias("ord"), "entity_type", normalize_phrase(F.col("matched_text")).alias("key")).distinct()
+        return offered.join(claims, [*row, "key"], "left_anti")
+
+    rest = without(offers.drop("text"), since)
+    held = movable.groupBy("chunk").agg(F.collect_set("other").alias("others"))  # a few entity types
+    rest = rest.join(open_rows.withColumn("waits", F.lit(True)), row, "left").join(held, "chunk", "left")
+    waits = F.coalesce("waits", F.lit(False)) | (F.size(F.array_except(F.coalesce("others", F.array().cast("array<string>")), F.array("entity_type"))) > 0)
+    rest = written(rest.withColumn("waits", waits).drop("others"), "rest")
+    settled = written(unclaimed(rest.where("NOT waits"), found.join(open_rows, row, "left_anti")).drop("waits"), "settled")
+    open_offers, open_found = rest.where("waits").drop("waits"), written(found.join(rest.where("waits").select(*row).distinct(), row, "left_semi"), "open")
+
+    def births(taken: DataFrame) -> DataFrame:
+        return taken.where("NOT known").groupBy("entity_type", "chunk").agg(F.min("ord").alias("since"))
+
+    taken, last = settled, None
+    while True:
+        born = written(births(taken), "born")
+        mark = tuple(born.agg(F.count("*"), F.sum(F.xxhash64("entity_type", "chunk", "since").cast("decimal(38,0)"))).first())
+        if mark == last:
+            break
+        last = mark
+        alive = open_found.join(born.select("entity_type", F.col("chunk").alias("phrase"), F.col("since").alias("from_row")), ["entity_type", "phrase"], "left")
+        alive = alive.where("NOT taught OR from_row < ord")
+        blocks = movable.join(born.select(F.col("entity_type").alias("other"), F.col("chunk").alias("phrase"), "since"), ["other", "phrase"]).groupBy("chunk", "other").agg(F.min("since").alias("since"))
+        taken = settled.unionByName(written(unclaimed(without(open_offers, blocks), alive), "taken"))
+
+    counted = taken.withColumn("n", F.count("*").over(Window.partitionBy("ord", "entity_type", "canonical")))
     reason = F.when((F.col("n") == 1) & ~is_context_dependent(F.col("chunk")), "APPROVED_VS_SOURCE").otherwise("FUZZY_CANDIDATE")
-    best = counted.withColumn("reason", reason).groupBy("entity_type", "key").agg(F.min(F.struct("ord", "i", "canonical", "chunk", "reason")).alias("b"))
-    return best.select("entity_type", "b.canonical", F.col("b.chunk").alias("alias"), "b.reason", "b.ord")
+    first = counted.where("NOT known").withColumn("reason", reason).groupBy("entity_type", "canonical", "chunk").agg(F.min(F.struct("ord", "i", "reason")).alias("b"))
+    return first.select("entity_type", "canonical", F.col("chunk").alias("alias"), "b.reason", "b.ord")
 
 
 def taught_coordinates(rows: DataFrame, phrases: DataFrame | None = None) -> DataFrame:
@@ -94,7 +159,8 @@ def learn_from_rows(rows: DataFrame, phrases: DataFrame, places: DataFrame) -> d
     part in the coordinates under the id that ``add_entity`` gives them."""
     values = taught_values(rows)
     fresh = new_entities(values, phrases)
-    grown = phrases.unionByName(fresh.select("entity_type", "canonical", F.col("canonical").alias("phrase"), F.lit("CONFIRMED").alias("status")))
+    born = fresh.select("entity_type", "canonical", F.col("canonical").alias("phrase"), F.lit("CONFIRMED").alias("status"), F.col("ord").cast("long").alias("born"))
+    grown = phrases.withColumn("born", F.lit(None).cast("long")).unionByName(born)
     aliases = learn_aliases(teaching_rows(rows), values, grown)
     new_places = fresh.where("entity_type = 'place'").join(places.select("canonical"), "canonical", "left_anti")
     known = places.select("entity_id", "canonical", "latlon").unionByName(new_places.select(entity_id(F.lit("place"), F.col("canonical")).alias("entity_id"), "canonical", F.lit("").alias("latlon")))

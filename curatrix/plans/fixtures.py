@@ -135,6 +135,12 @@ SELECT 'tag' AS entity_type, concat('n', lpad(CAST(c_custkey AS STRING), 9, '0')
        concat('n', lpad(CAST(CASE WHEN c_custkey % 61 = 0 AND c_custkey % 2 = 0 THEN c_custkey + 9 ELSE c_custkey - 1 END AS STRING), 9, '0')) AS survivor
 FROM customer WHERE c_custkey % 61 <> 0 OR c_custkey % 2 = 0
 UNION ALL SELECT 'place', concat('n', lpad(CAST(c_custkey AS STRING), 9, '0')), concat('n', lpad(CAST(c_custkey + 1 AS STRING), 9, '0')) FROM customer WHERE c_custkey % 17 <> 0""",
+    "fx_learn_start": """
+SELECT DISTINCT 'person' AS entity_type, concat('Person ', c_custkey % 4) AS canonical, concat('Person ', c_custkey % 4) AS phrase, 'CONFIRMED' AS status FROM customer
+UNION SELECT 'tag', 'tag-old', concat('tag', c_custkey % 3), 'CONFIRMED' FROM customer
+UNION SELECT 'place', concat('Place ', c_custkey % 10), concat('Place ', c_custkey % 10), 'CONFIRMED' FROM customer
+UNION SELECT 'place', concat('Place ', c_custkey % 37), concat('Garden ', c_custkey % 50), CASE c_custkey % 3 WHEN 0 THEN 'REJECTED' WHEN 1 THEN 'CANDIDATE' ELSE 'CONFIRMED' END
+FROM customer WHERE c_custkey % 5 = 0""",
     "fx_learn_rows": """
 SELECT o_orderkey AS ord, concat('src', o_custkey % 4) AS root, concat('f', o_custkey % 25) AS folder, CAST(o_orderkey AS STRING) AS reference,
        CASE WHEN o_orderkey % 10 = 3 THEN 'SKIP' WHEN o_orderkey % 10 = 4 THEN 'ERROR' ELSE 'NEW' END AS status,

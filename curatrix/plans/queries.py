@@ -456,19 +456,29 @@ v AS (SELECT ord, 'person' AS entity_type, unnest(list_filter(list_transform(str
 n AS (SELECT entity_type, lower(regexp_replace(value, '\s+', ' ', 'g')) AS key, min((ord, value)) AS f FROM v GROUP BY ALL)"""
 
 
-@query(["fx_learn_rows"], _VALUES + " SELECT entity_type, f[2] AS canonical, f[1] AS ord FROM n")
-def learn_entities(rows):
-    return learning.new_entities(learning.taught_values(rows), _no_phrases(rows))
+@query(
+    ["fx_learn_rows", "fx_learn_start"],
+    _VALUES + " SELECT entity_type, f[2] AS canonical, f[1] AS ord FROM n ANTI JOIN (SELECT entity_type, lower(phrase) AS key FROM fx_learn_start WHERE status = 'CONFIRMED') k USING (entity_type, key)",
+)
+def learn_entities(rows, start):
+    return learning.new_entities(learning.taught_values(rows), start)
 
 
-def _no_phrases(df: DataFrame) -> DataFrame:
-    return df.select(*[F.lit("").alias(c) for c in ("entity_type", "canonical", "phrase", "status")]).limit(0)
+@query(["fx_learn_rows", "fx_learn_start"])
+def learn_aliases(rows, start):
+    """Learned in the order of rows; held against a row-by-row run in the tests."""
+    none = rows.select(F.lit("").alias("entity_id"), F.lit("").alias("canonical"), F.lit("").alias("latlon")).limit(0)
+    return learning.learn_from_rows(rows, start, none)["aliases"]
 
 
-@query(["fx_learn_rows"])
-def learn_aliases(rows):
+@query(
+    ["fx_learn_rows", "fx_learn_start"],
+    _VALUES + """, e AS (SELECT entity_type FROM n ANTI JOIN (SELECT entity_type, lower(phrase) AS key FROM fx_learn_start WHERE status = 'CONFIRMED') k USING (entity_type, key))
+    SELECT 'new_' || entity_type AS outcome, count(*) AS n FROM e GROUP BY ALL""",
+)
+def learn_outcomes(rows, start):
     none = rows.select(F.lit("").alias("entity_id"), F.lit("").alias("canonical"), F.lit("").alias("latlon")).limit(0)
-    return learning.learn_from_rows(rows, _no_phrases(rows), none)["aliases"]
+    return learning.learn_outcomes(learning.learn_from_rows(rows, start, none)).where("outcome LIKE 'new_%'")
 
 
 @query(
