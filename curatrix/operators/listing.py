@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatrix.functions.text import base_name, blank_if_null, file_kind, identity_key, join_relative_path, normalize_relative_path, parent_path
+from curatrix.scratch import ranked, written
 
 MAX_DEPTH = 64
 
@@ -142,19 +143,47 @@ def true_duplicates(listing: DataFrame) -> DataFrame:
     )
 
 
+def _one_to_one(gone: DataFrame, here: DataFrame, key: list[str], signal: str) -> DataFrame:
+    """(from_path, to_path, folder_from, folder_to, signal): the k-th vanished with the k-th new file of a key, by name and path."""
+    some = lambda df: df.where(_all_known(key))
+    g = ranked(some(gone), key, [F.col("file_name"), F.col("from_path")]).select(*key, "__rank", "from_path", "folder_from")
+    h = ranked(some(here), key, [F.col("file_name"), F.col("to_path")]).select(*key, "__rank", "to_path", "folder_to")
+    return g.join(h, [*key, "__rank"]).select("from_path", "to_path", "folder_from", "folder_to", F.lit(signal).alias("signal"))
+
+
+def _all_known(key: list[str]) -> Column:
+    known = F.col(key[0]).isNotNull()
+    for k in key[1:]:
+        known = known & F.col(k).isNotNull()
+    return known
+
+
 def find_moved(missing: DataFrame, fresh: DataFrame) -> DataFrame:
-    """(from, to, signal) for vanished files that turned up elsewhere: by remote id or content
-    hash (strong), else by file name (weak, a proposal). The best signal of a vanished file wins."""
-    path = lambda: F.concat_ws("/", "root_id", "relative_path")
-    m = missing.select(path().alias("from_path"), "remote_id", "content_hash", F.lower(base_name(F.col("relative_path"))).alias("file_name"))
-    n = fresh.select(path().alias("to_path"), "remote_id", "content_hash", F.lower(base_name(F.col("relative_path"))).alias("file_name"))
+    """(from_path, to_path, signal) for vanished files that turned up elsewhere, one to one: by remote id,
+    then by content hash (strong), then by file name (weak, a proposal).
+
+    Of several files with one key the k-th vanished goes with the k-th new one, so no new file is
+    claimed twice and as many are paired as there are on the scarcer side. Among weak names those
+    come first that lie where most of their folder's strong moves went. Ranks are numbered over
+    blocks of the order, so a key of very many files (all empty ones have one hash) is no single task.
+    """
+    path = F.concat_ws("/", "root_id", "relative_path")
+    name = F.lower(base_name(F.col("relative_path"))).alias("file_name")
+    gone = written(missing.select(path.alias("from_path"), parent_path(path).alias("folder_from"), "remote_id", "content_hash", name), "gone")
+    here = written(fresh.select(path.alias("to_path"), parent_path(path).alias("folder_to"), "remote_id", "content_hash", name), "here")
     found = None
-    for rank, (key, signal) in enumerate((("remote_id", "remote_id"), ("content_hash", "content_hash"), ("file_name", "file_name"))):
-        least = n.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("to_path").alias("to_path"))  # one row per key, so no key makes pairs
-        part = m.where(F.col(key).isNotNull()).join(least, key).select("from_path", "to_path", F.lit(signal).alias("signal"), F.lit(rank).alias("rank"))
-        found = part if found is None else found.unionByName(part)
-    best = found.groupBy("from_path").agg(F.min(F.struct("rank", "to_path", "signal")).alias("b"))
-    return best.select("from_path", "b.to_path", "b.signal")
+    left, right = gone, here
+    for key in ("remote_id", "content_hash", "votes", "file_name"):
+        if key == "votes":
+            count = found.groupBy("folder_from", "folder_to").agg(F.count("*").alias("n"))
+            most = count.groupBy("folder_from").agg(F.min(F.struct((-F.col("n")).alias("n"), "folder_to")).alias("v")).select("folder_from", F.col("v.folder_to").alias("folder"))
+            pairs = _one_to_one(left.join(most, "folder_from"), right.withColumn("folder", F.col("folder_to")), ["file_name", "folder"], "file_name")
+        else:
+            pairs = _one_to_one(left, right, [key], key)
+        pairs = written(pairs, "moves")
+        found = pairs if found is None else found.unionByName(pairs)
+        left, right = gone.join(found, "from_path", "left_anti"), here.join(found, "to_path", "left_anti")
+    return found.select("from_path", "to_path", "signal")
 
 
 def moved_folders(moves: DataFrame) -> DataFrame:
@@ -162,11 +191,44 @@ def moved_folders(moves: DataFrame) -> DataFrame:
     return moves.groupBy(parent_path(F.col("from_path")).alias("folder_from"), parent_path(F.col("to_path")).alias("folder_to")).agg(F.count("*").alias("files"))
 
 
+def _ancestors(folder: Column) -> Column:
+    """A folder, the folders above it, and '' for all."""
+    parts = F.split(folder, "/")
+    return F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/")))
+
+
+def orphan_classes(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """(identity, found_folder, found_name): the files of every stem that a described but absent row has, each once."""
+    lost = rows.where("status = 'DESCRIBED_ABSENT'").select(identity_key(F.col("reference")).alias("identity")).distinct()
+    return files.select(identity_key(F.col("name")).alias("identity"), F.col("folder").alias("found_folder"), F.col("name").alias("found_name")).join(lost, "identity", "left_semi")
+
+
 def orphan_descriptions(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """Rows described in one folder without a file there, and a file of that name in another."""
+    """(root, folder, reference, identity, candidates, found_folder, found_name, shared): rows described in one folder without
+    a file there, with the number of files of that stem in other folders, and the one nearest by folder: it shares
+    ``shared`` leading folders (ties: the least folder and name).
+
+    Files are classed by stem and each folder above them, rows look up their folder's ancestors in the
+    classes, and the deepest that answers wins. No row meets all files of its stem; the output is
+    linear in the rows. ``orphan_classes`` lists the candidates.
+    """
     lost = rows.where("status = 'DESCRIBED_ABSENT'").select("root", "folder", "reference", identity_key(F.col("reference")).alias("identity"))
-    there = files.select(F.col("folder").alias("found_folder"), identity_key(F.col("name")).alias("identity"), F.col("name").alias("found_name"))
-    return lost.join(there, "identity").where(F.col("folder") != F.col("found_folder"))
+    there = orphan_classes(rows, files)
+    at = there.select("identity", "found_folder", "found_name", F.explode(_ancestors(F.col("found_folder"))).alias("above"))
+    least = at.groupBy("identity", "above", "found_folder").agg(F.min("found_name").alias("found_name"))
+    place = F.row_number().over(Window.partitionBy("identity", "above").orderBy("found_folder"))
+    f = F.struct("found_folder", "found_name")
+    two = least.withColumn("n", place).where("n <= 2").groupBy("identity", "above").agg(F.min(f).alias("lo"), F.max(f).alias("hi"))  # one may be the row's own folder
+    total = there.groupBy("identity").agg(F.count("*").alias("total"))
+    own = there.groupBy("identity", F.col("found_folder").alias("folder")).agg(F.count("*").alias("own"))
+    asked = lost.select("*", F.posexplode(_ancestors(F.col("folder"))).alias("shared", "above"))
+    file = F.when(F.col("lo.found_folder") != F.col("folder"), F.col("lo")).when(F.col("hi.found_folder") != F.col("folder"), F.col("hi"))
+    met = asked.join(two, ["identity", "above"]).withColumn("file", file).where("file IS NOT NULL")
+    best = met.groupBy("root", "folder", "reference", "identity").agg(F.max_by("file", "shared").alias("file"), F.max("shared").alias("shared"))
+    counted = best.join(total, "identity").join(own, ["identity", "folder"], "left")
+    return counted.select(
+        "root", "folder", "reference", "identity", (F.col("total") - F.coalesce("own", F.lit(0))).alias("candidates"), "file.found_folder", "file.found_name", "shared"
+    )
 
 
 def snapshot_counters(items: DataFrame) -> DataFrame:

@@ -127,17 +127,31 @@ def true_duplicates(prev, curr):
     return listing.true_duplicates(prev.drop("was_missing").unionByName(curr))
 
 
-@query(
-    ["fx_listing_prev"],
-    """+ m AS (SELECT root_id || '/' || relative_path AS from_path, content_hash, lower(regexp_extract(relative_path, '[^/]*$')) AS fn FROM fx_listing_prev),
-    n AS (SELECT 'new/' || regexp_replace(relative_path, '^f', 'g') AS to_path, CASE WHEN size % 2 = 0 THEN content_hash END AS content_hash, lower(regexp_extract(relative_path, '[^/]*$')) AS fn FROM fx_listing_prev),
-    a AS (SELECT from_path, min(to_path) AS to_path, 'content_hash' AS signal, 1 AS k FROM m JOIN n USING (content_hash) GROUP BY 1 UNION ALL SELECT from_path, min(to_path), 'file_name', 2 FROM m JOIN n USING (fn) GROUP BY 1)
-    SELECT from_path, arg_min(to_path, k) AS to_path, arg_min(signal, k) AS signal FROM a GROUP BY from_path""",
-)
+_MOVES = """+ m AS (SELECT root_id || '/' || relative_path AS f, content_hash AS h, lower(regexp_extract(relative_path, '[^/]*$')) AS fn, regexp_replace(root_id || '/' || relative_path, '/[^/]*$', '') AS ff FROM fx_listing_prev),
+    n AS (SELECT 'new/' || regexp_replace(relative_path, '^f', 'g') AS t, CASE WHEN size % 2 = 0 THEN CASE WHEN size % 3 = 0 THEN 'empty' ELSE content_hash END END AS h, lower(regexp_extract(relative_path, '[^/]*$')) AS fn,
+          regexp_replace('new/' || regexp_replace(relative_path, '^f', 'g'), '/[^/]*$', '') AS tf FROM fx_listing_prev WHERE size % 5 <> 0),
+    p AS (SELECT f, ff, fn, CASE WHEN size % 7 = 0 THEN 'empty' ELSE h END AS h FROM m JOIN (SELECT root_id || '/' || relative_path AS f, size FROM fx_listing_prev) USING (f)),
+    s1 AS (SELECT f, t, ff, tf FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY fn, f) AS k FROM p WHERE h IS NOT NULL) JOIN (SELECT t, tf, h, row_number() OVER (PARTITION BY h ORDER BY fn, t) AS k FROM n WHERE h IS NOT NULL) USING (h, k)),
+    v AS (SELECT ff, min_by(tf, (-c, tf)) AS tf FROM (SELECT ff, tf, count(*) AS c FROM s1 GROUP BY ALL) GROUP BY ff),
+    s2 AS (SELECT f, t, ff, tf FROM (SELECT f, ff, fn, tf, row_number() OVER (PARTITION BY fn, tf ORDER BY f) AS k FROM p JOIN v USING (ff) WHERE f NOT IN (SELECT f FROM s1))
+           JOIN (SELECT t, fn, tf, row_number() OVER (PARTITION BY fn, tf ORDER BY t) AS k FROM n WHERE t NOT IN (SELECT t FROM s1)) USING (fn, tf, k)),
+    s3 AS (SELECT f, t, ff, tf FROM (SELECT f, ff, fn, row_number() OVER (PARTITION BY fn ORDER BY f) AS k FROM p WHERE f NOT IN (SELECT f FROM s1 UNION SELECT f FROM s2))
+           JOIN (SELECT t, tf, fn, row_number() OVER (PARTITION BY fn ORDER BY t) AS k FROM n WHERE t NOT IN (SELECT t FROM s1 UNION SELECT t FROM s2)) USING (fn, k)),
+    a AS (SELECT *, 'content_hash' AS signal FROM s1 UNION ALL SELECT *, 'file_name' FROM s2 UNION ALL SELECT *, 'file_name' FROM s3)"""
+
+
+def moves_of(prev: DataFrame) -> DataFrame:
+    """A listing moved to another root, some files lost on the way, some hashes unknown, some files empty."""
+    none, empty = F.lit(None).cast("string"), F.lit("empty")
+    gone = prev.withColumns({"remote_id": none, "content_hash": F.when(C("size") % 7 == 0, empty).otherwise(C("content_hash"))})
+    known = F.when(C("size") % 2 == 0, F.when(C("size") % 3 == 0, empty).otherwise(C("content_hash")))
+    fresh = prev.where("size % 5 <> 0").withColumns({"root_id": F.lit("new"), "relative_path": F.regexp_replace("relative_path", "^f", "g"), "content_hash": known, "remote_id": none})
+    return listing.find_moved(gone, fresh)
+
+
+@query(["fx_listing_prev"], _MOVES + " SELECT f AS from_path, t AS to_path, signal FROM a")
 def find_moved(prev):
-    fresh = prev.withColumns({"root_id": F.lit("new"), "relative_path": F.regexp_replace("relative_path", "^f", "g"), "content_hash": F.when(C("size") % 2 == 0, C("content_hash"))})
-    none = F.lit(None).cast("string")
-    return listing.find_moved(prev.withColumn("remote_id", none), fresh.withColumn("remote_id", none))
+    return moves_of(prev)
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from curatrix.functions import semantic, text
 from curatrix.operators import catalog_io, dictionary, listing, merge, portable, review
-from curatrix.plans.queries import _DIFF, C, query
+from curatrix.plans.queries import _DIFF, _MOVES, C, moves_of, query
 
 _FOLDER_OF = "regexp_replace(relative_path, '/[^/]*$', '')"
 
@@ -36,25 +36,27 @@ def changed_groups(prev, curr):
     return review.changed_groups(rows(curr), stored, by, ["relative_path"], ["content_hash"]).groupBy(*by).agg(F.count("*").alias("rows"))
 
 
-@query(
-    ["fx_listing_prev"],
-    f"""+ m AS (SELECT root_id || '/' || {_FOLDER_OF} AS folder_from, lower(regexp_extract(relative_path, '[^/]*$')) AS fn FROM fx_listing_prev), n AS (SELECT 'new/' || regexp_replace({_FOLDER_OF}, '^f', 'g') AS folder_to, lower(regexp_extract(relative_path, '[^/]*$')) AS fn FROM fx_listing_prev)
-    SELECT folder_from, folder_to, count(*) AS files FROM m JOIN n USING (fn) GROUP BY ALL""",
-)
+@query(["fx_listing_prev"], _MOVES + " SELECT ff AS folder_from, tf AS folder_to, count(*) AS files FROM a GROUP BY ALL")
 def moved_folders(prev):
-    none = F.lit(None).cast("string")
-    bare = prev.withColumns({"remote_id": none, "content_hash": none})
-    fresh = bare.withColumns({"root_id": F.lit("new"), "relative_path": F.regexp_replace("relative_path", "^f", "g")})
-    return listing.moved_folders(listing.find_moved(bare, fresh))
+    return listing.moved_folders(moves_of(prev))
 
 
-@query(
-    ["fx_existing", "fx_photos"],
-    """+ r AS (SELECT root, folder, reference, identity FROM fx_existing WHERE status = 'DESCRIBED_ABSENT'), p AS (SELECT concat('g', substr(folder, 2)) AS found_folder, name AS found_name, lower(regexp_replace(name, '\\.[^.]*$', '')) AS identity FROM fx_photos)
-    SELECT root, folder, reference, identity, found_folder, found_name FROM r JOIN p USING (identity)""",
-)
+_ORPHANS = """+ r AS (SELECT root, folder, reference, identity FROM fx_existing WHERE status = 'DESCRIBED_ABSENT'),
+    p AS (SELECT concat('g', substr(folder, 2, 1), '/', folder, CASE WHEN length(name) % 2 = 0 THEN '/deep' ELSE '' END) AS found_folder, concat(substr(name, 1, 5), '.jpg') AS found_name, lower(substr(name, 1, 5)) AS identity FROM fx_photos),
+    q AS (SELECT root, concat('g', substr(folder, 2, 1), '/', folder) AS folder, substr(reference, 1, 5) AS reference, lower(substr(reference, 1, 5)) AS identity FROM r),
+    a AS (SELECT q.*, p.found_folder, p.found_name, len(list_filter(range(1, 9), lambda n: string_split(q.folder, '/')[1:n] = string_split(p.found_folder, '/')[1:n] AND n <= len(string_split(q.folder, '/')) AND n <= len(string_split(p.found_folder, '/')))) AS shared
+          FROM (SELECT DISTINCT * FROM q) q JOIN p ON q.identity = p.identity AND q.folder <> p.found_folder)
+    SELECT root, folder, reference, identity, count(*) AS candidates, arg_min(found_folder, (-shared, found_folder, found_name)) AS found_folder, arg_min(found_name, (-shared, found_folder, found_name)) AS found_name, CAST(max(shared) AS INTEGER) AS shared
+    FROM a GROUP BY ALL"""
+
+
+@query(["fx_existing", "fx_photos"], _ORPHANS)
 def orphan_descriptions(existing, photos):
-    return listing.orphan_descriptions(existing, photos.withColumn("folder", F.concat(F.lit("g"), F.substring("folder", 2, 9))))
+    """Names cut to a few stems, so each stem has many files in many folders."""
+    deep = F.when(F.length("name") % 2 == 0, "/deep").otherwise("")
+    files = photos.select(F.concat(F.lit("g"), F.substring("folder", 2, 1), F.lit("/"), "folder", deep).alias("folder"), F.concat(F.substring("name", 1, 5), F.lit(".jpg")).alias("name"))
+    rows = existing.withColumns({"folder": F.concat(F.lit("g"), F.substring("folder", 2, 1), F.lit("/"), C("folder")), "reference": F.substring("reference", 1, 5)})
+    return listing.orphan_descriptions(rows, files)
 
 
 @query(

@@ -178,6 +178,35 @@ def test_moved_and_orphans(spark):
     assert [r.found_name for r in listing.orphan_descriptions(rows, files).collect()] == ["img_1.jpg"]
 
 
+def test_moves_are_one_to_one_and_whole(spark):
+    """Many empty files of one hash, equal names in many folders: every pairable file is paired once."""
+    gone = [("a", f"d{i % 9}/{i % 40:03d}.jpg" if i % 2 else f"d{i % 9}/x{i}.jpg", None, "empty" if i % 3 == 0 else f"h{i}") for i in range(300)]
+    gone = list({g[:2]: g for g in gone}.values())
+    here = [("b", f"e{i % 9}/{i % 40:03d}.jpg" if i % 2 else f"e{i % 9}/x{i}.jpg", None, "empty" if i % 4 == 0 else f"h{i}" if i % 5 else None) for i in range(250)]
+    here = list({h[:2]: h for h in here}.values())
+    schema = "root_id string, relative_path string, remote_id string, content_hash string"
+    got = listing.find_moved(spark.createDataFrame(gone, schema), spark.createDataFrame(here, schema)).collect()
+    assert len({r.to_path for r in got}) == len(got) == len({r.from_path for r in got})
+    name = lambda p: p.split("/")[-1]
+    strong = [r for r in got if r.signal == "content_hash"]
+    count = lambda rows, v: sum(r[3] == v for r in rows)
+    assert len(strong) == sum(min(count(gone, v), count(here, v)) for v in {r[3] for r in gone} - {None})
+    left = [r[0] + "/" + r[1] for r in gone if r[0] + "/" + r[1] not in {s.from_path for s in strong}]
+    open_ = [r[0] + "/" + r[1] for r in here if r[0] + "/" + r[1] not in {s.to_path for s in strong}]
+    names = {name(p) for p in left}
+    assert len(got) - len(strong) == sum(min([name(p) for p in left].count(n), [name(p) for p in open_].count(n)) for n in names)
+    assert all(name(r.from_path) == name(r.to_path) for r in got if r.signal == "file_name")
+
+
+def test_weak_names_follow_their_folder(spark):
+    schema = "root_id string, relative_path string, remote_id string, content_hash string"
+    gone = [("a", "trip/1.jpg", None, "h1"), ("a", "trip/2.jpg", None, "h2"), ("a", "trip/000.jpg", None, None), ("a", "home/000.jpg", None, None), ("a", "home/9.jpg", None, "h9")]
+    here = [("b", "Z/1.jpg", None, "h1"), ("b", "Z/2.jpg", None, "h2"), ("b", "Z/000.jpg", None, None), ("b", "A/000.jpg", None, None), ("b", "A/9.jpg", None, "h9")]
+    got = {r.from_path: r.to_path for r in listing.find_moved(spark.createDataFrame(gone, schema), spark.createDataFrame(here, schema)).collect()}
+    assert got["a/trip/000.jpg"] == "b/Z/000.jpg" and got["a/home/000.jpg"] == "b/A/000.jpg"
+    assert listing.find_moved(spark.createDataFrame([], schema), spark.createDataFrame(here, schema)).count() == 0
+
+
 # --- documents
 
 
