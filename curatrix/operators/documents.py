@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from curatrix.functions.text import filename_like_reference, filename_stem, is_section_divider, leading_token, source_notes, strip, strip_edges, strip_reference, without_source_notes
 from curatrix.operators.listing import first_wins, plan_folders
+from curatrix.scratch import in_blocks, written
 
 
 def folder_names(photos: DataFrame) -> DataFrame:
@@ -15,48 +16,77 @@ def folder_names(photos: DataFrame) -> DataFrame:
     return photos.select("folder", F.explode(F.array_distinct(F.array(name, filename_stem(name)))).alias("word"))
 
 
-def reference_style(paragraphs: DataFrame, photos: DataFrame) -> DataFrame:
-    """(folder, width): digit counts that bare numeric references have in a folder, shown by
-    its photos or by strong references in its text."""
-    tokens = paragraphs.where(~is_section_divider(F.col("text"))).select("folder", leading_token(F.col("text")).alias("token")).where("token IS NOT NULL")
+def _tokens(paragraphs: DataFrame) -> DataFrame:
+    """(folder, pos, text, divider, token) of the paragraphs that aren't blank."""
+    text = paragraphs.select("folder", "pos", strip(F.col("text")).alias("text")).where("text <> ''").withColumn("divider", is_section_divider(F.col("text")))
+    return text.withColumn("token", F.when(~F.col("divider"), leading_token(F.col("text"))))
+
+
+def _style(tokens: DataFrame, photos: DataFrame) -> DataFrame:
     token = F.lower("token")
-    strong = tokens.where(filename_like_reference(F.col("token"))).select("folder", token.alias("word"))
-    known = tokens.select("folder", token.alias("word")).join(folder_names(photos), ["folder", "word"], "left_semi")
+    some = tokens.where("token IS NOT NULL").select("folder", "token")
+    strong = some.where(filename_like_reference(F.col("token"))).select("folder", token.alias("word"))
+    known = some.select("folder", token.alias("word")).join(folder_names(photos), ["folder", "word"], "left_semi")
     stems = strong.union(known).union(photos.select("folder", F.lower("name"))).select("folder", filename_stem(F.col("word")).alias("stem"))
     return stems.where(F.col("stem").rlike("^[0-9]+$")).select("folder", F.length("stem").alias("width")).distinct()
 
 
+def reference_style(paragraphs: DataFrame, photos: DataFrame) -> DataFrame:
+    """(folder, width): digit counts that bare numeric references have in a folder, shown by
+    its photos or by strong references in its text."""
+    return _style(_tokens(paragraphs), photos)
+
+
 def classify_paragraphs(paragraphs: DataFrame, photos: DataFrame) -> DataFrame:
-    """Non-blank paragraphs with ``kind``: divider, start (and its ``reference``) or text."""
-    text = paragraphs.select("folder", "pos", strip(F.col("text")).alias("text")).where("text <> ''")
-    tokens = text.withColumn("token", F.when(~is_section_divider(F.col("text")), leading_token(F.col("text"))))
-    tokens = tokens.withColumn("word", F.lower("token")).withColumn("width", F.when(F.col("token").rlike("^[0-9]+$"), F.length("token")))
+    """Non-blank paragraphs with ``kind``: divider, start (and its ``reference``) or text. The paragraphs
+    are read and cut up once."""
+    tokens = written(_tokens(paragraphs), "tokens")
     named = folder_names(photos).distinct().withColumn("is_known", F.lit(True))
-    styled = reference_style(paragraphs, photos).withColumn("is_styled", F.lit(True))
+    styled = _style(tokens, photos).withColumn("is_styled", F.lit(True))
+    tokens = tokens.withColumn("word", F.lower("token")).withColumn("width", F.when(F.col("token").rlike("^[0-9]+$"), F.length("token")))
     judged = tokens.join(named, ["folder", "word"], "left").join(styled, ["folder", "width"], "left")
     starts = F.coalesce("is_known", F.lit(False)) | F.coalesce(filename_like_reference(F.col("token")), F.lit(False)) | F.coalesce("is_styled", F.lit(False))
-    kind = F.when(is_section_divider(F.col("text")), "divider").when(F.col("token").isNotNull() & starts, "start").otherwise("text")
+    kind = F.when(F.col("divider"), "divider").when(F.col("token").isNotNull() & starts, "start").otherwise("text")
     return judged.select("folder", "pos", "text", kind.alias("kind"), F.when(kind == "start", F.col("token")).alias("reference"))
 
 
-def _carried(paragraphs: DataFrame, photos: DataFrame) -> DataFrame:
-    """Paragraphs with the entry number, and the section before it, carried forward. The
-    window runs per folder on narrow rows; a giant folder is one sorted, streaming task."""
-    order = Window.partitionBy("folder").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = classify_paragraphs(paragraphs, photos)
-    opens = F.when(F.col("kind") == "start", 1).otherwise(0)
-    return (
-        rows.withColumn("entry_seq", F.sum(opens).over(order))
-        .withColumn("section", F.last(F.when(F.col("kind") == "divider", F.col("text")), ignorenulls=True).over(order))
-        .withColumn("last_mark", F.last(F.when(F.col("kind") != "text", F.col("kind")), ignorenulls=True).over(order))
+def _carried(paragraphs: DataFrame, photos: DataFrame, pieces: int | None = None) -> DataFrame:
+    """Paragraphs with the entry number, and the section and mark before them, carried forward.
+
+    A segmented scan: paragraphs are cut into blocks in the order of folder and place, whatever the
+    folders' sizes. Each block sums up its part of a folder (entries opened, last section, last mark),
+    the sums are carried over the folder's blocks, and a second scan inside the blocks starts from
+    what was carried. So a giant folder is many tasks."""
+    rows = in_blocks(classify_paragraphs(paragraphs, photos), ["folder"], [F.col("pos")], "block", pieces)
+    is_ = lambda kind: F.col("kind") == kind
+    last = lambda value, where: F.max_by(F.when(where, value), F.when(where, F.col("pos")))
+    summed = rows.groupBy("folder", "block").agg(
+        F.count_if(is_("start")).alias("n"), last(F.col("text"), is_("divider")).alias("section"), last(F.col("kind"), ~is_("text")).alias("mark")
+    )
+    before = Window.partitionBy("folder").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
+    carry = summed.select(
+        "folder", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"),
+        F.last("section", ignorenulls=True).over(before).alias("section0"), F.last("mark", ignorenulls=True).over(before).alias("mark0"),
+    )
+    inside = Window.partitionBy("folder", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    scanned = rows.withColumns(
+        {
+            "n": F.sum(F.when(is_("start"), 1).otherwise(0)).over(inside),
+            "section": F.last(F.when(is_("divider"), F.col("text")), ignorenulls=True).over(inside),
+            "mark": F.last(F.when(~is_("text"), F.col("kind")), ignorenulls=True).over(inside),
+        }
     )
+    return scanned.join(carry, ["folder", "block"]).select(
+        "folder", "pos", "text", "kind", "reference", (F.col("n0") + F.col("n")).alias("entry_seq"),
+        F.coalesce("section", "section0").alias("section"), F.coalesce("mark", "mark0").alias("last_mark"),
+    )
 
 
-def group_entries(paragraphs: DataFrame, photos: DataFrame) -> DataFrame:
+def group_entries(paragraphs: DataFrame, photos: DataFrame, pieces: int | None = None) -> DataFrame:
     """(folder, entry_seq, reference, text, section_context, source_notes): a reference opens an
     entry, text joins the open one, a divider closes it and names the section. Notes are lifted
     out per paragraph, and paragraphs left empty are dropped."""
-    rows = _carried(paragraphs, photos).where("kind = 'start' OR (kind = 'text' AND last_mark = 'start')")
+    rows = _carried(paragraphs, photos, pieces).where("kind = 'start' OR (kind = 'text' AND last_mark = 'start')")
     raw = F.when(F.col("kind") == "start", strip_edges(F.substring(F.col("text"), F.length("reference") + 1, F.length("text")))).otherwise(F.col("text"))
     part = rows.withColumn("raw", raw)
     grouped = part.groupBy("folder", "entry_seq").agg(
@@ -124,16 +154,6 @@ def match_fragments(fragments: DataFrame, files: DataFrame) -> DataFrame:
     return fragments.select("folder", "pos").join(hit, ["folder", "pos"], "left")
 
 
-def shared_fragments(matches: DataFrame) -> DataFrame:
-    return matches.where("name IS NULL").select("folder", "pos")
-
-
-def files_with_notes(matches: DataFrame, files: DataFrame) -> DataFrame:
-    """Every file with the number of fragments that name it, also none."""
-    counted = matches.where("name IS NOT NULL").groupBy("folder", "name").agg(F.count("*").alias("fragments"))
-    return files.select("folder", "name").join(counted, ["folder", "name"], "left").withColumn("fragments", F.coalesce("fragments", F.lit(0)))
-
-
 def root_report(listing: DataFrame) -> DataFrame:
     """Counters per folder with photos, per root (folder null) and in total (both null): folders and
     files discovered, folders with photos, photos, documents (a folder's only one), conflicts

@@ -6,21 +6,21 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from curatrix.functions.text import blank_if_null
+from curatrix.operators.digest_tree import DigestTree, bucket_digests, bucket_of
 from curatrix.operators.dictionary import record_evidence, upsert_alias
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
+#: Buckets that a table's rows fall into; each generation writes those that changed.
+BUCKETS = 64
 KEY = ["root", "folder", "identity"]
-
-
-def _digest(df: DataFrame, ignore: tuple[str, ...]) -> str:
-    """Order-free digest of a table's content; columns in ``ignore`` (provenance) don't count."""
-    columns = sorted(c for c in df.columns if c not in ignore)
-    row = F.concat_ws("\u001f", *[F.concat(F.lit(f"{c}="), F.coalesce(F.to_json(F.struct(F.col(c).alias("v"))), F.lit("null"))) for c in columns])
-    total = lambda salt: F.coalesce(F.sum(F.xxhash64(F.lit(salt), row).cast("decimal(38,0)")), F.lit(0))
-    n, a, b = df.agg(F.count("*"), total("a"), total("b")).first()
-    return f"{n}-{a}-{b}"
+#: By what the rows of a table are told apart. Rows of other tables are told apart by all their columns.
+KEYS = {
+    "roots": ["identity"], "row_states": KEY, "items": ["root_id", "relative_path"], "entities": ["entity_type", "entity_id"],
+    "aliases": ["entity_type", "entity_id", "alias"], "latlons": ["entity_id", "latlon"], "machines": ["machine_id"],
+}
 
 
 def _fs(spark: SparkSession, path: str):
@@ -28,32 +28,59 @@ def _fs(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def _manifest(spark: SparkSession, base: str) -> dict | None:
-    """The manifest with the highest generation."""
+def _manifest(spark: SparkSession, base: str, generation: int | None = None) -> dict | None:
+    """The manifest of a generation, by default the highest."""
     fs, at = _fs(spark, f"{base}/manifests")
     if not fs.exists(at):
         return None
     names = [s.getPath().toString() for s in fs.listStatus(at)]
     found = [json.loads(r.value) for r in spark.read.text(names, wholetext=True).collect()] if names else []  # one small file per generation
+    if generation is not None:
+        return next((m for m in found if m["generation"] == generation), None)
     return max(found, key=lambda m: m["generation"], default=None)
 
 
-def publish_snapshot(tables: dict[str, DataFrame], base: str, expected_generation: int, ignore: tuple[str, ...] = ("at", "machine_id", "run_id")) -> tuple[str, int]:
+def _tree(df: DataFrame, name: str, ignore: tuple[str, ...], buckets: int) -> tuple[DigestTree, list[str]]:
+    """A table's digests (columns in ``ignore``, provenance, don't count) and its bucket's key."""
+    columns = [c for c in df.columns if c not in ignore]
+    key = [c for c in KEYS.get(name, columns) if c in columns] or columns
+    return DigestTree(bucket_digests(df, key, columns, buckets), buckets), key
+
+
+def _held(entry: dict) -> DigestTree:
+    return DigestTree({int(b): d for b, d in entry["leaves"].items()}, entry["buckets"])
+
+
+def publish_snapshot(tables: dict[str, DataFrame], base: str, expected_generation: int, ignore: tuple[str, ...] = ("at", "machine_id", "run_id"), buckets: int = BUCKETS) -> tuple[str, int]:
     """Write ``tables`` as the next generation under ``base``: ("unchanged" | "conflict" | "published",
     generation). Nothing is written if the content is what the last generation holds, or if the
-    generation isn't the expected one. The manifest is created last and exclusively, so of two
-    writers one fails; storage without exclusive creation makes that best effort."""
+    generation isn't the expected one. Of each table only the buckets whose digests differ are
+    written; the manifest names the generation that holds each bucket. It is created last and
+    exclusively, so of two writers one fails; storage without exclusive creation makes that best effort."""
     spark = next(iter(tables.values())).sparkSession
     last = _manifest(spark, base)
     generation = last["generation"] if last else 0
     if generation != expected_generation:
         return "conflict", generation
-    digests = {n: _digest(df, ignore) for n, df in tables.items()}
-    if last and last["digests"] == digests:
-        return "unchanged", generation
+    before = last.get("trees", {}) if last else {}
+    entries, writes = {}, []
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{base}/gen={generation + 1}/{name}")
-    manifest = json.dumps({"schema_version": SCHEMA_VERSION, "generation": generation + 1, "digests": digests, "tables": sorted(tables)})
+        old = before.get(name)
+        n = old["buckets"] if old else buckets
+        tree, key = _tree(df, name, ignore, n)
+        same_shape = old is not None and old["schema"] == df.schema.json()
+        moved = tree.differing(_held(old))[0] if same_shape else sorted(tree.levels[0])
+        gens = {} if not same_shape else {b: g for b, g in old["generations"].items() if int(b) in tree.levels[0]}
+        gens |= {str(b): generation + 1 for b in moved if b in tree.levels[0]}
+        entries[name] = {"buckets": n, "schema": df.schema.json(), "leaves": {str(b): d for b, d in tree.levels[0].items()}, "generations": gens, "root": tree.root}
+        if now := [b for b in moved if b in tree.levels[0]]:
+            writes.append((name, df, key, n, now))
+    if last and {n: (e["root"], e["schema"]) for n, e in before.items()} == {n: (e["root"], e["schema"]) for n, e in entries.items()}:
+        return "unchanged", generation
+    for name, df, key, n, now in writes:
+        cut = df.withColumn("__bucket", bucket_of(key, n)).where(F.col("__bucket").isin(now))
+        cut.repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{base}/gen={generation + 1}/{name}")
+    manifest = json.dumps({"schema_version": SCHEMA_VERSION, "generation": generation + 1, "trees": entries, "tables": sorted(tables)})
     fs, at = _fs(spark, f"{base}/manifests/{generation + 1}.json")
     try:
         out = fs.create(at, False)
@@ -66,16 +93,35 @@ def publish_snapshot(tables: dict[str, DataFrame], base: str, expected_generatio
     return "published", generation + 1
 
 
+def _read(spark: SparkSession, base: str, name: str, entry: dict, only: list[int] | None = None) -> DataFrame:
+    """A table of a manifest, or some of its buckets."""
+    schema = StructType.fromJson(json.loads(entry["schema"]))
+    paths = [f"{base}/gen={g}/{name}/__bucket={b}" for b, g in entry["generations"].items() if only is None or int(b) in only]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
 def load_snapshot(spark: SparkSession, base: str) -> tuple[dict[str, DataFrame], int]:
     """The last generation's tables and its number; nothing there gives no tables and 0. A manifest of
-    a newer or no schema version is refused."""
+    a newer or no schema version is refused; the first version held whole tables."""
     last = _manifest(spark, base)
     if last is None:
         return {}, 0
     version = last.get("schema_version")
     if not isinstance(version, int) or version > SCHEMA_VERSION:
         raise ValueError(f"snapshot has schema version {version!r}, this code reads up to {SCHEMA_VERSION}")
-    return {n: spark.read.parquet(f"{base}/gen={last['generation']}/{n}") for n in last["tables"]}, last["generation"]
+    if version == 1:
+        return {n: spark.read.parquet(f"{base}/gen={last['generation']}/{n}") for n in last["tables"]}, last["generation"]
+    return {n: _read(spark, base, n, last["trees"][n]) for n in last["tables"]}, last["generation"]
+
+
+def diff_generations(spark: SparkSession, base: str, table: str, old: int, new: int) -> DataFrame:
+    """The rows of ``table`` that generation ``new`` has and ``old`` lacks (``change`` = 'added') and the other way round
+    ('removed'). Only buckets whose digests differ are read."""
+    a, b = (_manifest(spark, base, g)["trees"][table] for g in (old, new))
+    buckets, _ = _held(a).differing(_held(b))
+    before, after = _read(spark, base, table, a, buckets), _read(spark, base, table, b, buckets)
+    change = lambda df, word: df.withColumn("change", F.lit(word))
+    return change(after.exceptAll(before), "added").unionByName(change(before.exceptAll(after), "removed"))
 
 
 def insert_or_ignore(have: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:

@@ -189,7 +189,22 @@ def changed_groups(rows: DataFrame, stored: DataFrame, by: list[str], order: lis
     return rows.join(moved, by, "left_semi")
 
 
+def vanished_groups(rows: DataFrame, stored: DataFrame, by: list[str]) -> DataFrame:
+    """The groups of ``stored`` that no row belongs to any more."""
+    return stored.select(*by).distinct().join(rows.select(*by).distinct(), by, "left_anti")
+
+
 def write_if_changed(rows: DataFrame, stored: DataFrame, path: str, by: list[str], order: list[str], columns: list[str]) -> DataFrame:
-    """Write only changed groups, each its own partition of the table at ``path``; returns the new signatures."""
+    """Write only changed groups, each its own partition of the table at ``path``, and remove the partitions of
+    groups that vanished; returns the new signatures."""
+    gone = vanished_groups(rows, stored, by)
     changed_groups(rows, stored, by, order, columns).write.partitionBy(*by).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    if not gone.isEmpty():
+        spark = rows.sparkSession
+        held = spark.read.schema(rows.schema).parquet(path)
+        folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
+        jvm = spark.sparkContext._jvm
+        for r in held.select(*by, folder.alias("at")).join(gone, by, "left_semi").select("at").distinct().toLocalIterator():
+            place = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(r["at"]))
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
     return content_signatures(rows, by, order, columns)

@@ -584,8 +584,11 @@ def test_listing_stream(spark, tmp_path):
     for rows in ([("r", "a", False, 1, None, "h"), ("r", "b", False, 1, None, "h")], [("r", "a", False, 1, None, "h")]):
         spark.createDataFrame(rows, LISTING).coalesce(1).write.mode("append").parquet(src)
         run_listing_stream(spark, src, state, str(tmp_path / "cp"), lambda n: f"2024-01-0{n + 1}").awaitTermination()
-    got = {r.relative_path: r.missing_since for r in spark.read.parquet(f"{state}/batch=1").collect()}
-    assert got["a"] is None and got["b"].day == 2
+    from curatrix.streaming.listing_stream import read_state
+
+    got = {r.relative_path: r for r in read_state(spark, state).collect()}
+    assert got["a"].missing_since is None and got["a"].last_seen.day == 2 and got["a"].first_seen.day == 1
+    assert got["b"].missing_since.day == 2 and got["b"].last_seen.day == 1
 
 
 @pytest.mark.parametrize("parts", [1, 64])
