@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curatrix.scratch import written
+
 BANDS, BAND_BITS = 4, 16
+#: A band's value with more fingerprints than this is cut up by the bits of the other bands.
+HOT_ROWS = 2_000
 
 
 def dhash(pixels: Column) -> Column:
@@ -27,34 +31,106 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def _band(bits: Column, k: int) -> Column:
-    return F.shiftrightunsigned(bits, k * BAND_BITS).bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int")
+def balanced_order(distinct: DataFrame) -> list[int]:
+    """Bit positions dealt so that each band gets as many telling bits (set in about half of the pictures) as dull ones."""
+    at = lambda i: F.sum(F.shiftrightunsigned("bits", i).bitwiseAND(F.lit(1))).alias(f"b{i}")
+    row = distinct.agg(F.count("*").alias("n"), *[at(i) for i in range(64)]).first()  # one row
+    telling = sorted(range(64), key=lambda i: (abs((row[f"b{i}"] or 0) / max(row.n, 1) - 0.5), i))
+    turns = [telling[k : k + BANDS] for k in range(0, 64, BANDS)]
+    bands = [[t[j] if n % 2 == 0 else t[BANDS - 1 - j] for n, t in enumerate(turns)] for j in range(BANDS)]
+    return [i for band in bands for i in band]
+
+
+def _reordered(bits: Column, order: list[int]) -> Column:
+    out = F.lit(0).cast("long")
+    for place, i in enumerate(order):
+        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(bits, i).bitwiseAND(F.lit(1).cast("long")), place))
+    return out
+
+
+def _cut(bits: Column, start: int, width: int) -> Column:
+    return F.shiftrightunsigned(bits, start).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
+
+
+def _distinct(prints: DataFrame) -> DataFrame:
+    """(bits, id, p): distinct fingerprints with their least picture, and the bits in balanced order."""
+    whole = prints.where("image_fingerprint IS NOT NULL").groupBy(bits_of(F.col("image_fingerprint")).alias("bits")).agg(F.min("photo_id").alias("id"))
+    whole = written(whole, "prints")
+    return whole.withColumn("p", _reordered(F.col("bits"), balanced_order(whole)))
 
 
-def near_pairs(prints: DataFrame, max_distance: int = 7) -> DataFrame:
+def _flips(reach: int) -> list[int]:
+    """Masks that change up to ``reach`` bits of a band."""
+    out = [0]
+    if reach >= 1:
+        out += [1 << i for i in range(BAND_BITS)]
+    if reach >= 2:
+        out += [(1 << i) | (1 << j) for i in range(BAND_BITS) for j in range(i)]
+    return out
+
+
+def _met(asking: DataFrame, held: DataFrame, max_distance: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(p, q, distance): each fingerprint p of ``asking`` with every other one q of ``held`` within ``max_distance``, once.
+
+    Pigeonhole: of 4 bands one differs in at most distance // 4 bits; ``asking`` probes all keys so far away. A band's
+    value that more than ``hot_rows`` fingerprints share (blank pictures) is cut up by the other 48 bits: they fall
+    into more pieces than bits may differ, so one piece is equal. A pair that meets several times counts
+    where it meets first, so no pair is shuffled to be told from its copies.
+    """
+    reach = max_distance // BANDS
+    if reach > 2:
+        raise ValueError("max_distance is 11 at most")
+    pieces = next(n for n in (4, 6, 8, 12) if n > max_distance)
+    width = (64 - BAND_BITS) // pieces
+    bands = lambda c: F.array(*[F.struct(F.lit(k).alias("k"), _cut(c, k * BAND_BITS, BAND_BITS).alias("v")) for k in range(BANDS)])
+    keyed = held.select(F.col("p").alias("q"), F.explode(bands(F.col("p"))).alias("b")).select("q", "b.k", "b.v")
+    hot = keyed.groupBy("k", "v").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("k", "v", F.lit(True).alias("hot"))  # few: of all rows they hold hot_rows each
+    probes = asking.select("p", F.explode(bands(F.col("p"))).alias("b")).select("p", "b.k", F.col("b.v").alias("v0"))
+    probes = probes.select("p", "k", F.explode(F.transform(F.array(*[F.lit(f) for f in _flips(reach)]), lambda f: F.col("v0").bitwiseXOR(f))).alias("v"))
+
+    def rest(c: Column, k: Column, s: int) -> Column:
+        """Piece ``s`` of the 48 bits outside band ``k``."""
+        out = None
+        for band in range(BANDS):
+            others = [i for i in range(64) if i // BAND_BITS != band][s * width : (s + 1) * width]
+            value = F.lit(0)
+            for place, i in enumerate(others):
+                value = value + F.shiftrightunsigned(c, i).bitwiseAND(F.lit(1).cast("long")).cast("int") * (1 << place)
+            out = F.when(k == band, value) if out is None else out.when(k == band, value)
+        return out
+
+    def parted(rows: DataFrame, c: str) -> DataFrame:
+        some = F.array(*[F.struct(F.lit(s).alias("s"), rest(F.col(c), F.col("k"), s).alias("u")) for s in range(pieces)])
+        whole = F.array(F.struct(F.lit(-1).alias("s"), F.lit(0).alias("u")))
+        return rows.join(hot, ["k", "v"], "left").select(c, "k", "v", F.explode(F.when(F.col("hot"), some).otherwise(whole)).alias("x")).select(c, "k", "v", "x.s", "x.u")
+
+    x = F.col("p").bitwiseXOR(F.col("q"))
+    first = F.lit(True)
+    for k in range(BANDS - 1):
+        first = first & ((F.col("k") <= k) | (F.bit_count(_cut(x, k * BAND_BITS, BAND_BITS)) > reach))
+    for s in range(pieces - 1):
+        first = first & ((F.col("s") <= s) | (rest(x, F.col("k"), s) != 0))
+    distance = F.bit_count(x)
+    met = parted(probes, "p").join(parted(keyed, "q"), ["k", "v", "s", "u"]).where((F.col("p") != F.col("q")) & (distance <= max_distance))
+    return met.where(first).select("p", "q", distance.cast("int").alias("distance"))
+
+
+def _named(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
+    name = lambda old, new: distinct.select(F.col("p").alias(old), F.col("id").alias(new))
+    return pairs.join(name("p", "a"), "p").join(name("q", "b"), "q").select("a", "b", "distance")
+
+
+def near_pairs(prints: DataFrame, max_distance: int = 7, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(a, b, distance) of all pairs of ``prints`` (photo_id, image_fingerprint) within
-    ``max_distance``; exact by pigeonhole. With 4 bands of 16 bits, a pair at distance d has a
-    band that differs in at most d // 4 bits; one side offers each band's key, the other
-    probes all keys so far away.
+    ``max_distance`` (11 at most), exact (``_met``). The bands' bits are chosen from the pictures, so no
+    band is duller than the others.
 
     Equal fingerprints collapse first, so a group of copies costs its members and not its
     pairs: pairs are between distinct fingerprints, ``copies`` being the members' table.
     """
-    flips = [0]
-    for i in range(BAND_BITS):
-        if max_distance // BANDS >= 1:
-            flips.append(1 << i)
-        if max_distance // BANDS >= 2:
-            flips += [(1 << i) | (1 << j) for j in range(i)]
-    if max_distance // BANDS >= 3:
-        raise ValueError("max_distance is 11 at most")
-    distinct = prints.where("image_fingerprint IS NOT NULL").groupBy("image_fingerprint").agg(F.min("photo_id").alias("id")).select("id", bits_of(F.col("image_fingerprint")).alias("bits"))
-    bands = F.array(*[F.struct(F.lit(k).alias("k"), _band(F.col("bits"), k).alias("v")) for k in range(BANDS)])
-    keyed = distinct.select("id", "bits", F.explode(bands).alias("b")).select("id", "bits", "b.k", "b.v")
-    probes = keyed.select(F.col("id").alias("id2"), F.col("bits").alias("bits2"), "k", F.explode(F.transform(F.array(*[F.lit(f) for f in flips]), lambda f: F.col("v").bitwiseXOR(f))).alias("v"))
-    met = keyed.join(probes, ["k", "v"]).where("id < id2")
-    d = hamming(F.col("bits"), F.col("bits2"))
-    return met.where(d <= max_distance).select(F.col("id").alias("a"), F.col("id2").alias("b"), d.cast("int").alias("distance")).distinct()
+    distinct = _distinct(prints)
+    found = _named(_met(distinct, distinct, max_distance, hot_rows).where("p < q"), distinct)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
 
 
 def copies(prints: DataFrame) -> DataFrame:
@@ -64,8 +140,18 @@ def copies(prints: DataFrame) -> DataFrame:
 
 
 def rank_similar(prints: DataFrame, k: int = 5, max_distance: int = 7) -> DataFrame:
-    """(a, b, distance, rank): each distinct picture's ``k`` nearest; a ranking, not a verdict."""
-    pairs = near_pairs(prints, max_distance)
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
+    """(a, b, distance, rank): each distinct picture's ``k`` nearest within ``max_distance``; a ranking, not a verdict.
+
+    The radius grows: what lies within 3 bits is found with one probe a band, and only pictures that
+    have fewer than ``k`` neighbours so near ask again within 7, then 11."""
+    distinct = written(_distinct(prints).select("p", "id"), "distinct")
     order = Window.partitionBy("a").orderBy("distance", "b")
-    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    asking, found = distinct, None
+    for radius in [r for r in (3, 7) if r < max_distance] + [max_distance]:
+        met = written(_named(_met(asking, distinct, radius), distinct), "near")
+        full = met.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("a")
+        last = radius == max_distance
+        part = met if last else met.join(full, "a", "left_semi")
+        found = part if found is None else found.unionByName(part)
+        asking = asking.join(full.withColumnRenamed("a", "id"), "id", "left_anti")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

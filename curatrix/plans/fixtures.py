@@ -135,6 +135,14 @@ SELECT 'tag' AS entity_type, concat('n', lpad(CAST(c_custkey AS STRING), 9, '0')
        concat('n', lpad(CAST(CASE WHEN c_custkey % 61 = 0 AND c_custkey % 2 = 0 THEN c_custkey + 9 ELSE c_custkey - 1 END AS STRING), 9, '0')) AS survivor
 FROM customer WHERE c_custkey % 61 <> 0 OR c_custkey % 2 = 0
 UNION ALL SELECT 'place', concat('n', lpad(CAST(c_custkey AS STRING), 9, '0')), concat('n', lpad(CAST(c_custkey + 1 AS STRING), 9, '0')) FROM customer WHERE c_custkey % 17 <> 0""",
+    "fx_sheet": """
+SELECT entity_type, CASE WHEN length(canonical) % 11 = 0 THEN '' WHEN length(canonical) % 13 = 0 THEN concat('no-', canonical) ELSE canonical END AS entity_id,
+       CASE WHEN length(canonical) % 5 = 0 THEN concat(canonical, ' II') ELSE canonical END AS canonical,
+       CASE WHEN entity_type = 'person' THEN 'supplier#000000001' ELSE concat(canonical, ' x; ', canonical, ' y') END AS confirmed_aliases, concat(canonical, ' y;; ', canonical, ' z ') AS candidate_aliases,
+       CASE WHEN entity_type = 'place' THEN substr(canonical, 10) ELSE '' END AS rejected_aliases,
+       CASE length(canonical) % 3 WHEN 0 THEN 'north' WHEN 1 THEN '3.5, 4.25' ELSE '1.000000, 2.000000' END AS latlon
+FROM (SELECT DISTINCT entity_type, canonical FROM (
+  SELECT 'tag' AS entity_type, p_name AS canonical FROM part UNION ALL SELECT 'person', s_name FROM supplier WHERE s_suppkey % 3 <> 0 UNION ALL SELECT 'place', concat('Place of ', p_brand) FROM part) AS n) AS m""",
     "fx_learn_start": """
 SELECT DISTINCT 'person' AS entity_type, concat('Person ', c_custkey % 4) AS canonical, concat('Person ', c_custkey % 4) AS phrase, 'CONFIRMED' AS status FROM customer
 UNION SELECT 'tag', 'tag-old', concat('tag', c_custkey % 3), 'CONFIRMED' FROM customer

@@ -25,13 +25,18 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN["at"]
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read back: its lineage is cut, and a lost executor
-    costs no work that lies before. The table goes when the driver's JVM ends."""
-    spark = df.sparkSession
+def scratch_place(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, which goes when the driver's JVM ends."""
     place = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return place
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` as a table in the shared folder, read back: its lineage is cut, and a lost executor
+    costs no work that lies before."""
+    spark, place = df.sparkSession, scratch_place(df.sparkSession, tag)
     df.write.parquet(place)
     return spark.read.schema(df.schema).parquet(place)
 

@@ -8,7 +8,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from curatrix.plans import state_queries, value_queries  # noqa: E402, F401
+from curatrix.plans import io_queries, state_queries, value_queries  # noqa: E402, F401
 from curatrix.plans.fixtures import TABLES  # noqa: E402
 from curatrix.plans.queries import ORACLES, QUERIES  # noqa: E402
 

@@ -111,7 +111,7 @@ def test_near_pairs_and_ranks_of_all_pictures(spark, small):
     from curatrix.plans.queries import QUERIES
 
     least = {}
-    prints = view(spark, small, "fx_all_fingerprints").collect()
+    prints = view(spark, small, "fx_fingerprints").collect()
     assert len(prints) == spark.read.parquet(f"{small}/orders.parquet").count()
     for r in prints:
         least[r.image_fingerprint] = min(r.photo_id, least.get(r.image_fingerprint, r.photo_id))

@@ -134,3 +134,31 @@ def test_segmented_scan_of_a_giant_folder(spark, small):
     blocks = documents.in_blocks(documents.classify_paragraphs(one, shots), ["folder"], [F.col("pos")], "block", 40)
     sizes = [r["count"] for r in blocks.where("folder = 'giant'").groupBy("block").count().collect()]
     assert len(sizes) > 20 and max(sizes) < 3 * sum(sizes) / len(sizes)
+
+
+def test_near_pairs_with_hot_bands(spark):
+    """Blank pictures share whole bands; small limits make them hot; all distances up to 11 as by comparing all pairs."""
+    from curatrix.operators import similarity
+
+    rng = random.Random(6)
+    prints = [rng.getrandbits(64) for _ in range(60)]
+    prints += [sum(1 << rng.randrange(64) for _ in range(rng.randrange(4))) for _ in range(160)]  # nearly blank
+    prints += [(0xFFFF << 48) | rng.getrandbits(20) for _ in range(60)]
+    prints += [p ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for p in prints[:40]]
+    rows = [(f"p{i:04d}", f"{p & (1 << 64) - 1:016x}") for i, p in enumerate(prints)] + [("none", None), ("p9999", f"{prints[0]:016x}")]
+    df = spark.createDataFrame(rows, "photo_id string, image_fingerprint string")
+    least = {}
+    for i, h in rows:
+        if h:
+            least[h] = min(least.get(h, i), i)
+    ids = sorted((i, int(h, 16)) for h, i in least.items())
+    every = {(a, b): (x ^ y).bit_count() for n, (a, x) in enumerate(ids) for b, y in ids[n + 1 :]}
+    for limit, hot in ((3, 10), (7, 10), (7, 10**9), (11, 10)):
+        got = [(r.a, r.b, r.distance) for r in similarity.near_pairs(df, limit, hot).collect()]
+        assert sorted(got) == sorted((*ab, d) for ab, d in every.items() if d <= limit)
+    for limit in (7, 11):
+        want = []
+        for a, _ in ids:
+            near = sorted((d, b if x == a else x) for (x, b), d in every.items() if a in (x, b) and d <= limit)[:5]
+            want += [(a, b, d, n) for n, (d, b) in enumerate(near, 1)]
+        assert sorted(tuple(r) for r in similarity.rank_similar(df, 5, limit).select("a", "b", "distance", "rank").collect()) == sorted(want)
