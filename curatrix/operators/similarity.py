@@ -53,10 +53,10 @@ def _cut(bits: Column, start: int, width: int) -> Column:
 
 
 def _distinct(prints: DataFrame) -> DataFrame:
-    """(bits, id, p): distinct fingerprints with their least picture, and the bits in balanced order."""
+    """(p, id): distinct fingerprints, their bits in balanced order, with their least picture."""
     whole = prints.where("image_fingerprint IS NOT NULL").groupBy(bits_of(F.col("image_fingerprint")).alias("bits")).agg(F.min("photo_id").alias("id"))
     whole = written(whole, "prints")
-    return whole.withColumn("p", _reordered(F.col("bits"), balanced_order(whole)))
+    return written(whole.select(_reordered(F.col("bits"), balanced_order(whole)).alias("p"), "id"), "distinct")
 
 
 def _flips(reach: int) -> list[int]:
@@ -69,8 +69,9 @@ def _flips(reach: int) -> list[int]:
     return out
 
 
-def _met(asking: DataFrame, held: DataFrame, max_distance: int, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(p, q, distance): each fingerprint p of ``asking`` with every other one q of ``held`` within ``max_distance``, once.
+def _met(asking: DataFrame, held: DataFrame, max_distance: int, hot_rows: int = HOT_ROWS, ordered: bool = False) -> DataFrame:
+    """(p, q, distance): each fingerprint p of ``asking`` with every other one q of ``held`` within ``max_distance``, once;
+    ``ordered``: with every greater one.
 
     Pigeonhole: of 4 bands one differs in at most distance // 4 bits; ``asking`` probes all keys so far away. A band's
     value that more than ``hot_rows`` fingerprints share (blank pictures) is cut up by the other 48 bits: they fall
@@ -84,35 +85,39 @@ def _met(asking: DataFrame, held: DataFrame, max_distance: int, hot_rows: int =
     width = (64 - BAND_BITS) // pieces
     bands = lambda c: F.array(*[F.struct(F.lit(k).alias("k"), _cut(c, k * BAND_BITS, BAND_BITS).alias("v")) for k in range(BANDS)])
     keyed = held.select(F.col("p").alias("q"), F.explode(bands(F.col("p"))).alias("b")).select("q", "b.k", "b.v")
-    hot = keyed.groupBy("k", "v").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("k", "v", F.lit(True).alias("hot"))  # few: of all rows they hold hot_rows each
+    hot = written(keyed.groupBy("k", "v").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("k", "v"), "hot")  # few: each holds hot_rows
     probes = asking.select("p", F.explode(bands(F.col("p"))).alias("b")).select("p", "b.k", F.col("b.v").alias("v0"))
     probes = probes.select("p", "k", F.explode(F.transform(F.array(*[F.lit(f) for f in _flips(reach)]), lambda f: F.col("v0").bitwiseXOR(f))).alias("v"))
 
-    def rest(c: Column, k: Column, s: int) -> Column:
+    x = F.col("p").bitwiseXOR(F.col("q"))
+    near = (F.col("p") < F.col("q") if ordered else F.col("p") != F.col("q")) & (F.bit_count(x) <= max_distance)
+    for k in range(BANDS - 1):
+        near = near & ((F.col("k") <= k) | (F.bit_count(_cut(x, k * BAND_BITS, BAND_BITS)) > reach))
+    out = [*(F.col(c) for c in ("p", "q")), F.bit_count(x).cast("int").alias("distance")]
+    if hot.isEmpty():
+        return probes.join(keyed, ["k", "v"]).where(near).select(*out)
+
+    def rest(c: Column, s: int) -> Column:
         """Piece ``s`` of the 48 bits outside band ``k``."""
-        out = None
+        piece = None
         for band in range(BANDS):
             others = [i for i in range(64) if i // BAND_BITS != band][s * width : (s + 1) * width]
             value = F.lit(0)
             for place, i in enumerate(others):
                 value = value + F.shiftrightunsigned(c, i).bitwiseAND(F.lit(1).cast("long")).cast("int") * (1 << place)
-            out = F.when(k == band, value) if out is None else out.when(k == band, value)
-        return out
+            piece = F.when(F.col("k") == band, value) if piece is None else piece.when(F.col("k") == band, value)
+        return piece
 
     def parted(rows: DataFrame, c: str) -> DataFrame:
-        some = F.array(*[F.struct(F.lit(s).alias("s"), rest(F.col(c), F.col("k"), s).alias("u")) for s in range(pieces)])
-        whole = F.array(F.struct(F.lit(-1).alias("s"), F.lit(0).alias("u")))
-        return rows.join(hot, ["k", "v"], "left").select(c, "k", "v", F.explode(F.when(F.col("hot"), some).otherwise(whole)).alias("x")).select(c, "k", "v", "x.s", "x.u")
+        some = F.array(*[F.struct(F.lit(s).alias("s"), rest(F.col(c), s).alias("u")) for s in range(pieces)])
+        return rows.join(hot, ["k", "v"], "left_semi").select(c, "k", "v", F.explode(some).alias("x")).select(c, "k", "v", "x.s", "x.u")
 
-    x = F.col("p").bitwiseXOR(F.col("q"))
-    first = F.lit(True)
-    for k in range(BANDS - 1):
-        first = first & ((F.col("k") <= k) | (F.bit_count(_cut(x, k * BAND_BITS, BAND_BITS)) > reach))
+    first = near
     for s in range(pieces - 1):
-        first = first & ((F.col("s") <= s) | (rest(x, F.col("k"), s) != 0))
-    distance = F.bit_count(x)
-    met = parted(probes, "p").join(parted(keyed, "q"), ["k", "v", "s", "u"]).where((F.col("p") != F.col("q")) & (distance <= max_distance))
-    return met.where(first).select("p", "q", distance.cast("int").alias("distance"))
+        first = first & ((F.col("s") <= s) | (rest(x, s) != 0))
+    cool = lambda rows: rows.join(hot, ["k", "v"], "left_anti")
+    cold = cool(probes).join(cool(keyed), ["k", "v"]).where(near).select(*out)
+    return cold.unionByName(parted(probes, "p").join(parted(keyed, "q"), ["k", "v", "s", "u"]).where(first).select(*out))
 
 
 def _named(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -129,7 +134,7 @@ def near_pairs(prints: DataFrame, max_distance: int = 7, hot_rows: int = HOT_ROW
     pairs: pairs are between distinct fingerprints, ``copies`` being the members' table.
     """
     distinct = _distinct(prints)
-    found = _named(_met(distinct, distinct, max_distance, hot_rows).where("p < q"), distinct)
+    found = _named(_met(distinct, distinct, max_distance, hot_rows, ordered=True), distinct)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
 
 
@@ -144,7 +149,7 @@ def rank_similar(prints: DataFrame, k: int = 5, max_distance: int = 7) -> DataFr
 
     The radius grows: what lies within 3 bits is found with one probe a band, and only pictures that
     have fewer than ``k`` neighbours so near ask again within 7, then 11."""
-    distinct = written(_distinct(prints).select("p", "id"), "distinct")
+    distinct = _distinct(prints)
     order = Window.partitionBy("a").orderBy("distance", "b")
     asking, found = distinct, None
     for radius in [r for r in (3, 7) if r < max_distance] + [max_distance]:
