@@ -157,12 +157,12 @@ def resolve_canonical(values: DataFrame, phrases: DataFrame) -> DataFrame:
 def suggest(entries: DataFrame, phrases: DataFrame, places: DataFrame) -> DataFrame:
     """Per entry (entry_id, text, section_context): date, the one confirmed place and its
     coordinates, people (also from the section), tags, ambiguous places, and counters."""
-    texts = entries.select(F.col("entry_id").alias("text_id"), F.col("text"))
-    sections = entries.where("section_context IS NOT NULL").select(F.col("entry_id").alias("text_id"), F.col("section_context").alias("text"))
-    shift = 1 << 30  # what the section names comes after what the text names
-    found = find_matches(texts, phrases).unionByName(
-        find_matches(sections, phrases.where("entity_type = 'person'")).withColumn("start", F.col("start") + shift).withColumn("end", F.col("end") + shift)
-    )
+    # texts and sections are searched in one pass; a section gives people only, after those of the text
+    parts = F.array(F.struct(F.lit(0).alias("part"), F.col("text").alias("text")), F.struct(F.lit(1).alias("part"), F.col("section_context").alias("text")))
+    texts = entries.select("entry_id", F.explode(parts).alias("p")).where("p.text IS NOT NULL").select(F.struct("entry_id", "p.part").alias("text_id"), "p.text")
+    shift = F.col("text_id.part") * F.lit(1 << 30)
+    every = find_matches(texts, phrases).where("text_id.part = 0 OR entity_type = 'person'")
+    found = every.withColumns({"start": F.col("start") + shift, "end": F.col("end") + shift, "text_id": F.col("text_id.entry_id")})
     lists = confirmed_canonicals(found).groupBy("text_id").agg(
         *[F.max(F.when(F.col("entity_type") == t, F.col("canonicals"))).alias(t) for t in ("person", "place", "tag")]
     )

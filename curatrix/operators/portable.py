@@ -11,6 +11,8 @@ from pyspark.sql.types import StructType
 from curatrix.functions.text import blank_if_null
 from curatrix.operators.digest_tree import DigestTree, bucket_digests, bucket_of
 from curatrix.operators.dictionary import record_evidence, upsert_alias
+from curatrix.operators.review import content_signatures
+from curatrix.scratch import written
 
 SCHEMA_VERSION = 2
 #: Buckets that a table's rows fall into; each generation writes those that changed.
@@ -190,9 +192,21 @@ def record_machine(machines: DataFrame, seen: DataFrame, now: Column) -> DataFra
     )
 
 
-def save_baseline(baseline: DataFrame, path: str) -> None:
-    """Baselines in long form, one partition per ``artifact``; only the given artifacts are replaced."""
-    baseline.write.partitionBy("artifact").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+def save_baseline(baseline: DataFrame, path: str) -> list[str]:
+    """Baselines in long form, one partition per ``artifact``; only the given artifacts are replaced, and of
+    these only such whose content differs from what was saved last. Returns what was written. Their
+    signatures lie beside the table, so nothing is read to tell."""
+    spark, beside = baseline.sparkSession, f"{path}.signatures"
+    columns = sorted(c for c in baseline.columns if c != "artifact")
+    now = written(content_signatures(baseline, ["artifact"], [], columns).withColumn("columns", F.lit(",".join(columns))), "signatures")
+    fs, at = _fs(spark, beside)
+    stored = spark.read.schema(now.schema).parquet(beside) if fs.exists(at) else now.limit(0)
+    moved = now.join(stored, now.columns, "left_anti").select("artifact")
+    names = [r.artifact for r in moved.collect()]  # of the given artifacts
+    if names:
+        baseline.join(moved, "artifact", "left_semi").write.partitionBy("artifact").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+        written(stored.join(now, "artifact", "left_anti").unionByName(now), "signatures").write.mode("overwrite").parquet(beside)
+    return sorted(names)
 
 
 def load_baseline(spark: SparkSession, path: str, artifact: str) -> DataFrame | None:

@@ -162,3 +162,18 @@ def test_near_pairs_with_hot_bands(spark):
             near = sorted((d, b if x == a else x) for (x, b), d in every.items() if a in (x, b) and d <= limit)[:5]
             want += [(a, b, d, n) for n, (d, b) in enumerate(near, 1)]
         assert sorted(tuple(r) for r in similarity.rank_similar(df, 5, limit).select("a", "b", "distance", "rank").collect()) == sorted(want)
+
+
+def test_only_changed_baselines_are_written(spark, tmp_path):
+    path = str(tmp_path / "base")
+    rows = spark.createDataFrame([(a, f"r{i}", str(i)) for a in ("a", "b", "c") for i in range(3)], "artifact string, record_id string, value string")
+    assert portable.save_baseline(rows, path) == ["a", "b", "c"]
+    stamp = lambda a: sorted(f.name for f in Path(path).rglob(f"artifact={a}/*.parquet"))
+    before = {a: stamp(a) for a in "abc"}
+    assert portable.save_baseline(rows.repartition(5), path) == []
+    changed = rows.where("artifact <> 'c'").withColumn("value", F.when(F.col("artifact") == "b", F.lit("new")).otherwise(F.col("value")))
+    assert portable.save_baseline(changed, path) == ["b"]
+    assert stamp("a") == before["a"] and stamp("c") == before["c"] and stamp("b") != before["b"]
+    assert {r.value for r in portable.load_baseline(spark, path, "b").collect()} == {"new"}
+    assert portable.load_baseline(spark, path, "c").count() == 3
+    assert portable.save_baseline(rows.where("artifact = 'b'"), path) == ["b"]
