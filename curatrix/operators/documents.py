@@ -134,15 +134,18 @@ def match_fragments(fragments: DataFrame, files: DataFrame) -> DataFrame:
     A file is found by equi-join on (folder, word): the last run of word characters of its
     stem. As a stem of its own it stands in the text as a whole run; inside a full name
     something may be stuck to its front, so runs that an extension follows also offer their
-    ends. Then the whole name is verified. No fragment meets all files of its folder.
+    ends, of the lengths that last runs have in that folder. Then the whole name is verified. No fragment meets all files of its folder.
     """
     text = fragments.select("folder", "pos", "text", F.lower("text").alias("low"))
-    runs = F.regexp_extract_all("low", F.lit(r"(?U)\w+"), F.lit(0))
-    stuck = F.regexp_extract_all("low", F.lit(r"(?U)(\w+)(?=\W*\.\w)"), F.lit(1))  # runs that an extension follows
-    ends = F.flatten(F.transform(stuck, lambda r: F.transform(F.sequence(F.lit(1), F.length(r)), lambda i: F.substring(r, i, F.length(r)))))
-    words = text.select("folder", "pos", F.explode(F.array_distinct(F.concat(runs, ends))).alias("word"))
     names = files.select("folder", "name", F.lower("name").alias("full"), F.lower(filename_stem(F.col("name"))).alias("stem"))
     names = names.withColumn("word", F.regexp_extract("stem", r"(?U)(\w+)\W*$", 1)).where("word <> ''")
+    lengths = names.groupBy("folder").agg(F.collect_set(F.length("word")).alias("lengths"))  # a few numbers, 255 at most
+    runs = F.regexp_extract_all("low", F.lit(r"(?U)\w+"), F.lit(0))
+    stuck = F.regexp_extract_all("low", F.lit(r"(?U)(\w+)(?=\W*\.\w)"), F.lit(1))  # runs that an extension follows
+    cut = text.join(lengths, "folder").select("folder", "pos", "lengths", runs.alias("runs"), stuck.alias("stuck"))
+    some = lambda r: F.filter("lengths", lambda n: n < F.length(r))
+    ends = F.flatten(F.transform("stuck", lambda r: F.transform(some(r), lambda n: F.substring(r, F.length(r) - n + 1, n))))
+    words = cut.select("folder", "pos", F.explode(F.array_distinct(F.concat("runs", ends))).alias("word"))
     met = words.join(names, ["folder", "word"]).drop("word").join(text, ["folder", "pos"])  # narrow until the texts come in, once each
     full_at, stem_re = F.instr(F.col("low"), F.col("full")), F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.col("stem"), F.lit(r"\E(?!\w)"))
     stem_at = F.regexp_instr("low", stem_re)
