@@ -256,10 +256,14 @@ def across_components(prefixes: DataFrame, labels: DataFrame, similarity: float)
     return left.join(right.hint("merge"), met & _may_be_near(c("nx"), c("ix"), c("ny"), c("iy"), similarity)).select("x", "y")
 
 
-def same_document(sketches: DataFrame, copies: DataFrame) -> DataFrame:
-    """(a, b): representatives of the texts of one doc_id, each with the least of them."""
+def same_document(sketches: DataFrame, copies: DataFrame) -> DataFrame | None:
+    """(a, b): representatives of the texts of one doc_id, each with the least of them; None if no doc_id has several texts."""
     texts = sketches.where("n > 0").select("doc_id", "k1", "k2")
-    several = texts.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("x"), F.max(F.struct("k1", "k2")).alias("y")).where("x < y").select("doc_id")
+    least, most = ([f(k) for k in ("k1", "k2")] for f in (F.min, F.max))
+    several = texts.groupBy("doc_id").agg(((least[0] < most[0]) | (least[1] < most[1])).alias("several")).where("several").select("doc_id")
+    several = materialize(several, "several")
+    if several.isEmpty():
+        return None
     named = texts.join(several, "doc_id", "left_semi").join(copies.select("k1", "k2", "rep"), ["k1", "k2"])
     least = named.groupBy("doc_id").agg(F.min("rep").alias("a"))
     return named.join(least, "doc_id").where("a < rep").select("a", F.col("rep").alias("b")).distinct()
@@ -302,7 +306,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, coordinates: i
     led = large.select(F.col("rep").alias("x"), F.explode(F.array("lo", "hi")).alias("y"))
     tried = materialize(candidates(full.union(led)), "pairs")
     sets = shingle_sets(docs, shared.select(F.col("rep").alias("doc_id")).distinct())
-    edges = materialize(verified(tried, sets, similarity).union(same_document(sketches, copies)), "links")
+    own = same_document(sketches, copies)
+    near = verified(tried, sets, similarity)
+    edges = materialize(near if own is None else near.union(own), "links")
     labels = components(edges)
     # the exact rest: members of large buckets that still hold several components
     big = large.join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
