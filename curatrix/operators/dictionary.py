@@ -15,6 +15,7 @@ from curatrix.functions.text import blank_if_null, normalize_phrase, strip
 from curatrix.scratch import written
 
 _RUN = r"(?U)\w+"
+_MARK = "\x01"
 #: Words in a row by which a longer phrase is looked up.
 ANCHOR = 4
 
@@ -30,11 +31,11 @@ def active_phrases(entities: DataFrame, aliases: DataFrame) -> DataFrame:
 def _with_runs(df: DataFrame) -> DataFrame:
     """``df`` with the words of ``low``, each with what follows it up to the next (``pieces``), and where
     they begin (from 0), by one pass over its characters."""
-    # A mask with "w" for word characters tells where words begin. It is a column of its own, so no lambda computes it.
-    mask = F.split(F.regexp_replace(F.regexp_replace("low", r"(?U)\w", "w"), "[^w]", " "), "")
-    begins = F.transform(F.col("mask"), lambda c, i: F.when((c == "w") & ((i == 0) | (F.get("mask", i - 1) != "w")), i))
+    # the first letter of each word becomes a mark, and the marks' places are where words begin
+    marked = F.regexp_replace(F.translate("low", _MARK, " "), r"(?U)(?<!\w)\w", _MARK)
+    begins = F.transform(F.split(marked, ""), lambda c, i: F.when(c == _MARK, i))
     words, pieces = (F.regexp_extract_all("low", F.lit(r), F.lit(0)) for r in (_RUN, _RUN + r"\W*"))
-    return df.withColumns({"mask": mask, "words": words, "pieces": pieces}).withColumn("at", F.array_compact(begins)).drop("mask")
+    return df.withColumns({"words": words, "pieces": pieces, "at": F.array_compact(begins)})
 
 
 def _window_hashes(width: int) -> Column:
@@ -86,7 +87,7 @@ def find_candidates(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     needle = F.lower(strip(F.col("phrase")))
     keyed = phrases.where("status <> 'REJECTED'").withColumn("needle", needle)
     low = texts.select("text_id", "text", F.lower("text").alias("low")).where(F.col("low").isNotNull())
-    met = met_phrases(low, phrase_index(keyed)).join(low, "text_id")  # each text is shuffled once
+    met = met_phrases(low, written(phrase_index(keyed), "index")).join(low, "text_id")  # each text is shuffled once
     end = F.col("start") + F.length("needle")
     edge = lambda c: ~c.rlike(r"(?U)^\w")
     before = F.when(F.col("start") > 0, F.substring(F.col("low"), F.col("start"), F.lit(1))).otherwise("")
