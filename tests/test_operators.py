@@ -117,13 +117,13 @@ def test_near_pairs_and_ranks_of_all_pictures(spark, small):
         least[r.image_fingerprint] = min(r.photo_id, least.get(r.image_fingerprint, r.photo_id))
     items = sorted((p, int(h, 16)) for h, p in least.items())
     want = {(a, b, n) for i, (a, x) in enumerate(items) for b, y in items[i + 1 :] if (n := (x ^ y).bit_count()) <= 7}
-    assert set(map(tuple, QUERIES["near_pairs_whole"](spark, small).collect())) == want
+    assert set(map(tuple, QUERIES["near_pairs"](spark, small).collect())) == want
     near = {}
     for a, b, n in want:
         near.setdefault(a, []).append((n, b))
         near.setdefault(b, []).append((n, a))
     ranks = {(a, b, n, k) for a, others in near.items() for k, (n, b) in enumerate(sorted(others)[:5], 1)}
-    assert {(r.a, r.b, r.distance, r["rank"]) for r in QUERIES["rank_similar_whole"](spark, small).collect()} == ranks
+    assert {(r.a, r.b, r.distance, r["rank"]) for r in QUERIES["rank_similar"](spark, small).collect()} == ranks
 
 
 # --- listings
