@@ -213,10 +213,10 @@ def _search_dim(points: DataFrame, queries: DataFrame, n: int, top: float, k: in
     """(query_id, vec_id, score): at least the ``k`` best found of each query. All vectors have one length."""
     spark = points.sparkSession
     kept = F.pmod(F.xxhash64("vec_id", F.lit(_SEED)), F.lit(1 << 30)) < int(min(1.0, SAMPLE / n) * (1 << 30))
-    sample = points.where(kept).orderBy("vec_id").select("v").toPandas()  # about SAMPLE rows
+    sample = points.where(kept).orderBy("vec_id").select("v").toArrow()  # about SAMPLE rows
     if not len(sample):
-        sample = points.orderBy("vec_id").limit(1).select("v").toPandas()
-    lifted = _lift(_matrix(sample["v"]), top)
+        sample = points.orderBy("vec_id").limit(1).select("v").toArrow()
+    lifted = _lift(np.concatenate([np.asarray(c.flatten()).reshape(len(c), -1) for c in sample["v"].chunks if len(c)]), top)
     tree = KMeansTree.fit(lifted, max(LEAF_SAMPLE, -(-LEAF_ROWS * len(lifted) // n)) if n > len(lifted) else LEAF_ROWS)
 
     @F.pandas_udf("int")
