@@ -689,7 +689,6 @@ def test_repeats_overlaps_edges_and_odd_rows(spark, odd):
 
 def test_repeats_across_stretches_and_blocks(real, rows, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "STRETCH", 90)
-    monkeypatch.setattr(suffix_dedup, "BLOCK", 32)
     monkeypatch.setattr(suffix_dedup, "FLUSH_RUNS", 500)
     assert spans_digest(real) == brute_spans(rows)
 
