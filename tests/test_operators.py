@@ -730,3 +730,27 @@ def test_ranks_over_hot_keys(spark):
         groups.setdefault(k, []).append(v)
     want = sorted(((k, v, n) for k, vs in groups.items() for n, v in enumerate(sorted(vs), 1)), key=repr)
     assert sorted((tuple(r) for r in out.collect()), key=repr) == want
+
+
+@pytest.mark.parametrize(
+    "f, most",
+    [
+        (lambda c: dates.xmp_fields(dates.parse_archive_date(c)), 4),
+        (lambda c: dates.exif_text(dates.compat_timestamp(dates.parse_archive_date(c))), 4),
+        (lambda c: dates.compat_timestamp_strict(dates.parse_archive_date(c))["value"], 4),
+        (lambda c: dates.archive_date_text(dates.parse_archive_date(c)), 4),
+        (lambda c: dates.suggest_date(c), 8),
+        (lambda c: geo.format_latlon(geo.parse_map_link(c)), 24),
+        (lambda c: geo.map_url(geo.parse_latlon(c)), 4),
+    ],
+)
+def test_expressions_name_their_input_once(spark, f, most):
+    """Copies of copies of an expression took minutes and didn't compile."""
+    plan = spark.createDataFrame([("1979",)], "c string").select(f(F.col("c")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"(?i)regexp_\w+\(|rlike\(", plan)) <= most
+
+
+def test_dates_at_every_precision(spark):
+    rows = ["1979", "1979-02", "1979-02-03", "1979-02-03 04:05", "1979-02-03 04:05:06", " 1979-02 ", "1979-13", "1979-02-30", "1979-02-03 24:05", "1979-02-03 04:05:60", "0000", "1979-2", "", None, "x"]
+    got = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, c string").select("i", dates.archive_date_text(dates.parse_archive_date(F.col("c"))).alias("t")).orderBy("i").collect()
+    assert [r.t for r in got] == ["1979", "1979-02", "1979-02-03", "1979-02-03 04:05:00", "1979-02-03 04:05:06", "1979-02", *[None] * 9]
