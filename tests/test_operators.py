@@ -754,3 +754,28 @@ def test_dates_at_every_precision(spark):
     rows = ["1979", "1979-02", "1979-02-03", "1979-02-03 04:05", "1979-02-03 04:05:06", " 1979-02 ", "1979-13", "1979-02-30", "1979-02-03 24:05", "1979-02-03 04:05:60", "0000", "1979-2", "", None, "x"]
     got = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, c string").select("i", dates.archive_date_text(dates.parse_archive_date(F.col("c"))).alias("t")).orderBy("i").collect()
     assert [r.t for r in got] == ["1979", "1979-02", "1979-02-03", "1979-02-03 04:05:00", "1979-02-03 04:05:06", "1979-02", *[None] * 9]
+
+
+def test_merge_turns_follow_the_longest_chain(spark, monkeypatch):
+    """Many short cycles once took as many turns as the logarithm of all rows."""
+    pairs = [("tag", f"{c:04d}{m}", f"{c:04d}{(m + 1) % 3}") for c in range(2_000) for m in range(3)] + [("tag", f"x{i}", f"x{i + 1}" if i < 2 else "00070") for i in range(3)]
+    turns, plain = [], dictionary.written
+    monkeypatch.setattr(dictionary, "written", lambda df, tag: (turns.append(tag), plain(df, tag))[1])
+    got = {r.absorbed: r.survivor for r in dictionary.survivors(spark.createDataFrame(pairs, "entity_type string, absorbed string, survivor string")).collect()}
+    assert len(turns) <= 11
+    assert got == {f"{c:04d}{m}": f"{c:04d}0" for c in range(2_000) for m in (1, 2)} | {f"x{i}": "00070" for i in range(3)}
+
+
+def test_merges_of_random_maps(spark):
+    rng = random.Random(5)
+    pairs = [("tag", f"{g}-{i}", f"{g}-{rng.randrange(n)}") for g in range(60) for n in [rng.randint(2, 12)] for i in range(n) if rng.random() < 0.9]
+    to = {a: b for _, a, b in pairs if a != b}
+    want = {}
+    for a in to:
+        seen, at = [a], a
+        while at in to and to[at] not in seen:
+            at = to[at]
+            seen.append(at)
+        want[a] = min(seen[seen.index(to[at]) :]) if at in to else at
+    got = {r.absorbed: r.survivor for r in dictionary.survivors(spark.createDataFrame(pairs, "entity_type string, absorbed string, survivor string")).collect()}
+    assert got == {a: b for a, b in want.items() if a != b}
