@@ -119,3 +119,24 @@ def test_learning_in_order_on_overlapping_texts(spark, seed):
     assert learned_by_spark(df, dictionary) == want
     grown = dictionary.unionByName(spark.createDataFrame([(k, c, a, "CANDIDATE") for k, c, a, _, _ in want], dictionary.schema))
     assert not set(row_by_row([r.asDict() for r in df.collect()], [tuple(r) for r in grown.collect()])) & set(want)
+
+
+def test_rows_fall_into_classes(spark, monkeypatch):
+    """Many rows with one text are decided by their first one: the tables of a turn once grew with the rows."""
+    from pyspark.sql import functions as F
+
+    sizes, plain = {}, learning.written
+
+    def counted(df, tag):
+        out = plain(df, tag)
+        sizes[tag] = max(sizes.get(tag, 0), out.count())
+        return out
+
+    monkeypatch.setattr(learning, "written", counted)
+    rows = spark.range(600).select(F.col("id").alias("ord"), F.concat(F.lit("Aunt Olga "), F.col("id") % 3, F.lit(". In the garden")).alias("source_description"), F.lit("NEW").alias("status"),
+        F.concat(F.lit("Person "), F.col("id") % 2).alias("people"), F.lit("").alias("place"), F.lit("").alias("tags"), F.lit("").alias("latlon"), F.lit("").alias("root"), F.lit("").alias("folder"), F.lit("").alias("reference"))
+    start = spark.createDataFrame([("person", f"Person {k}", f"Person {k}", "CONFIRMED") for k in range(2)], "entity_type string, canonical string, phrase string, status string")
+    got = learning.learn_aliases(rows, learning.taught_values(rows), start).collect()
+    want = row_by_row([r.asDict() for r in rows.collect()], [tuple(r) for r in start.collect()])
+    assert sorted((r.entity_type, r.canonical, r.alias, r.reason, r.ord) for r in got) == sorted(want)
+    assert max(sizes[t] for t in ("offers", "found", "taken")) <= 40
