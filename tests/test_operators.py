@@ -178,6 +178,14 @@ def test_moved_and_orphans(spark):
     assert [r.found_name for r in listing.orphan_descriptions(rows, files).collect()] == ["img_1.jpg"]
 
 
+def test_orphans_list_every_file_of_the_stem(spark):
+    rows = spark.createDataFrame([("r", "A", "IMG_1", "DESCRIBED_ABSENT"), ("r", "B", "IMG_1", "DESCRIBED_ABSENT"), ("r", "A", "IMG_2", "NEW")], "root string, folder string, reference string, status string")
+    files = spark.createDataFrame([("B", "img_1.jpg"), ("B", "IMG_1.png"), ("C/x", "img_1.jpg"), ("A", "img_2.jpg"), ("C", "img_2.jpg")], "folder string, name string")
+    got = sorted(tuple(r) for r in listing.orphan_descriptions(rows, files).collect())
+    lost = lambda folder, *found: ("r", folder, "IMG_1", "img_1", *found)
+    assert got == sorted([lost("A", "B", "img_1.jpg"), lost("A", "B", "IMG_1.png"), lost("A", "C/x", "img_1.jpg"), lost("B", "C/x", "img_1.jpg")])
+
+
 def test_moves_are_one_to_one_and_whole(spark):
     """Many empty files of one hash, equal names in many folders: every pairable file is paired once."""
     gone = [("a", f"d{i % 9}/{i % 40:03d}.jpg" if i % 2 else f"d{i % 9}/x{i}.jpg", None, "empty" if i % 3 == 0 else f"h{i}") for i in range(300)]
