@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -717,6 +718,16 @@ def test_one_string_in_very_many_documents(spark, monkeypatch):
     assert spans_digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)) == brute_spans(rows)
 
 
+def test_step_two_makes_rows_for_buckets_not_documents():
+    doc = np.arange(300)
+    runs = suffix_dedup._pack("<u4", np.repeat([5], 300), doc, doc + 7, doc % 9, np.full(300, 3))
+    out = suffix_dedup._settle(4)(pd.DataFrame({"bucket": [2], "runs": [runs]}))
+    assert len(out) <= 4 and out["n_runs"].sum() == 300
+    back = pd.concat([suffix_dedup._asked(out[out["into"] == b]) for b in out["into"]])
+    assert sorted(back["doc_id"]) == doc.tolist()
+    assert all(list(r.ats) == [r.doc_id % 9] and list(r.ns) == [3] and list(r.keys) == [(2 << 32) + 5] for r in back.itertuples())
+
+
 def test_hash_compared_sort_sorts_suffixes():
     rng = random.Random(2)
     block = bytes(rng.choice(b"ab") for _ in range(60))
