@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curatrix.functions.text import filename_like_reference, filename_stem, is_section_divider, leading_token, source_notes, strip, strip_edges, strip_reference, without_source_notes
+from curatrix.functions.text import filename_like_reference, filename_stem, is_section_divider, leading_token, let, source_notes, strip, strip_edges, strip_reference, without_source_notes
 from curatrix.operators.listing import first_wins, plan_folders
 from curatrix.scratch import in_blocks, written
 
@@ -18,17 +18,28 @@ def folder_names(photos: DataFrame) -> DataFrame:
 
 def _tokens(paragraphs: DataFrame) -> DataFrame:
     """(folder, pos, text, divider, token) of the paragraphs that aren't blank."""
-    text = paragraphs.select("folder", "pos", strip(F.col("text")).alias("text")).where("text <> ''").withColumn("divider", is_section_divider(F.col("text")))
-    return text.withColumn("token", F.when(~F.col("divider"), leading_token(F.col("text"))))
+    token = lambda t, d: F.struct(t.alias("text"), d.alias("divider"), F.when(~d, leading_token(t)).alias("token"))
+    cut = let(strip(F.col("text")), lambda t: let(is_section_divider(t), lambda d: token(t, d)))
+    # explode_outer: filters on what it makes stay above it, so a paragraph is cut up once
+    return paragraphs.select("folder", "pos", F.explode_outer(F.array(cut)).alias("t")).select("folder", "pos", "t.*").where("text <> ''")
+
+
+def _width(word: Column) -> Column:
+    """The number of digits of a word whose stem is digits only."""
+    return let(filename_stem(word), lambda s: F.when(s.rlike("^[0-9]+$"), F.length(s)))
 
 
 def _style(tokens: DataFrame, photos: DataFrame) -> DataFrame:
-    token = F.lower("token")
-    some = tokens.where("token IS NOT NULL").select("folder", "token")
-    strong = some.where(filename_like_reference(F.col("token"))).select("folder", token.alias("word"))
-    known = some.select("folder", token.alias("word")).join(folder_names(photos), ["folder", "word"], "left_semi")
-    stems = strong.union(known).union(photos.select("folder", F.lower("name"))).select("folder", filename_stem(F.col("word")).alias("stem"))
-    return stems.where(F.col("stem").rlike("^[0-9]+$")).select("folder", F.length("stem").alias("width")).distinct()
+    """A token counts if it is strong or names a photo of its folder. A photo gives its own width, so of the tokens
+    that name one only those matter whose stem the photo's own isn't: it has an extension itself."""
+    parts = let(F.lower("token"), lambda w: F.struct(w.alias("word"), _width(w).alias("width"), filename_like_reference(w).alias("strong")))
+    some = tokens.where("token IS NOT NULL").select("folder", F.explode_outer(F.array(parts)).alias("t")).select("folder", "t.*").where("width IS NOT NULL")
+    stem = filename_stem(F.lower("name"))
+    names = photos.select("folder", F.explode_outer(F.array(F.struct(stem.alias("word"), _width(stem).alias("inner"), _width(F.lower("name")).alias("width")))).alias("t"))
+    names = names.select("folder", "t.*")
+    twice = names.where("inner IS NOT NULL AND width IS NULL").select("folder", "word").distinct().withColumn("known", F.lit(True))
+    shown = some.join(twice, ["folder", "word"], "left").where("strong OR known").select("folder", "width")
+    return shown.unionByName(names.where("width IS NOT NULL").select("folder", "width")).distinct()
 
 
 def reference_style(paragraphs: DataFrame, photos: DataFrame) -> DataFrame:
@@ -178,12 +189,13 @@ def root_report(listing: DataFrame) -> DataFrame:
 
 
 def scan_report(reconciled: DataFrame, photos: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """Counters of the documents' content per folder, and their total (folder null)."""
+    """Counters of the documents' content per folder, and their total (folder null). The entries are built once."""
+    reconciled = written(reconciled.select("folder", "photo", F.size(F.array_distinct("source_notes")).alias("notes")), "reconciled")
     per = reconciled.groupBy("folder").agg(
         F.count("*").alias("entries"),
         F.count("photo").alias("present"),
         F.count_if(F.col("photo").isNull()).alias("absent"),
-        F.sum(F.size(F.array_distinct("source_notes"))).alias("notes"),
+        F.sum("notes").alias("notes"),
     )
     n_photos = photos.groupBy("folder").agg(F.count("*").alias("photos"))
     left = undescribed_photos(reconciled, photos).groupBy("folder").agg(F.count("*").alias("undescribed"))

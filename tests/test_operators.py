@@ -215,6 +215,15 @@ def test_weak_names_follow_their_folder(spark):
     assert listing.find_moved(spark.createDataFrame([], schema), spark.createDataFrame(here, schema)).count() == 0
 
 
+def test_hot_keys_move_as_others_do(spark):
+    """Lists of a key's files and ranks of a hot key's files give the same pairs."""
+    schema = "root_id string, relative_path string, remote_id string, content_hash string"
+    gone = spark.createDataFrame([("a", f"d{i % 3}/{i:03d}.jpg", None, "empty" if i % 2 else None) for i in range(60)], schema)
+    here = spark.createDataFrame([("b", f"e{i % 4}/{i:03d}.jpg", None, "empty" if i % 3 else f"h{i}") for i in range(50)], schema)
+    want, got = ({tuple(r) for r in listing.find_moved(gone, here, hot).collect()} for hot in (1_000, 10))
+    assert got == want and len(want) >= 39
+
+
 # --- documents
 
 
@@ -787,3 +796,32 @@ def test_merges_of_random_maps(spark):
         want[a] = min(seen[seen.index(to[at]) :]) if at in to else at
     got = {r.absorbed: r.survivor for r in dictionary.survivors(spark.createDataFrame(pairs, "entity_type string, absorbed string, survivor string")).collect()}
     assert got == {a: b for a, b in want.items() if a != b}
+
+
+def test_a_paragraph_is_cut_up_once(spark):
+    """The regexes of a paragraph stand in the plan once or twice, not in a copy for each use."""
+    rows = spark.createDataFrame([("f", 1, "018.jpg text"), ("f", 2, "1.2 x"), ("f", 3, "12345 x")], "folder string, pos int, text string")
+    photos = spark.createDataFrame([("f", "1.2.jpg"), ("f", "a.png")], "folder string, name string")
+    style = documents.reference_style(rows, photos)
+    assert {(r.folder, r.width) for r in style.collect()} == {("f", 3), ("f", 1)}
+    assert style._jdf.queryExecution().optimizedPlan().toString().count("A-Za-z0-9_.") <= 2
+
+
+def test_phrases_listed_often_are_looked_up_once(spark, monkeypatch):
+    seen, real = [], dictionary.find_candidates
+    monkeypatch.setattr(dictionary, "find_candidates", lambda texts, phrases: seen.append(phrases.count()) or real(texts, phrases))
+    texts = spark.createDataFrame([("t", "Aunt Olga, Olga")], "text_id string, text string")
+    phrases = spark.createDataFrame([("person", "Olga", "Olga", "CONFIRMED")] * 50, "entity_type string, canonical string, phrase string, status string")
+    assert dictionary.find_matches(texts, phrases).count() == 2 and seen == [1]
+
+
+def test_pairs_wanted_once_need_half_the_probes(spark, monkeypatch):
+    """Each pair once, whichever of the two is greater, and about 9 probes of a band in place of 17."""
+    rng = random.Random(4)
+    some = [rng.getrandbits(63) for _ in range(40)]
+    some += [p ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63)) for p in some for _ in range(3)]
+    rows = spark.createDataFrame([(p,) for p in sorted(set(some))], "p long")
+    met = similarity._met(rows, rows, 7, ordered=True)
+    want = sorted((a, b, (a ^ b).bit_count()) for a in set(some) for b in set(some) if a < b and (a ^ b).bit_count() <= 7)
+    assert sorted((min(r.p, r.q), max(r.p, r.q), r.distance) for r in met.collect()) == want
+    assert ">=" in met._jdf.queryExecution().optimizedPlan().toString()
