@@ -9,6 +9,7 @@ import pytest
 from curatrix.functions import text
 from curatrix.operators import learning
 from curatrix.plans.fixtures import view
+from curatrix.plans.queries import QUERIES
 
 
 def norm(s):
@@ -121,6 +122,25 @@ def test_learning_in_order_on_overlapping_texts(spark, seed):
     assert not set(row_by_row([r.asDict() for r in df.collect()], [tuple(r) for r in grown.collect()])) & set(want)
 
 
+def test_learn_outcomes_counts_every_kind(spark, small):
+    """The query once gave new entities only: aliases, coordinates (also those of places known before) and rows were left out."""
+    rows = [r.asDict() for r in view(spark, small, "fx_learn_rows").collect()]
+    start = [tuple(r) for r in view(spark, small, "fx_learn_start").select("entity_type", "canonical", "phrase", "status").collect()]
+    taught = [r for r in sorted(rows, key=lambda r: r["ord"]) if r["status"] not in ("ERROR", "SKIP") and (r["people"] or r["place"] or r["tags"] or r["latlon"])]
+    want = {"candidate_aliases": len(row_by_row(rows, start)), "contributing_rows": len(taught), "skipped_rows": len(rows) - len(taught)}
+    stands, seen = {}, set()
+    for r in taught:
+        if r["place"] and r["latlon"] and (r["place"], r["latlon"]) not in seen:
+            seen.add((r["place"], r["latlon"]))
+            north = float(r["latlon"].split(",")[0])
+            far = abs(north - stands.setdefault(r["place"], north)) * 111195 > 250
+            kind = "latlon_conflict" if far else "latlon_unchanged" if stands[r["place"]] != north else "latlon_added"
+            want[kind] = want.get(kind, 0) + 1
+    got = {r.outcome: r.n for r in QUERIES["learn_outcomes"](spark, small).collect()}
+    assert {k: n for k, n in got.items() if not k.startswith("new_")} == want and len(want) == 6
+    assert {k for k in got if k.startswith("new_")} == {"new_person", "new_place", "new_tag"}
+
+
 def test_rows_fall_into_classes(spark, monkeypatch):
     """Many rows with one text are decided by their first one: the tables of a turn once grew with the rows."""
     from pyspark.sql import functions as F
